@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The 32 ASCII punctuation characters, and the characters Python's
-# str.split() treats as whitespace.
+# str.split() treats as whitespace; as regex classes and, by rule, as plain characters.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 WHITESPACE = (
     r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+PUNCTUATION_CHARS = string.punctuation
+WHITESPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # The rules of the published mteval-v13a tokeniser, as (pattern, replacement).
 TOKENISER_13A = [
@@ -27,11 +31,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _spaced(text, drop: str = "") -> Column:
+    """One pass turns whitespace into spaces and deletes `drop`; runs and ends follow."""
+    mapped = F.translate(_col(text), WHITESPACE_CHARS + drop, " " * len(WHITESPACE_CHARS))
+    return F.trim(F.regexp_replace(mapped, " {2,}", " "))
+
+
 def collapse_spaces(text) -> Column:
     """Whitespace runs become one space, none at the ends."""
-    return F.regexp_replace(
-        F.regexp_replace(_col(text), WHITESPACE + "+", " "), "^ | $", ""
-    )
+    return _spaced(text)
 
 
 def strip(text) -> Column:
@@ -43,7 +51,7 @@ def strip(text) -> Column:
 
 def normalize(text) -> Column:
     """Lower case, no ASCII punctuation, single spaces."""
-    return collapse_spaces(F.regexp_replace(F.lower(_col(text)), PUNCTUATION, ""))
+    return _spaced(F.lower(_col(text)), drop=PUNCTUATION_CHARS)
 
 
 def is_blank(text, stripped: bool = True) -> Column:

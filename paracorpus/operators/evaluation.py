@@ -13,6 +13,7 @@ from pyspark.sql import types as t
 
 from paracorpus.functions import text as T
 from paracorpus.functions.scoring import pct, quality_band, ratio
+from paracorpus.operators.edit_distance import edit_distances
 from paracorpus.operators.pair_statistics import (
     BLEU_ORDERS,
     CHRF_CHAR_ORDERS,
@@ -20,7 +21,6 @@ from paracorpus.operators.pair_statistics import (
     overlap_share,
     pair_statistics,
     prepared,
-    trimmed_distance,
 )
 
 CHRF_BETA = 2
@@ -77,7 +77,7 @@ def _overlap() -> Column:
 
 def corpus_wer(pairs: DataFrame, mode: str = "normalized") -> DataFrame:
     """Word edits over reference words, with both sums."""
-    return pair_statistics(pairs, mode, ("edits",)).agg(
+    return pair_statistics(pairs, mode, ("word_edit",)).agg(
         _total("hits", "word_edit").alias("word_edits"),
         _total("ref", "word_edit").alias("ref_words"),
         _error_rate("word_edit").alias("wer"),
@@ -86,7 +86,7 @@ def corpus_wer(pairs: DataFrame, mode: str = "normalized") -> DataFrame:
 
 def corpus_cer(pairs: DataFrame, mode: str = "normalized") -> DataFrame:
     """Character edits over reference characters (spaces count), with both sums."""
-    return pair_statistics(pairs, mode, ("edits",)).agg(
+    return pair_statistics(pairs, mode, ("char_edit",)).agg(
         _total("hits", "char_edit").alias("char_edits"),
         _total("ref", "char_edit").alias("ref_chars"),
         _error_rate("char_edit").alias("cer"),
@@ -140,13 +140,11 @@ EDITS = t.StructType([t.StructField("words", t.LongType()), t.StructField("chars
 
 @F.arrow_udf(EDITS)
 def _row_edits(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-    pairs = list(zip(hyp.to_pylist(), ref.to_pylist()))
-    by_word = [
-        trimmed_distance(h.split(" ") if h else [], r.split(" ") if r else []) for h, r in pairs
-    ]
-    by_char = [trimmed_distance(h, r) for h, r in pairs]
+    hyps, refs = hyp.to_pylist(), ref.to_pylist()
+    by_word = edit_distances([h.split() for h in hyps], [r.split() for r in refs])
     return pa.StructArray.from_arrays(
-        [pa.array(by_word, pa.int64()), pa.array(by_char, pa.int64())], ["words", "chars"]
+        [pa.array(by_word, pa.int64()), pa.array(edit_distances(hyps, refs), pa.int64())],
+        ["words", "chars"],
     )
 
 

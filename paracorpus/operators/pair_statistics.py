@@ -22,57 +22,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paracorpus.functions import text as T
+from paracorpus.operators.edit_distance import edit_distances
 
 BLEU_ORDERS = 4
 CHRF_CHAR_ORDERS = 6
 CHRF_WORD_ORDERS = 2
-ALL_PARTS = ("ngrams", "chars", "edits")
+ALL_PARTS = ("ngrams", "chars", "word_edit", "char_edit")
 
 STATS_SCHEMA = "kind string, n int, hits long, hyp long, ref long, share double"
-# Rows of one Arrow batch are counted in slices of about this many characters, so memory
-# stays flat whatever the text lengths are. A longer single text makes a slice of its own.
-SLICE_CHARS = 1_000_000
+# Rows of one Arrow batch are counted in slices of about this many characters, which keeps
+# the hash tables in the cache. A longer single text makes a slice of its own.
+SLICE_CHARS = 128_000
 ASCII_PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
-def edit_distance(a, b) -> int:
-    """Exact Levenshtein distance by bit-parallel columns (Myers 1999, Hyyrö 2003).
-
-    Python integers serve as bit vectors of any width, so whole documents are cheap.
-    """
-    if len(a) < len(b):
-        a, b = b, a
-    if not b:
-        return len(a)
-    where: dict = {}
-    for i, symbol in enumerate(a):
-        where[symbol] = where.get(symbol, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    up, down = full, 0
-    for symbol in b:
-        match = where.get(symbol, 0)
-        cross = (((match & up) + up) ^ up) | match
-        right = ((down | (full & ~(cross | up))) << 1) | 1
-        left = (up & cross) << 1
-        keep = match | down
-        up = (left | ~(keep | right)) & full
-        down = right & keep & full
-    return len(b) + up.bit_count() - down.bit_count()
-
-
-def trimmed_distance(a, b) -> int:
-    """Edit distance after dropping the common start and end, which never cost anything."""
-    if a == b:
-        return 0
-    start, limit = 0, min(len(a), len(b))
-    while start < limit and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < limit - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    return edit_distance(a[start : len(a) - end], b[start : len(b) - end])
-
-
 def clipped_matches(codes, hyp_sizes, ref_sizes, orders: int) -> list[tuple[int, int, int]]:
     """(matches, hypothesis n-grams, reference n-grams) for n = 1..orders.
 
@@ -153,15 +116,13 @@ def _chrf_rows(hyps, refs):
     return rows
 
 
-def _edit_rows(hyps, refs):
-    hyp_words, ref_words = [t.split(" ") if t else [] for t in hyps], [
-        t.split(" ") if t else [] for t in refs
+def _edit_rows(hyps, refs, kinds):
+    by_word = [t.split() for t in hyps], [t.split() for t in refs]
+    return [
+        (kind, 0, sum(edit_distances(h, r)), sum(map(len, h)), sum(map(len, r)), 0.0)
+        for kind, h, r in (("word_edit", *by_word), ("char_edit", hyps, refs))
+        if kind in kinds
     ]
-    rows = []
-    for kind, h, r in (("word_edit", hyp_words, ref_words), ("char_edit", hyps, refs)):
-        edits = sum(map(trimmed_distance, h, r))
-        rows.append((kind, 0, edits, sum(map(len, h)), sum(map(len, r)), 0.0))
-    return rows
 
 
 def _slices(batch: pa.RecordBatch):
@@ -187,14 +148,12 @@ def _counter(parts):
                 ]
                 if "ngrams" in parts:
                     tokens = [
-                        [t.split(" ") if t else [] for t in piece[c].to_pylist()]
-                        for c in ("hyp_tokens", "ref_tokens")
+                        [t.split() for t in piece[c].to_pylist()] for c in ("hyp_tokens", "ref_tokens")
                     ]
                     rows += _ngram_rows(*tokens)
                 if "chars" in parts:
                     rows += _chrf_rows(hyps, refs)
-                if "edits" in parts:
-                    rows += _edit_rows(hyps, refs)
+                rows += _edit_rows(hyps, refs, parts)
                 kind, n, hits, hyp, ref, total = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -11,8 +11,9 @@ from paracorpus.functions import text as T
 from paracorpus.operators.positions import with_position
 
 UNKNOWN = 0
-# Up to this many entries a vocabulary is sent to the tasks; larger ones are joined.
-SMALL_VOCABULARY = 200_000
+# Up to this many bytes of words a vocabulary is sent to the tasks; larger ones are joined.
+SMALL_VOCABULARY = 64 * 1024 * 1024
+BYTES_PER_ID = 8
 WORD_SALTS = 32
 
 
@@ -40,13 +41,14 @@ def encode_labels(
 ) -> DataFrame:
     """Columns (id, labels): word ids in text order, unknown words as 0.
 
-    A vocabulary of checked, bounded size is looked up inside each task without any shuffle; a
+    A vocabulary whose measured size is at most `small` bytes is looked up inside each task without any shuffle; a
     larger one is joined to the words, see `_encode_by_join`.
     """
     entries = vocab.select("word", "word_id")
-    head = entries.limit(small + 1).toArrow()
-    if head.num_rows > small:
+    weight = F.coalesce(F.sum(F.octet_length("word") + BYTES_PER_ID), F.lit(0))
+    if entries.agg(weight).first()[0] > small:
         return _encode_by_join(df, entries, text, id_col)
+    head = entries.toArrow()
     known, ids = head["word"].combine_chunks(), head["word_id"].combine_chunks()
 
     @F.arrow_udf("array<int>")

@@ -332,8 +332,8 @@ SQL: dict[str, str] = {
              round((select avg(share) * 100 from shares), 2) as word_overlap_pct,
              {QUALITY.format(x='bleu')} as quality
       from rates, bleu_score, chrf_score""",
-    "batch_predict": """select conv_id, turn,
-        case when length(text) <= 1000 then upper(trim(text)) end as hypothesis,
+    "batch_predict": f"""select conv_id, turn,
+        case when length(text) <= 1000 then {strip("replace(text, 'th', 'z')")} end as hypothesis,
         case when length(text) > 1000 then 'ValueError: too long' end as error from conversations""",
     "units_scan": f"""with {UNITS}
       select id, len(units)::int as n, {digest('units')} as units, text from sequences""",
