@@ -27,9 +27,13 @@ from paracorpus.operators.edit_distance import edit_distances
 BLEU_ORDERS = 4
 CHRF_CHAR_ORDERS = 6
 CHRF_WORD_ORDERS = 2
-ALL_PARTS = ("ngrams", "chars", "word_edit", "char_edit")
+ALL_PARTS = ("ngrams", "chars", "word_edit", "char_edit", "overlap")
 
 STATS_SCHEMA = "kind string, n int, hits long, hyp long, ref long, share double"
+ARROW_COLUMNS = [
+    ("kind", pa.string()), ("n", pa.int32()), ("hits", pa.int64()),
+    ("hyp", pa.int64()), ("ref", pa.int64()), ("share", pa.float64()),
+]
 # Rows of one Arrow batch are counted in slices of about this many characters, which keeps
 # the hash tables in the cache. A longer single text makes a slice of its own.
 SLICE_CHARS = 128_000
@@ -136,36 +140,30 @@ def _slices(batch: pa.RecordBatch):
             yield batch.slice(lo, hi - lo)
 
 
+def _rows(batch: pa.RecordBatch, parts) -> Iterator[tuple]:
+    """Partial sums of one Arrow batch."""
+    yield ("rows", 0, batch.num_rows, 0, 0, 0.0)
+    if "overlap" in parts:
+        share = [s for s in batch["share"].to_pylist() if s is not None]
+        yield ("overlap", 0, len(share), 0, 0, float(sum(share)))
+    yield from _edit_rows(batch["hyp"].to_pylist(), batch["ref"].to_pylist(), parts)
+    for piece in _slices(batch):
+        if "ngrams" in parts:
+            yield from _ngram_rows(
+                *([t.split() for t in piece[c].to_pylist()] for c in ("hyp_tokens", "ref_tokens"))
+            )
+        if "chars" in parts:
+            yield from _chrf_rows(piece["hyp"].to_pylist(), piece["ref"].to_pylist())
+
+
 def _counter(parts):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in _slices(batch):
-                hyps, refs = piece["hyp"].to_pylist(), piece["ref"].to_pylist()
-                share = [s for s in piece["share"].to_pylist() if s is not None]
-                rows = [
-                    ("rows", 0, len(hyps), 0, 0, 0.0),
-                    ("overlap", 0, len(share), 0, 0, float(sum(share))),
-                ]
-                if "ngrams" in parts:
-                    tokens = [
-                        [t.split() for t in piece[c].to_pylist()] for c in ("hyp_tokens", "ref_tokens")
-                    ]
-                    rows += _ngram_rows(*tokens)
-                if "chars" in parts:
-                    rows += _chrf_rows(hyps, refs)
-                rows += _edit_rows(hyps, refs, parts)
-                kind, n, hits, hyp, ref, total = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(kind, pa.string()),
-                        pa.array(n, pa.int32()),
-                        pa.array(hits, pa.int64()),
-                        pa.array(hyp, pa.int64()),
-                        pa.array(ref, pa.int64()),
-                        pa.array(total, pa.float64()),
-                    ],
-                    names=["kind", "n", "hits", "hyp", "ref", "share"],
-                )
+            columns = zip(*_rows(batch, parts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values, kind) for values, (_, kind) in zip(columns, ARROW_COLUMNS)],
+                names=[name for name, _ in ARROW_COLUMNS],
+            )
 
     return count
 
@@ -204,8 +202,9 @@ def pair_statistics(
         tokens = [T.tokenize_13a("hypothesis"), T.tokenize_13a("reference")]
     else:
         tokens = [F.col("hyp"), F.col("ref")]
-    share = overlap_share(T.words("hyp"), T.words("ref"))
-    columns = [F.col("hyp"), F.col("ref"), share.alias("share")]
+    columns = [F.col("hyp"), F.col("ref")]
+    if "overlap" in parts:
+        columns.append(overlap_share(T.words("hyp"), T.words("ref")).alias("share"))
     if "ngrams" in parts:
         columns += [tokens[0].alias("hyp_tokens"), tokens[1].alias("ref_tokens")]
     return ready.select(*columns).mapInArrow(_counter(parts), STATS_SCHEMA)

@@ -27,7 +27,7 @@ def table(
     df = spark.read.parquet(f"{folder}/{name}.parquet").select(*(columns or ["*"]))
     cores = spark.sparkContext.defaultParallelism
     if spread and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return df.repartition(cores * 4)
     return df
 
 

@@ -6,8 +6,9 @@ from hypothesis import strategies as st
 
 import plain
 from paracorpus.operators import evaluation as E
-from paracorpus.operators.edit_distance import edit_distances
+from paracorpus.operators import edit_distance as ED
 from paracorpus.operators import pair_statistics as PS
+from paracorpus.operators.edit_distance import edit_distances
 
 WORDS = "the a sun moon river über naïve speaks — don't 3,000 x".split()
 
@@ -37,9 +38,24 @@ def test_edit_distances_equal_dynamic_programming(pairs):
     assert edit_distances(*lists) == [plain.edits(a, b) for a, b in zip(*lists)]
 
 
+@given(
+    st.lists(st.tuples(st.text("ab", max_size=60), st.text("ab", max_size=60)), max_size=10),
+    st.sampled_from([8, 16, 256]),
+)
+@settings(max_examples=100, deadline=None)
+def test_band_equals_dynamic_programming(pairs, tile):
+    was = ED.LONG, ED.TILE
+    try:
+        ED.LONG, ED.TILE = 1, tile
+        got = edit_distances([p[0] for p in pairs], [p[1] for p in pairs])
+    finally:
+        ED.LONG, ED.TILE = was
+    assert got == [plain.edits(a, b) for a, b in pairs]
+
+
 def test_edit_distances_of_long_texts():
     rnd = random.Random(5)
-    long = ["".join(rnd.choice("abcdefg h") for _ in range(n)) for n in (1500, 900, 2500)]
+    long = ["".join(rnd.choice("abcdefg h") for _ in range(n)) for n in (1500, 900, 3300)]
     cut = ["".join(c if rnd.random() > 0.05 else "z" for c in t if rnd.random() > 0.05) for t in long]
     odd = list(reversed(long))
     assert edit_distances(long, cut) == [plain.edits(a, b) for a, b in zip(long, cut)]
