@@ -132,7 +132,7 @@ def _long_distance(pattern, text) -> int:
     where = _places(pattern)
     limit = len(pattern) - len(text) + int(len(text) * FIRST_GUESS)
     while (found := _within(where, len(pattern), text, limit)) > limit:
-        limit = min(found, 2 * limit)
+        limit = min(found, 2 * limit + 1)
     return found
 
 
