@@ -15,6 +15,7 @@ from paracorpus.functions import text as T
 from paracorpus.functions.scoring import pct, quality_band, ratio
 from paracorpus.operators.edit_distance import edit_distances
 from paracorpus.operators.pair_statistics import (
+    ALL_PARTS,
     BLEU_ORDERS,
     CHRF_CHAR_ORDERS,
     CHRF_WORD_ORDERS,
@@ -26,9 +27,37 @@ from paracorpus.operators.pair_statistics import (
 CHRF_BETA = 2
 
 
+def _name(column: str, kind: str, n: int) -> str:
+    return f"{kind}_{n}_{column}"
+
+
 def _total(column: str, kind: str, n: int = 0) -> Column:
-    picked = F.when((F.col("kind") == kind) & (F.col("n") == n), F.col(column))
-    return F.coalesce(F.sum(picked), F.lit(0))
+    return F.col(_name(column, kind, n))
+
+
+# Which sums each part of the statistics yields: kind -> n-gram orders.
+SUMS = {
+    "rows": [0],
+    "overlap": [0],
+    "word_edit": [0],
+    "char_edit": [0],
+    "bleu": range(1, BLEU_ORDERS + 1),
+    "char": range(1, CHRF_CHAR_ORDERS + 1),
+    "word": range(1, CHRF_WORD_ORDERS + 1),
+}
+KINDS_OF_PART = {"ngrams": ("bleu",), "chars": ("char", "word")}
+
+
+def _totals(pairs: DataFrame, mode: str, parts: tuple[str, ...]) -> DataFrame:
+    """One row with a named column per sum; the closed forms read these."""
+    kinds = ["rows"] + [k for part in parts for k in KINDS_OF_PART.get(part, (part,))]
+    sums = []
+    for kind in kinds:
+        for n in SUMS[kind]:
+            for column in ("hits", "hyp", "ref", "share"):
+                picked = F.when((F.col("kind") == kind) & (F.col("n") == n), F.col(column))
+                sums.append(F.coalesce(F.sum(picked), F.lit(0)).alias(_name(column, kind, n)))
+    return pair_statistics(pairs, mode, parts).agg(*sums)
 
 
 # --- closed forms over the partial sums --------------------------------------------------
@@ -77,7 +106,7 @@ def _overlap() -> Column:
 
 def corpus_wer(pairs: DataFrame, mode: str = "normalized") -> DataFrame:
     """Word edits over reference words, with both sums."""
-    return pair_statistics(pairs, mode, ("word_edit",)).agg(
+    return _totals(pairs, mode, ("word_edit",)).select(
         _total("hits", "word_edit").alias("word_edits"),
         _total("ref", "word_edit").alias("ref_words"),
         _error_rate("word_edit").alias("wer"),
@@ -86,7 +115,7 @@ def corpus_wer(pairs: DataFrame, mode: str = "normalized") -> DataFrame:
 
 def corpus_cer(pairs: DataFrame, mode: str = "normalized") -> DataFrame:
     """Character edits over reference characters (spaces count), with both sums."""
-    return pair_statistics(pairs, mode, ("char_edit",)).agg(
+    return _totals(pairs, mode, ("char_edit",)).select(
         _total("hits", "char_edit").alias("char_edits"),
         _total("ref", "char_edit").alias("ref_chars"),
         _error_rate("char_edit").alias("cer"),
@@ -100,7 +129,7 @@ def word_accuracy(pairs: DataFrame, mode: str = "normalized") -> DataFrame:
 
 def corpus_bleu(pairs: DataFrame, mode: str = "normalized") -> DataFrame:
     """BLEU-4 with exponential smoothing of empty orders, and the lengths behind it."""
-    return pair_statistics(pairs, mode, ("ngrams",)).agg(
+    return _totals(pairs, mode, ("ngrams",)).select(
         _total("hyp", "bleu", 1).alias("hyp_len"),
         _total("ref", "bleu", 1).alias("ref_len"),
         *[_total("hits", "bleu", n).alias(f"match_{n}") for n in range(1, BLEU_ORDERS + 1)],
@@ -111,7 +140,7 @@ def corpus_bleu(pairs: DataFrame, mode: str = "normalized") -> DataFrame:
 
 def corpus_chrf(pairs: DataFrame, mode: str = "normalized") -> DataFrame:
     """chrF++: six character orders, two word orders, recall weighted twice."""
-    return pair_statistics(pairs, mode, ("chars",)).agg(_chrf().alias("chrf"))
+    return _totals(pairs, mode, ("chars",)).select(_chrf().alias("chrf"))
 
 
 def word_overlap(pairs: DataFrame, mode: str = "normalized") -> DataFrame:
@@ -195,7 +224,7 @@ def evaluate(
     `embedding_scores` (column `f1`) comes from `embedding_score`; without it, or when it is
     empty, the similarity is 0.0.
     """
-    raw = pair_statistics(pairs, mode).agg(
+    raw = _totals(pairs, mode, ALL_PARTS).select(
         _total("hits", "rows").alias("total_samples"),
         _bleu().alias("b"),
         _chrf().alias("c"),

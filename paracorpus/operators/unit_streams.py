@@ -27,14 +27,16 @@ def unit_runs(
     `chunk` is any coarse, non-decreasing function of the order (position // 100000, or the
     day). Runs are first found inside (key, chunk), so one endless stream is spread over many
     tasks. Then the pieces are joined across chunk borders: per key only one row per chunk
-    takes part in that, however long the stream is.
+    takes part in that, however long the stream is. Frames without key or order are left out.
     """
-    cells = stream.select(key, chunk.alias("_chunk"), *order, F.col(unit).alias("unit"))
+    cells = stream.select(key, chunk.alias("_chunk"), *order, F.col(unit).alias("unit")).where(
+        F.col(key).isNotNull() & F.col("_chunk").isNotNull()
+    )
     inside = W.partitionBy(key, "_chunk").orderBy(*order)
     starts = F.coalesce((F.lag("unit").over(inside) != F.col("unit")).cast("long"), F.lit(1))
     pieces = (
         cells.withColumn("_starts", starts)
-        .withColumn("_piece", F.sum("_starts").over(inside))
+        .withColumn("_piece", F.sum("_starts").over(inside.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy(key, "_chunk", "_piece")
         .agg(F.first("unit").alias("unit"), F.count("*").alias("frames"))
     )

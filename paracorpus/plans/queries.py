@@ -368,7 +368,7 @@ def first_n_per_tier(spark, d):
 @query
 def unit_runs(spark, d):
     stream = V.event_stream(spark, d)
-    return unit_streams.unit_runs(stream, "user_id", ["ts", "event_id"], "unit", F.date_trunc("day", "ts"))
+    return unit_streams.unit_runs(stream, "user_id", ["ts", "event_id"], "unit", F.date_trunc("hour", "ts"))
 
 
 @query

@@ -143,9 +143,7 @@ def cached_audio(spark, folder) -> DataFrame:
     return audio_files(spark, folder).where(F.col("path").endswith(".wav")).select("path")
 
 
-def unit_sequences(spark, folder) -> DataFrame:
-    """Every document as a unit sequence: the lengths of its words."""
-    docs = table(spark, folder, "documents", ["doc_id", "text", "lang"], spread=True)
+def _as_units(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("id"),
         F.transform(T.words(T.normalize("text")), F.length).alias("units"),
@@ -153,16 +151,25 @@ def unit_sequences(spark, folder) -> DataFrame:
     )
 
 
+def _documents(spark, folder) -> DataFrame:
+    return table(spark, folder, "documents", ["doc_id", "text", "lang"], spread=True)
+
+
+def unit_sequences(spark, folder) -> DataFrame:
+    """Every document as a unit sequence: the lengths of its words."""
+    return _as_units(_documents(spark, folder))
+
+
 def unit_queries(spark, folder) -> DataFrame:
     """Labelled documents ask."""
-    labelled = table(spark, folder, "labels").select(F.col("doc_id").alias("id"))
-    return unit_sequences(spark, folder).join(labelled, "id", "left_semi").select("id", "units")
+    labelled = table(spark, folder, "labels", ["doc_id"])
+    return _as_units(_documents(spark, folder).join(labelled, "doc_id", "left_semi")).drop("text")
 
 
 def unit_training(spark, folder) -> DataFrame:
     """The others answer with their language."""
-    labelled = table(spark, folder, "labels").select(F.col("doc_id").alias("id"))
-    return unit_sequences(spark, folder).join(labelled, "id", "left_anti")
+    labelled = table(spark, folder, "labels", ["doc_id"])
+    return _as_units(_documents(spark, folder).join(labelled, "doc_id", "left_anti"))
 
 
 def unit_references(spark, folder) -> DataFrame:
