@@ -51,12 +51,15 @@ KINDS_OF_PART = {"ngrams": ("bleu",), "chars": ("char", "word")}
 def _totals(pairs: DataFrame, mode: str, parts: tuple[str, ...]) -> DataFrame:
     """One row with a named column per sum; the closed forms read these."""
     kinds = ["rows"] + [k for part in parts for k in KINDS_OF_PART.get(part, (part,))]
-    sums = []
-    for kind in kinds:
-        for n in SUMS[kind]:
-            for column in ("hits", "hyp", "ref", "share"):
-                picked = F.when((F.col("kind") == kind) & (F.col("n") == n), F.col(column))
-                sums.append(F.coalesce(F.sum(picked), F.lit(0)).alias(_name(column, kind, n)))
+    sums = [
+        F.expr(
+            f"coalesce(sum({column}) FILTER (WHERE kind = '{kind}' AND n = {n}), 0)"
+            f" AS {_name(column, kind, n)}"
+        )
+        for kind in kinds
+        for n in SUMS[kind]
+        for column in (("hits", "share") if kind == "overlap" else ("hits", "hyp", "ref"))
+    ]
     return pair_statistics(pairs, mode, parts).agg(*sums)
 
 
