@@ -67,7 +67,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false"})
+    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(folder), []
     queries, oracle = entry.queries(), entry.oracle_sql()
