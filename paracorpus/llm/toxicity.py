@@ -18,7 +18,17 @@ from paracorpus.llm.merge_automaton import groups_by_length
 CELL_BITS = 20
 #: Most word pairs in a model; rarer pairs are left to the backoff. Bounds what is sent to tasks.
 MOST_PAIRS = 500_000
-DISCOUNT = 0.75
+#: A count n is discounted by this times its square root, as chance may have made it so much larger;
+#: in the class with more text by as much as leaves the same share to the backoff in both classes,
+#: so that expressions too rare to tell the classes apart speak for neither.
+DISCOUNT = 2.0
+#: Words that both classes have seen so often are contexts of word pairs; others go to the words.
+LEAST_CONTEXT = 50
+#: A word whose log-likelihoods differ by less counts as shared by the classes, and others by what is
+#: beyond it: what topics and languages happen to be toxic more often moves common words by less.
+MARGIN = 1.5
+#: First letters of a word that its inflected forms share: the step between a word and the shared counts.
+STEM = 4
 #: Folds by crc32 of the id: counted, used to fit the final scale, and (0) never looked at.
 COUNTED, SCALED = (1, 2, 3), (4,)
 #: Bins of the histogram to which the scale is fitted.
@@ -26,13 +36,15 @@ BINS, REACH = 2000, 4.0
 START = 0
 
 
+def cell(word: str) -> int:
+    return 1 + xxhash.xxh32_intdigest(word) % ((1 << CELL_BITS) - 1)
+
+
 def word_cells(chunks: list[str]) -> list[int]:
-    """A cell for each chunk: its letters, lower-cased, without signs at its ends; -1 for no letters."""
-    out = []
-    for chunk in chunks:
-        word = chunk.lower().strip(".,;:!?|*#%&'\"()[]{}<>/\\-_=+~^`@$")
-        out.append(1 + xxhash.xxh32_intdigest(word) % ((1 << CELL_BITS) - 1) if word else -1)
-    return out
+    """The cells of each chunk's word and stem, in one number: lower-cased, without signs at the
+    ends; -1 if nothing is left."""
+    words = [c.lower().strip(".,;:!?|*#%&'\"()[]{}<>/\\-_=+~^`@$") for c in chunks]
+    return [cell(w) << CELL_BITS | cell(w[:STEM]) if w else -1 for w in words]
 
 
 def cell_lists(texts: list[str | None], memory: ChunkMemory) -> list[np.ndarray]:
@@ -43,15 +55,16 @@ def cell_lists(texts: list[str | None], memory: ChunkMemory) -> list[np.ndarray]
 
 
 def pairs_of(cells: np.ndarray) -> np.ndarray:
-    """Each word with the word before it (or the start), as one number."""
-    return (np.concatenate(([START], cells[:-1])) << CELL_BITS) | cells
+    """The word before (or the start), the word and its stem, as one number each."""
+    return (np.concatenate(([START], cells[:-1] >> CELL_BITS)) << (2 * CELL_BITS)) | cells
 
 
 def count_pairs(labelled: DataFrame) -> DataFrame:
-    """pair, toxic, ordinary: how often each word pair occurs in the texts of either label.
+    """pair, toxic, ordinary: in how many texts of either label each word pair occurs.
 
-    `labelled` has text and toxic. Every word of every row is counted; pairs are combined in the
-    tasks and again before the shuffle, and the table grows with the labelled texts.
+    `labelled` has text and toxic. Every word of every row is looked at, a pair counts once per text;
+    pairs are combined in the tasks and again before the shuffle, and the table grows with the
+    labelled texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +74,7 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
             for start, stop in groups_by_length(batch.column(0)):
                 cells = cell_lists(batch.column(0).slice(start, stop - start).to_pylist(), memory)
                 for label in (False, True):
-                    mine = [pairs_of(c) for c, t in zip(cells, toxic[start:stop]) if t == label and len(c)]
+                    mine = [np.unique(pairs_of(c)) for c, t in zip(cells, toxic[start:stop]) if t == label and len(c)]
                     pairs, counts = np.unique(np.concatenate(mine), return_counts=True) if mine else (np.array([], np.int64),) * 2
                     none = np.zeros(len(pairs), np.int64)
                     yield pa.RecordBatch.from_arrays(
@@ -78,31 +91,40 @@ class ClassModels:
 
     def __init__(self, pairs: DataFrame, most_pairs: int = MOST_PAIRS) -> None:
         cells, mask = 1 << CELL_BITS, (1 << CELL_BITS) - 1
-        first, last = F.shiftright("pair", CELL_BITS), F.col("pair").bitwiseAND(mask)
         kinds = ("toxic", "ordinary")
+        first = F.shiftright("pair", 2 * CELL_BITS)
+        word, stem = F.shiftright("pair", CELL_BITS).bitwiseAND(mask), F.col("pair").bitwiseAND(mask)
+        tokens = [F.sum(c).alias(c) for c in kinds]
         seen = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in kinds]
-        followers = pairs.groupBy(first.alias("cell")).agg(*(F.sum(c).alias(c) for c in kinds))
-        predecessors = pairs.groupBy(last.alias("cell")).agg(*seen, F.count(F.lit(1)).alias("all"))
-        context, before = followers.toPandas(), predecessors.toPandas()
+        context = pairs.groupBy(first.alias("cell")).agg(*tokens).toPandas()
+        words, stems = (pairs.groupBy(x.alias("cell")).agg(*seen, F.count(F.lit(1)).alias("all")).toPandas() for x in (word, stem))
         kept = pairs.where(F.col("toxic") + F.col("ordinary") >= self._least_count(pairs, most_pairs)).toPandas()
         kept = kept.sort_values("pair")
         self.pairs = kept["pair"].to_numpy(np.int64)
+        above = self.pairs >> (2 * CELL_BITS)
 
         def spread(frame, column: str) -> np.ndarray:
             out = np.zeros(cells, np.float64)
             out[frame["cell"].to_numpy(np.int64)] = frame[column].to_numpy(np.float64)
             return out
 
-        # Lowest order, shared by the classes: in how many pairs of either class a word comes last.
-        shared = spread(before, "all")
-        base = self._discounted(shared, np.full(cells, 1.0 / cells))
-        self.word, self.pair, self.rest = {}, {}, {}
+        # How many word pairs of either class end in a word or stem: the counts that both models share.
+        shared, of_stem = spread(words, "all"), spread(stems, "all")
+        base = of_stem / max(of_stem.sum(), 1)
+        self.part = ((shared + 1) / (shared.sum() + cells)).astype(np.float32)
+        self.whole = ((of_stem + 1) / (of_stem.sum() + cells)).astype(np.float32)
+        self.word, self.stem, self.pair, self.rest = {}, {}, {}, {}
+        word_shares, self.left = self._shares({c: spread(words, c) for c in kinds})
+        stem_shares, left = self._shares({c: spread(stems, c) for c in kinds})
+        totals = {c: spread(context, c) for c in kinds}
+        least = np.minimum(totals["toxic"], totals["ordinary"])
+        known = (least >= LEAST_CONTEXT)[above]
         for c in kinds:
-            self.word[c] = self._discounted(spread(before, c), base).astype(np.float32)
-            total = spread(context, c)
+            self.stem[c] = (stem_shares[c] + left * (base + 1 / cells) / 2).astype(np.float32)
+            self.word[c] = word_shares[c].astype(np.float32)
             counts = kept[c].to_numpy(np.float64)
-            above = self.pairs >> CELL_BITS
-            share = np.maximum(counts - DISCOUNT, 0) / np.maximum(total[above], 1)
+            discount = DISCOUNT * np.sqrt(counts * totals[c][above] / np.maximum(least[above], 1))
+            share = np.where(known, np.maximum(counts - discount, 0) / np.maximum(totals[c][above], 1), 0.0)
             self.pair[c] = share.astype(np.float32)
             # What the discounts and the pairs left out leave over goes to the words.
             self.rest[c] = (1 - np.bincount(above, share, cells)).astype(np.float32)
@@ -121,25 +143,43 @@ class ClassModels:
         return least
 
     @staticmethod
-    def _discounted(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-        total = counts.sum()
-        if not total:
-            return below
-        rest = np.minimum(counts, DISCOUNT).sum() / total
-        return np.maximum(counts - DISCOUNT, 0) / total + rest * below
+    def _shares(counts: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], float]:
+        """The discounted shares of both classes, and what is left over, the same for both: all of it
+        if a class has no counts."""
+        totals = {c: n.sum() for c, n in counts.items()}
+        small, large = sorted(counts, key=totals.get)
+        if not totals[small]:
+            return {c: np.zeros(len(n)) for c, n in counts.items()}, 1.0
+
+        def left(c: str, factor: float) -> float:
+            return np.minimum(counts[c], factor * np.sqrt(counts[c])).sum() / totals[c]
+
+        aim = left(small, DISCOUNT)
+        low, high = 0.0, DISCOUNT * float(np.sqrt(counts[large].max()) + 1)
+        for _ in range(50):
+            middle = (low + high) / 2
+            low, high = (middle, high) if left(large, middle) < aim else (low, middle)
+        factors = {small: DISCOUNT, large: high}
+        return {c: np.maximum(n - factors[c] * np.sqrt(n), 0) / totals[c] for c, n in counts.items()}, float(aim)
 
     def difference(self, cells: np.ndarray) -> np.ndarray:
-        """Per word, its toxic minus its ordinary log-likelihood after the word before it."""
-        pairs = pairs_of(cells)
-        out = np.zeros(len(cells))
+        """Per word, its toxic minus its ordinary log-likelihood after the word before it, beyond `MARGIN`.
+
+        Pair, word, stem, shared counts: each step gets what the discounts of the step above left. A
+        word's share of its stem comes from the counts that the classes share.
+        """
+        pairs, mask = pairs_of(cells), (1 << CELL_BITS) - 1
+        word, stem, before = cells >> CELL_BITS, cells & mask, pairs >> (2 * CELL_BITS)
+        within = np.minimum(self.part[word] / self.whole[stem], 1)
         place = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
         hit = self.pairs[place] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
+        out = np.zeros(len(cells))
         for c, sign in (("toxic", 1), ("ordinary", -1)):
-            p = self.rest[c][pairs >> CELL_BITS] * self.word[c][cells]
+            p = self.rest[c][before] * (self.word[c][word] + self.left * self.stem[c][stem] * within)
             if hit.any():
                 p[hit] += self.pair[c][place[hit]]
             out += sign * np.log(p)
-        return out
+        return np.sign(out) * np.maximum(np.abs(out) - MARGIN, 0)
 
 
 def score_texts(docs: DataFrame, models: ClassModels, columns: list[str]) -> DataFrame:
