@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paracorpus.llm.shingles import WordHashes, shingle_hashes
+from paracorpus.llm.shingles import shingle_hashes
 
 #: Hashes kept per text.
 K = 256
@@ -135,7 +135,6 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         names = [x.split(" ")[0] for x in FINGERPRINTS.split(", ")]
         kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
 
@@ -145,12 +144,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rows, last = [], None
         for batch in batches:
             for place, guest, key, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                now = sketch(shingle_hashes(text, hashes), k)
+                now = sketch(shingle_hashes(text), k)
                 if last is not None and last[0] == place:
                     _, _, last_key, last_text, last_sketch = last
                     half = len(last_text) // 2
                     edited = last_text[: len(last_text) - half] + text[:half]
-                    other = sketch(shingle_hashes(edited, hashes), k)
+                    other = sketch(shingle_hashes(edited), k)
                     rows.append((
                         None if last_key == NO_ID else last_key, len(last_text),
                         hashlib.sha256(edited.encode()).hexdigest(), to_text(last_sketch), to_text(other),

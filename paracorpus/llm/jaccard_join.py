@@ -13,9 +13,10 @@ nearly all pivots, where the triangle inequality says nothing. So the space is f
 * Sets within the radius of the pivot are linked to it and so to each other. A set outside needs
   comparison only with sets whose distance to the pivot differs by at most the radius: that is the
   window. Regions where nothing is left outside, or all of one component, are done.
-* A small rest is compared pair by pair; a large rest is dealt into neighbourhoods again, inside
-  its region and with another hash, and the next pivots are taken from the sets left outside.
-  Each round settles at least the pivots, so the recursion ends, and no pair is dropped.
+* A rest that fits a task is joined there, by an index of its shingles; a larger rest is dealt into
+  neighbourhoods again, inside its region and with another hash, and the next pivots are taken from
+  the sets left outside. Each round settles at least the pivots, so the recursion ends, and no
+  pair is dropped.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ from pyspark.sql import functions as F
 
 from paracorpus.llm.common import broadcast_if_small, pin
 from paracorpus.llm.components import connected_components
-from paracorpus.llm.shingles import WORDS, WordHashes, mix, shingle_hashes
+from paracorpus.llm.shingles import WORDS, mix, shingle_hashes
 
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Parts per shingle of the smallest set of a size class (sizes from 2^c to 2^(c + 1) - 1).
 PARTS = 0.6
-#: Pairs of a region's rest that are compared at once; a larger rest goes to the next round.
-REST_PAIRS = 4096
+#: Shingles of a region's rest that one task joins, 8 bytes each; a larger rest goes to the next round.
+REST_ITEMS = 2_000_000
 SLACK = 1e-9
 
 
@@ -59,7 +60,9 @@ def part_keys(items: np.ndarray, round_: int, percent: int = PERCENT) -> np.ndar
         spread = mix(items ^ seed)
         part = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        held, starts, sizes = np.unique(part[order], return_index=True, return_counts=True)
+        placed = part[order]
+        starts = np.flatnonzero(np.concatenate(([True], placed[1:] != placed[:-1])))
+        held, sizes = placed[starts], np.diff(np.append(starts, n))
         sums = np.add.reduceat(mix(spread + np.uint64(1))[order], starts)
         if len(held) < keep:  # empty parts are parts like others, and come last
             empty = np.setdiff1d(np.arange(parts), held)
@@ -82,12 +85,12 @@ def deal(docs: DataFrame, percent: int, words: int) -> DataFrame:
     for each neighbourhood of its set. Copies of a set inside a task are dealt once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, dealt = WordHashes(), set()
+        dealt: set[int] = set()
         names = ["place", "key", "doc_id", "n"]
         for batch in batches:
             places, keys, rows, held = [], [], [], 0
             for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                items = shingle_hashes(text.as_py() or "", hashes, words)
+                items = shingle_hashes(text.as_py() or "", words)
                 key = set_key(items) if len(items) else 0
                 rows.append((key, doc_id, len(items)))
                 if len(items) and key not in dealt:
@@ -115,11 +118,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """key, n, items (sorted hashes) of the sets named in `wanted` (doc_id, key), once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             keys, items = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = shingle_hashes(text.as_py() or "", hashes, words)
+                found = shingle_hashes(text.as_py() or "", words)
                 if len(found) and set_key(found) == key:  # else another row with the same id
                     keys.append(key)
                     items.append(found.view(np.int64))
@@ -192,33 +194,26 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
         found = measured.where("linked").select("a", "b")
         links = found if links is None else pin(links.union(found), "links")
         roots = connected_components(links)
-        rest = _rest(regions, measured, roots, radius)
-        few = rest.where(F.col("work") <= REST_PAIRS)
-        left = few.where("outside").select("pivot", F.col("key").alias("x"), F.col("distance").alias("dx"), F.col("component").alias("cx"))
-        right = few.select("pivot", F.col("key").alias("y"), F.col("distance").alias("dy"), F.col("component").alias("cy"), F.col("outside").alias("oy"))
-        near = (F.abs(F.col("dx") - F.col("dy")) <= radius + SLACK) & (F.col("cx") != F.col("cy"))
-        once = ~F.col("oy") | (F.col("x") < F.col("y"))
-        direct = left.join(right, "pivot").where(near & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        direct = pin(direct, "pairs")
-        if not direct.isEmpty():
-            found = pin(compare(direct, sets, percent).where("linked").select("a", "b"), "linked")
-            if not found.isEmpty():
-                links = pin(links.union(found), "links")
-                roots = connected_components(links)
-        many = rest.where(F.col("work") > REST_PAIRS).select(F.col("pivot").alias("region"), "key", "outside", "component")
+        rest = _rest(regions, measured, roots, sets, radius)
+        few = rest.where(F.col("items") <= REST_ITEMS)
+        found = pin(join_rests(few, sets, percent), "linked")
+        if not found.isEmpty():
+            links = pin(links.union(found), "links")
+            roots = connected_components(links)
+        many = rest.where(F.col("items") > REST_ITEMS).select(F.col("pivot").alias("region"), "key", "outside", "component")
         if many.isEmpty():
             return documents, roots.withColumnRenamed("node", "key")
         round_ += 1
         regions = pin(_regions(redeal(many, sets, round_, percent)), "regions")
 
 
-def _rest(regions: DataFrame, measured: DataFrame, roots: DataFrame, radius: float) -> DataFrame:
-    """pivot, key, distance, outside, component, work: what is left of each region.
+def _rest(regions: DataFrame, measured: DataFrame, roots: DataFrame, sets: DataFrame, radius: float) -> DataFrame:
+    """pivot, key, distance, outside, component, items: what is left of each region.
 
     Pairs still to compare have a set that was outside, and two components. All sets of the pivot's
     component may stop being outside if every set of another component still is: those pairs have
     one end outside then. Sets stay only within the window of some set outside, by distance to the
-    pivot, and only regions with two components are left. work: at most so many pairs.
+    pivot, and only regions with two components are left. items: shingles of the whole rest.
     """
     least, most = F.least("pivot", "key"), F.greatest("pivot", "key")
     component = roots.select(F.col("node").alias("key"), "root")
@@ -239,19 +234,51 @@ def _rest(regions: DataFrame, measured: DataFrame, roots: DataFrame, radius: flo
             F.min(F.when(F.col("outside"), F.col("distance"))).alias("nearest"),
             F.max(F.when(F.col("outside"), F.col("distance"))).alias("farthest"),
             F.count_if("outside").alias("n_outside"),
-            F.count(F.lit(1)).alias("n"),
             F.min("component").alias("c0"),
             F.max("component").alias("c1"),
         )
         .where("n_outside > 0 and c0 <> c1")
+        .drop("c0", "c1", "n_outside")
     )
     window = (F.col("distance") >= F.col("nearest") - radius - SLACK) & (F.col("distance") <= F.col("farthest") + radius + SLACK)
-    return pin(
-        placed.join(whole, "pivot")
-        .where(window)
-        .select("pivot", "key", "distance", "outside", "component", (F.col("n_outside") * F.col("n")).alias("work")),
-        "rest",
-    )
+    rest = pin(placed.join(whole, "pivot").where(window).select("pivot", "key", "distance", "outside", "component"), "rest")
+    sized = rest.join(sets.select("key", "n"), "key").groupBy("pivot").agg(F.sum("n").alias("items"))
+    return rest.join(sized, "pivot")
+
+
+def join_rests(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the links between sets of different components in each region's rest.
+
+    A region is one task's group, of at most `REST_ITEMS` shingles. An index of the shingles gives
+    the sets that each set outside meets; those within the window are compared by their counts.
+    """
+    radius = 1 - percent / 100
+
+    def join(region: pa.Table) -> pa.Table:
+        lists = region["items"].combine_chunks()
+        items, n = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths(), np.int64)
+        ends = np.cumsum(n)
+        keys, components = np.asarray(region["key"]), np.asarray(region["component"])
+        distance, outside = np.asarray(region["distance"]), np.asarray(region["outside"])
+        order = np.argsort(items, kind="stable")
+        held, owner = items[order], np.repeat(np.arange(len(n)), n)[order]
+        a, b = [], []
+        for i in np.flatnonzero(outside):
+            own = items[ends[i] - n[i] : ends[i]]
+            first = np.searchsorted(held, own, "left")
+            many = np.searchsorted(held, own, "right") - first
+            stop = np.cumsum(many)
+            hits = np.arange(stop[-1]) + np.repeat(first - stop + many, many)
+            common = np.bincount(owner[hits], minlength=len(n))
+            near = (components != components[i]) & (np.abs(distance - distance[i]) <= radius + SLACK)
+            linked = np.flatnonzero(near & (100 * common >= percent * (n[i] + n - common)))
+            a.append(np.full(len(linked), keys[i]))
+            b.append(keys[linked])
+        none = np.array([], np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    full = rest.drop("items").join(sets.select("key", "items"), "key")
+    return full.groupBy("pivot").applyInArrow(join, "a long, b long").distinct()
 
 
 def jaccard_components(
