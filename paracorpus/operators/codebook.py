@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # pieces of at most this many centroids; a larger codebook takes several passes over the frames.
 PIECE = 8192
 ROWS_AT_ONCE = 2048
+# Bytes of centroids that may leave the cluster: tasks hold a whole codebook.
+MOST_BYTES = 512 * 1024 * 1024
 
 
 def fit_codebook(frames: DataFrame, k: int = 500, seed: int = 42, vec: str = "vec") -> DataFrame:
@@ -25,19 +27,31 @@ def fit_codebook(frames: DataFrame, k: int = 500, seed: int = 42, vec: str = "ve
 
 
 def _nearest(units: np.ndarray, centroids: np.ndarray):
-    @F.arrow_udf("struct<distance:double,unit:int>")
+    """The nearest of these centroids: squared distances rounded to nine digits are compared, and
+    of equal ones the smallest unit wins. A null vector has no unit."""
+    width = centroids.shape[1]
+
+    @F.arrow_udf("struct<near:double,unit:int,distance:double>")
     def nearest(vectors: pa.Array) -> pa.Array:
-        points = np.asarray(vectors.flatten(), dtype=np.float64).reshape(len(vectors), -1)
+        known = np.asarray(vectors.is_valid())
+        lengths = np.asarray(vectors.value_lengths().fill_null(width))
+        if (lengths != width).any():
+            odd = int(np.flatnonzero(lengths != width)[0])
+            raise ValueError(f"a vector has {lengths[odd]} numbers where the codebook has {width}: {vectors[odd]}")
+        points = np.asarray(vectors.drop_null().flatten(), dtype=np.float64).reshape(-1, width)
         best = np.empty(len(points), dtype=np.int64)
+        near = np.empty(len(points))
         for lo in range(0, len(points), ROWS_AT_ONCE):
             part = points[lo : lo + ROWS_AT_ONCE]
-            # |x|^2 is the same for every centroid, so it cannot change which one is nearest.
-            score = (centroids**2).sum(1) - 2 * (part @ centroids.T)
-            # Equal to nine digits counts as equal, and the smallest unit wins.
-            best[lo : lo + ROWS_AT_ONCE] = np.round(score, 9).argmin(1)
+            score = (part**2).sum(1)[:, None] + (centroids**2).sum(1) - 2 * (part @ centroids.T)
+            score = np.round(np.maximum(score, 0), 9)
+            best[lo : lo + ROWS_AT_ONCE] = at = score.argmin(1)
+            near[lo : lo + ROWS_AT_ONCE] = score[np.arange(len(part)), at]
         distance = ((points - centroids[best]) ** 2).sum(1)
+        place = pa.array(np.where(known, np.cumsum(known) - 1, 0), pa.int64(), mask=~known)
+        columns = [pa.array(near), pa.array(units[best], pa.int32()), pa.array(distance)]
         return pa.StructArray.from_arrays(
-            [pa.array(distance), pa.array(units[best], pa.int32())], ["distance", "unit"]
+            [c.take(place) for c in columns], ["near", "unit", "distance"], mask=pa.array(~known)
         )
 
     return nearest
@@ -46,27 +60,22 @@ def _nearest(units: np.ndarray, centroids: np.ndarray):
 def assign_units(frames: DataFrame, codebook: DataFrame, vec: str = "vec") -> DataFrame:
     """Add `unit`, the nearest centroid of `codebook` (unit, vec), and the squared `distance`.
 
-    No shuffle: matrix products over Arrow batches against a piece of the codebook at a time.
+    No shuffle: matrix products over Arrow batches against a piece of the codebook at a time. All
+    pieces compare and break ties alike. A null vector gets nulls; a vector of another length than
+    the codebook's, or a codebook above `MOST_BYTES`, is an error.
     """
-    size = codebook.count()
-    pieces = -(-size // PIECE) or 1
-    found = []
-    for piece in range(pieces):
-        part = codebook.where(F.pmod(F.xxhash64("unit"), F.lit(pieces)) == piece) if pieces > 1 else codebook
-        table = part.orderBy("unit").toArrow()
-        if table.num_rows:
-            found.append(
-                _nearest(np.asarray(table["unit"]), np.array(table["vec"].to_pylist(), dtype=np.float64))(
-                    F.col(vec).cast("array<double>")
-                )
-            )
-    if not found:
+    size, numbers = codebook.agg(F.count("*"), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    if not size:
         raise ValueError("the codebook is empty")
-    if len(found) == 1:
-        best = found[0]
-    else:
-        ranked = [F.struct(F.round(f["distance"], 9).alias("near"), f["unit"].alias("unit"), f["distance"].alias("distance")) for f in found]
-        best = F.array_min(F.array(*ranked))
+    if numbers * 8 > MOST_BYTES:
+        raise ValueError(f"a codebook of {numbers} numbers is too large to be sent to the tasks")
+    table = codebook.orderBy("unit").toArrow()
+    units, centroids = np.asarray(table["unit"]), np.array(table["vec"].to_pylist(), dtype=np.float64)
+    vector = F.col(vec).cast("array<double>")
+    found = [
+        _nearest(units[lo : lo + PIECE], centroids[lo : lo + PIECE])(vector) for lo in range(0, size, PIECE)
+    ]
+    best = found[0] if len(found) == 1 else F.array_min(F.array(*found))
     return (
         frames.withColumn("_best", best)
         .withColumns({"unit": F.col("_best.unit"), "distance": F.col("_best.distance")})

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as t
 
 from paracorpus.functions import text as T
 
@@ -28,23 +27,28 @@ def batch_predict(
     if reference:
         df = df.where(~T.is_blank(reference, stripped=False))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = make_predictor()
         for batch in batches:
             texts, errors = [], []
-            for value in batch[column]:
+            for value in batch:
                 try:
-                    texts.append(str(predict(value)).strip())
+                    texts.append(str(predict(value.as_py())).strip())
                     errors.append(None)
                 except Exception as problem:  # one bad row must not end the run
                     texts.append(None)
                     errors.append(f"{type(problem).__name__}: {problem}")
-            yield batch.assign(**{out: texts, "error": errors})
-
-    schema = t.StructType(
-        [*df.schema.fields, t.StructField(out, t.StringType()), t.StructField("error", t.StringType())]
+            yield pa.StructArray.from_arrays(
+                [pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["text", "error"]
+            )
+
+    # Only `column` travels to Python; the other columns stay as they are.
+    predicted = F.arrow_udf(run, "struct<text:string,error:string>")(column)
+    return (
+        df.withColumn("_predicted", predicted)
+        .withColumns({out: F.col("_predicted.text"), "error": F.col("_predicted.error")})
+        .drop("_predicted")
     )
-    return df.mapInPandas(run, schema)
 
 
 def predictions(df: DataFrame, id_col: str = "id") -> DataFrame:

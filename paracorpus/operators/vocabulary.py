@@ -11,10 +11,9 @@ from paracorpus.functions import text as T
 from paracorpus.operators.positions import with_position
 
 UNKNOWN = 0
-# Up to this many bytes of words a vocabulary is sent to the tasks; larger ones are joined.
-SMALL_VOCABULARY = 64 * 1024 * 1024
-BYTES_PER_ID = 8
-WORD_SALTS = 32
+# The most frequent words are looked up in the tasks: so many words of at most so many bytes, some
+# 40 MB. All others are joined.
+FREQUENT, WORD_BYTES = 500_000, 64
 
 
 def fit_vocab(df: DataFrame, text: str = "text", min_count: int = 1) -> DataFrame:
@@ -37,18 +36,18 @@ def encode_labels(
     vocab: DataFrame,
     text: str = "text",
     id_col: str = "id",
-    small: int = SMALL_VOCABULARY,
+    frequent: int = FREQUENT,
 ) -> DataFrame:
-    """Columns (id, labels): word ids in text order, unknown words as 0.
+    """Columns (id, labels): word ids in text order, unknown words as 0; a row for each row.
 
-    A vocabulary whose measured size is at most `small` bytes is looked up inside each task without any shuffle; a
-    larger one is joined to the words, see `_encode_by_join`.
+    The `frequent` words with the smallest ids, which make up nearly all tokens, are looked up where
+    the text is read, without a shuffle. Only the other words of a text travel: they are joined to
+    the rest of the vocabulary and put in their places, row by row, so rows may share an id. No rest
+    word is frequent, so the join has no hot key.
     """
     entries = vocab.select("word", "word_id")
-    weight = F.coalesce(F.sum(F.octet_length("word") + BYTES_PER_ID), F.lit(0))
-    if entries.agg(weight).first()[0] > small:
-        return _encode_by_join(df, entries, text, id_col)
-    head = entries.toArrow()
+    in_head = (F.col("word_id") <= frequent) & (F.octet_length("word") <= WORD_BYTES)
+    head = entries.where(in_head).toArrow()
     known, ids = head["word"].combine_chunks(), head["word_id"].combine_chunks()
 
     @F.arrow_udf("array<int>")
@@ -58,30 +57,22 @@ def encode_labels(
         return pa.ListArray.from_arrays(word_lists.offsets, labels)
 
     words = F.coalesce(T.words(text), F.array().cast("array<string>"))
-    return df.select(id_col, look_up(words).alias("labels"))
-
-
-def _encode_by_join(df: DataFrame, entries: DataFrame, text: str, id_col: str) -> DataFrame:
-    """Same result for a vocabulary of any size.
-
-    A frequent word may make up a third of all tokens, so its rows are spread over salts and
-    each vocabulary entry is repeated once per salt. Regrouping collects one text per group.
-    """
-    tokens = df.select(
-        id_col,
-        F.posexplode_outer(T.words(text)).alias("at", "word"),
-        F.pmod(F.xxhash64(id_col), F.lit(WORD_SALTS)).alias("salt"),
-    )
-    salted = entries.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1)).cast("array<bigint>"))
-    )
-    coded = tokens.join(salted, ["word", "salt"], "left")
-    label = F.when(
-        F.col("at").isNotNull(),
-        F.struct("at", F.coalesce("word_id", F.lit(UNKNOWN)).alias("word_id")),
+    found = df.select(id_col, words.alias("words")).withColumn("labels", look_up("words"))
+    rest = entries.where(~in_head)
+    if rest.isEmpty():
+        return found.select(id_col, "labels")
+    # The first left-over word of a row, or a null for none, carries the labels of the row.
+    at = F.filter(F.sequence(F.lit(0), F.size("words")), lambda i: F.get("labels", i) == UNKNOWN)
+    left_over = F.transform(at, lambda i: F.struct(i.alias("at"), F.get("words", i).alias("word")))
+    tokens = found.select(
+        F.monotonically_increasing_id().alias("row"), id_col, "labels", F.posexplode_outer(left_over).alias("nth", "token")
+    ).select(
+        "row", id_col, F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("labels")).alias("labels"), "token.at", "token.word"
     )
+    coded = tokens.join(rest, "word", "left")
+    put = F.when(F.col("word_id").isNotNull(), F.struct("at", "word_id"))
     return (
-        coded.groupBy(id_col)
-        .agg(F.array_sort(F.collect_list(label)).alias("tokens"))
-        .select(id_col, F.transform("tokens", lambda t: t.word_id.cast("int")).alias("labels"))
+        coded.groupBy("row")
+        .agg(F.first(id_col).alias(id_col), F.max("labels").alias("labels"), F.map_from_entries(F.collect_list(put)).alias("put"))
+        .select(id_col, F.transform("labels", lambda x, i: F.coalesce(F.element_at("put", i), x).cast("int")).alias("labels"))
     )

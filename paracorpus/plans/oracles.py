@@ -53,7 +53,7 @@ RECORDINGS = """recordings as (
   select concat(conv_id, '_', turn) as id, concat(conv_id, '/', turn, '.m4a') as audio_path,
          case when turn = 0 then '' else text end as transcript, text as english_translation,
          concat('d', length(text) % 3) as dialect, concat('P-', conv_id) as participant_id
-  from conversations where role = 'user')"""
+  from conversations)"""
 AUDIO = f"""{NAMED}, audio as (
   select stem, concat('AUDIO/', stem, ending) as path
   from named, (values ('.wav'), ('.mp3')) e(ending)
@@ -234,7 +234,7 @@ SQL: dict[str, str] = {
         select doc_id, case lang when 'de' then '' when 'es' then '   ' when 'en' then text end as text
         from documents)
       select doc_id, text from blanks where not ({blank('text')})""",
-    "file_stem": f"with {AUDIO} select path, stem, stem as unit_stem from audio",
+    "file_stem": f"with {NAMED} select concat('AUDIO/', stem, '.wav') as path, stem, stem as unit_stem from named",
     "participant_id": f"with {NAMED} select stem, {SPEAKER} as participant_id from named",
     "normalize_text": f"select doc_id, {norm('text')} as normalized from documents",
     "pair_by_stem": f"""with {AUDIO}, {TEXTS}
@@ -275,6 +275,13 @@ SQL: dict[str, str] = {
       coded as (select id, string_agg(word_id::varchar, ' ' order by pos) as joined
                 from tokens join vocab using (word) group by id)
       select l.id, len(w)::int as n, md5(coalesce(joined, '')) as labels from lists l left join coded using (id)""",
+    "encode_labels_joined": f"""with lists as (select doc_id as id, {words(norm('text'))} as w from documents),
+      tokens as (select id, unnest(w) as word, generate_subscripts(w, 1) as pos from lists),
+      vocab as (select word, row_number() over (order by count(*) desc, word) as word_id
+                from tokens group by word),
+      coded as (select id, string_agg(word_id::varchar, ' ' order by pos) as joined
+                from tokens join vocab using (word) group by id)
+      select l.id, len(w)::int as n, md5(coalesce(joined, '')) as labels from lists l left join coded using (id)""",
     "pad_labels": f"""with {UNITS}, {LABELLED},
       placed as (select *, (row_number() over (order by id) - 1) // {BATCH_SIZE} as batch from labelled),
       shaped as (select *, max(len(labels)) over (partition by batch) as width,
@@ -333,8 +340,8 @@ SQL: dict[str, str] = {
              {QUALITY.format(x='bleu')} as quality
       from rates, bleu_score, chrf_score""",
     "batch_predict": f"""select conv_id, turn,
-        case when length(text) <= 1000 then {strip("replace(text, 'th', 'z')")} end as hypothesis,
-        case when length(text) > 1000 then 'ValueError: too long' end as error from conversations""",
+        case when not contains(text, 'sch') then {strip("replace(text, 'th', 'z')")} end as hypothesis,
+        case when contains(text, 'sch') then 'ValueError: not a language of this model' end as error from conversations""",
     "units_scan": f"""with {UNITS}
       select id, len(units)::int as n, {digest('units')} as units, text from sequences""",
     "unit_stats": f"""with {UNITS} select count(*) as examples, round(avg(len(units)), 6) as mean_units
@@ -367,6 +374,16 @@ SQL: dict[str, str] = {
         from ranked k left join refs r on r.id = k.query_id where k.rank = 1)
       select count(*) as total, count(*) filter (correct) as correct_count,
              round(count(*) filter (correct) * 100 / count(*)::double, 6) as accuracy from judged""",
+    "retrieval_nulls": f"""with {KNN}, {REFERENCES},
+      results as (
+        select k.query_id as id, case when k.query_id % 3 > 0 then k.text end as translation,
+               case when k.query_id % 5 > 0 then round(similarity, 9) end as confidence, coalesce(r.text, 'N/A') as reference
+        from ranked k left join refs r on r.id = k.query_id where k.rank = 1),
+      judged as (
+        select id, confidence, coalesce(lower(trim(translation)) = lower(trim(reference)), false) as correct from results)
+      select correct, row_number() over (partition by correct order by confidence desc nulls last, id) - 1 as rank,
+             confidence, id, round(count(*) over (partition by correct) * 100 / count(*) over ()::double, 6) as share
+      from judged""",
     "confidence_stats": f"""with {SCORED}
       select round(avg(confidence) * 100, 6) as mean_confidence, round(min(confidence) * 100, 6) as min_confidence,
              round(max(confidence) * 100, 6) as max_confidence from scored""",

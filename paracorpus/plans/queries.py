@@ -76,9 +76,10 @@ def non_empty_text(spark, d):
 
 @query
 def file_stem(spark, d):
-    paths = V.audio_files(spark, d)
+    docs = V.named_documents(spark, d)
+    path = F.concat(F.lit("AUDIO/"), "stem", F.lit(".wav"))
     units = F.concat(F.lit("units/"), "stem", F.lit("_units.npy"))
-    return paths.select("path", "stem", T.unit_stem(T.stem(units)).alias("unit_stem"))
+    return docs.select(path.alias("path"), T.stem(path).alias("stem"), T.unit_stem(T.stem(units)).alias("unit_stem"))
 
 
 @query
@@ -118,7 +119,7 @@ def participant_lookup(spark, d):
 def union_sources(spark, d):
     return load_examples(
         "train",
-        recordings=lambda: recordings_to_examples(V.recordings(spark, d)),
+        recordings=lambda split: recordings_to_examples(V.recordings(spark, d)),
         tree=lambda split: V.tree_examples(spark, d, split),
     )
 
@@ -145,6 +146,16 @@ def encode_labels(spark, d):
     return coded.select("id", F.size("labels").alias("n"), _digest("labels").alias("labels"))
 
 
+@query
+def encode_labels_joined(spark, d):
+    """The same with most words outside the tasks' table."""
+    docs = V.table(spark, d, "documents", ["doc_id", "text"], spread=True).select(
+        F.col("doc_id").alias("id"), T.normalize("text").alias("text")
+    )
+    coded = vocab.encode_labels(docs, vocab.fit_vocab(docs), frequent=1000)
+    return coded.select("id", F.size("labels").alias("n"), _digest("labels").alias("labels"))
+
+
 @query
 def vocabulary(spark, d):
     docs = V.table(spark, d, "documents", ["text"])
@@ -246,8 +257,8 @@ def eval_raw(spark, d):
 def batch_predict(spark, d):
     def make():
         def answer(text):
-            if len(text) > 1000:
-                raise ValueError("too long")
+            if "sch" in text:
+                raise ValueError("not a language of this model")
             return text.replace("th", "z")
 
         return answer
@@ -321,6 +332,18 @@ def _translated(spark, d):
     return N.translate(V.unit_queries(spark, d), V.unit_training(spark, d))
 
 
+@query
+def retrieval_nulls(spark, d):
+    """Ranks and shares when every third training row has no text and every fifth query no result."""
+    results = _translated(spark, d).withColumns({
+        "translation": F.when(F.col("id") % 3 > 0, F.col("translation")),
+        "confidence": F.when(F.col("id") % 5 > 0, F.round("confidence", 9)),
+    })
+    judged = N.with_correct(N.with_reference(results, V.unit_references(spark, d)))
+    share = C.correct_share(judged).select("correct", F.round("share", 6).alias("share"))
+    return C.rank_curve(judged).join(share, "correct")
+
+
 # --- confidence --------------------------------------------------------------------------
 
 

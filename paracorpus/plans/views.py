@@ -108,8 +108,8 @@ def tree_examples(spark, folder, split: str) -> DataFrame:
 
 
 def recordings(spark, folder) -> DataFrame:
-    """User turns as the recordings table; the opening turn has no transcript."""
-    turns = table(spark, folder, "conversations").where(F.col("role") == "user")
+    """All turns as the recordings table; the opening turn has no transcript."""
+    turns = table(spark, folder, "conversations")
     return turns.select(
         F.concat_ws("_", "conv_id", "turn").alias("id"),
         F.concat(F.col("conv_id").cast("string"), F.lit("/"), "turn", F.lit(".m4a")).alias("audio_path"),

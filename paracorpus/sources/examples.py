@@ -25,24 +25,20 @@ def recordings_to_examples(recordings: DataFrame, cache: str | None = None) -> D
     )
 
 
-def load_examples(
-    split: str,
-    catalog: Callable[[str], DataFrame] | None = None,
-    recordings: Callable[[], DataFrame] | None = None,
-    tree: Callable[[str], DataFrame] | None = None,
-) -> DataFrame:
-    """All rows of the sources that are given, duplicates kept, absent columns null.
-
-    Each argument builds one source. The recordings have no splits, so they join in only when
-    the split is "train". A source that is not used is never opened.
+# Which splits a kind of source has; None stands for all of them.
+SPLITS = {"catalog": None, "recordings": {"train"}, "tree": None}
+
+
+def load_examples(split: str, **sources: Callable[[str], DataFrame]) -> DataFrame:
+    """All rows of the sources that serve `split`, duplicates kept, absent columns null.
+
+    Each keyword is a kind of source and builds it for a split; a source that does not serve the
+    split is never opened.
     """
-    parts = []
-    if catalog:
-        parts.append(catalog(split))
-    if recordings and split == "train":
-        parts.append(recordings())
-    if tree:
-        parts.append(tree(split))
-    if not parts:
-        raise ValueError("No dataset sources selected")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    unknown = sources.keys() - SPLITS.keys()
+    if unknown:
+        raise ValueError(f"unknown kinds of sources: {sorted(unknown)}")
+    serving = [make for kind, make in sources.items() if make and (SPLITS[kind] is None or split in SPLITS[kind])]
+    if not serving:
+        raise ValueError(f"none of the given sources has a split named {split!r}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [make(split) for make in serving])
