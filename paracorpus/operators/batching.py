@@ -22,19 +22,20 @@ def pad_labels(
     """Columns (batch, id, labels): rows in id order, `batch_size` per batch.
 
     Each batch is padded to its longest row; when every row of a batch starts with `bos`, the
-    first column goes. Only the window over one batch (batch_size rows) groups rows.
+    first column goes. Ids are unique. Only the id, the length and the first label of a row are sorted and
+    numbered; the labels move once, to meet the shape of their batch.
     """
     whole_batch = W.partitionBy("batch")
-    placed = with_position(df.select(id_col, labels), id_col).withColumn(
-        "batch", F.floor(F.col("position") / batch_size)
-    )
     starts_with_bos = F.coalesce(F.get(labels, F.lit(0)) == bos, F.lit(False))
-    shaped = placed.withColumns(
-        {
-            "_width": F.max(F.size(labels)).over(whole_batch),
-            "_drop": F.bool_and(starts_with_bos).over(whole_batch),
-        }
+    narrow = df.select(id_col, F.size(labels).alias("_size"), starts_with_bos.alias("_bos"))
+    shapes = (
+        with_position(narrow, id_col)
+        .withColumn("batch", F.floor(F.col("position") / batch_size))
+        .select(
+            id_col, "batch", F.max("_size").over(whole_batch).alias("_width"), F.bool_and("_bos").over(whole_batch).alias("_drop")
+        )
     )
+    shaped = df.select(id_col, labels).join(shapes, id_col)
     padded = F.concat(
         F.col(labels),
         F.array_repeat(F.lit(PADDING), (F.col("_width") - F.size(labels)).cast("int")),

@@ -219,13 +219,21 @@ def run_counts(predictions: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_predictions(predictions: DataFrame, mode: str = "normalized") -> DataFrame:
+    """`evaluate` of the rows that went well, with the counts of processed, failed and skipped rows
+    beside the metrics, in one row. `predictions`: id, reference, hypothesis, error."""
+    counts = run_counts(predictions).withColumn("_one", F.lit(1))
+    metrics = evaluate(split_failed(predictions)[0], mode).withColumn("_one", F.lit(1))
+    return metrics.join(F.broadcast(counts), "_one").drop("_one")  # one row each
+
+
 def evaluate(
-    pairs: DataFrame, mode: str = "normalized", embedding_scores: DataFrame | None = None
+    pairs: DataFrame, mode: str = "normalized", embedding_scores: DataFrame | None = None, id_col: str = "id"
 ) -> DataFrame:
     """All corpus metrics and the quality band in one row, from one pass over the pairs.
 
-    `embedding_scores` (column `f1`) comes from `embedding_score`; without it, or when it is
-    empty, the similarity is 0.0.
+    `embedding_scores` (id, f1) comes from `embedding_score`; the scores of the pairs that are blank
+    on neither side count. Without any the similarity is 0.0.
     """
     raw = _totals(pairs, mode, ALL_PARTS).select(
         _total("hits", "rows").alias("total_samples"),
@@ -238,9 +246,8 @@ def evaluate(
     if embedding_scores is None:
         similarity = F.lit(0.0)
     else:
-        similarity = F.coalesce(
-            embedding_scores.agg(F.avg("f1").alias("mean_f1")).scalar(), F.lit(0.0)
-        )
+        scored = embedding_scores.join(valid_pairs(pairs).select(id_col).distinct(), id_col, "left_semi")
+        similarity = F.coalesce(scored.agg(F.avg("f1").alias("mean_f1")).scalar(), F.lit(0.0))
     return raw.select(
         "total_samples",
         F.round("b", 2).alias("bleu"),

@@ -17,7 +17,8 @@ EXAMPLE_COLUMNS = [
     "dialect", "participant_id", "age_group", "gender",
 ]
 SPEAKER_COLUMNS = ["dialect", "age_group", "gender"]
-SPEAKER_SALTS = 16
+# Rows of one speaker that meet in one task.
+SPEAKER_ROWS = 1_000_000
 
 
 def to_examples(df: DataFrame, mapping: dict[str, str | Column]) -> DataFrame:
@@ -69,17 +70,32 @@ def missing_items(manifest: DataFrame, cached: DataFrame, key: str) -> DataFrame
     return manifest.join(cached, key, "left_anti")
 
 
-def with_participants(df: DataFrame, meta: DataFrame, id_col: str = "id") -> DataFrame:
+def with_participants(
+    df: DataFrame, meta: DataFrame, id_col: str = "id", rows_per_task: int = SPEAKER_ROWS
+) -> DataFrame:
     """Attach speaker attributes by the participant id in the stem; nulls where there is none.
 
-    One speaker, or the rows without any, may be a third of the corpus. The rows are therefore
-    spread over salts, and each (small) speaker row is repeated once per salt.
+    One speaker may hold most of the rows. Speakers are counted first (one narrow aggregate); those
+    with more than `rows_per_task` rows are spread over as many salts as that takes, and their
+    speaker row is repeated once per salt. Rows without an id go round the join. There are at
+    most rows / rows_per_task such speakers, so their table is broadcast.
     """
-    salt = F.pmod(F.xxhash64(id_col), F.lit(SPEAKER_SALTS))
-    salted = df.withColumns({"participant_id": T.participant_id(id_col), "_salt": salt})
-    speakers = meta.select(
-        "participant_id", *[T.blank_to_null(c).alias(c) for c in SPEAKER_COLUMNS]
-    ).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SPEAKER_SALTS - 1)).cast("array<bigint>"))
+    rows = df.withColumn("participant_id", T.participant_id(id_col))
+    known, nameless = rows.where("participant_id is not null"), rows.where("participant_id is null")
+    heavy = (
+        known.groupBy("participant_id")
+        .agg(F.count("*").alias("_rows"))
+        .where(F.col("_rows") > rows_per_task)
+        .select("participant_id", F.ceil(F.col("_rows") / rows_per_task).alias("_salts"))
+    )
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = known.join(F.broadcast(heavy), "participant_id", "left").withColumn("_salt", F.pmod(F.xxhash64(id_col), salts)).drop("_salts")
+    speakers = (
+        meta.select("participant_id", *[T.blank_to_null(c).alias(c) for c in SPEAKER_COLUMNS])
+        .join(F.broadcast(heavy), "participant_id", "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+        .drop("_salts")
     )
-    return salted.join(speakers, ["participant_id", "_salt"], "left").drop("_salt")
+    found = salted.join(speakers, ["participant_id", "_salt"], "left").drop("_salt")
+    names = [c for c in df.columns if c != "participant_id"]
+    return found.unionByName(nameless, allowMissingColumns=True).select(*names, "participant_id", *SPEAKER_COLUMNS)

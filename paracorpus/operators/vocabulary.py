@@ -64,9 +64,8 @@ def encode_labels(
     # The first left-over word of a row, or a null for none, carries the labels of the row.
     at = F.filter(F.sequence(F.lit(0), F.size("words")), lambda i: F.get("labels", i) == UNKNOWN)
     left_over = F.transform(at, lambda i: F.struct(i.alias("at"), F.get("words", i).alias("word")))
-    tokens = found.select(
-        F.monotonically_increasing_id().alias("row"), id_col, "labels", F.posexplode_outer(left_over).alias("nth", "token")
-    ).select(
+    numbered = found.withColumn("row", F.monotonically_increasing_id())
+    tokens = numbered.select("row", id_col, "labels", F.posexplode_outer(left_over).alias("nth", "token")).select(
         "row", id_col, F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("labels")).alias("labels"), "token.at", "token.word"
     )
     coded = tokens.join(rest, "word", "left")

@@ -333,12 +333,59 @@ SQL: dict[str, str] = {
         select (select sum(edits) / sum(n)::double from word_edits) as w,
                (select sum(edits) / sum(n)::double from char_edits) as e)
       select (select count(*) from pairs) as total_samples, round(bleu, 2) as bleu, round(chrf, 2) as chrf,
-             round((select avg(f1) from similarity), 4) as bertscore_f1,
+             round((select avg(f1) from conversations c join similarity s on s.id = c.conv_id
+                     where not {blank('c.text')} and not {blank(misheard('c.text'))}), 4) as bertscore_f1,
              round(w * 100, 2) as wer_pct, round(e * 100, 2) as cer_pct,
              round((1 - w) * 100, 2) as word_accuracy_pct,
              round((select avg(share) * 100 from shares), 2) as word_overlap_pct,
              {QUALITY.format(x='bleu')} as quality
       from rates, bleu_score, chrf_score""",
+    "predict_and_evaluate": f"""with recursive pairs as (
+        select concat(conv_id, '_', turn) as id, {norm('text')} as ref, {norm("replace(text, 'th', 'z')")} as hyp
+        from conversations where text <> '' and not contains(text, 'sch')),
+      {WORD_EDITS}, {CHAR_EDITS}, {WORD_LISTS} {BLEU}, {CHRF}, {OVERLAP},
+      rates as (
+        select (select sum(edits) / sum(n)::double from word_edits) as w,
+               (select sum(edits) / sum(n)::double from char_edits) as e)
+      select (select count(*) from pairs) as total_samples, round(bleu, 2) as bleu, round(chrf, 2) as chrf,
+             0.0::double as bertscore_f1, round(w * 100, 2) as wer_pct, round(e * 100, 2) as cer_pct,
+             round((1 - w) * 100, 2) as word_accuracy_pct,
+             round((select avg(share) * 100 from shares), 2) as word_overlap_pct,
+             {QUALITY.format(x='bleu')} as quality,
+             (select count(*) from conversations where text <> '' and not contains(text, 'sch')) as processed,
+             (select count(*) from conversations where text <> '' and contains(text, 'sch')) as failed, 0::bigint as skipped
+      from rates, bleu_score, chrf_score""",
+    "first_samples": f"""with recursive {SPOKEN}, {WORD_EDITS}, {CHAR_EDITS}
+      select p.id, p.ref as reference_normalized, p.hyp as hypothesis_normalized,
+             round(w.edits / nullif(w.n, 0)::double * 100, 2) as wer_pct,
+             round(c.edits / nullif(c.n, 0)::double * 100, 2) as cer_pct
+      from pairs p join word_edits w using (id) join char_edits c using (id) order by p.id limit 10""",
+    "retrieval_results": f"""with {KNN}, {REFERENCES}
+      select k.query_id as file, coalesce(r.text, 'N/A') as reference, k.text as translation, round(similarity, 9) as confidence,
+             coalesce(lower(trim(k.text)) = lower(trim(coalesce(r.text, 'N/A'))), false) as correct, num_units::int as num_units
+      from ranked k left join refs r on r.id = k.query_id where k.rank = 1""",
+    "retrieval_details": f"""with {KNN}, {REFERENCES}
+      select k.query_id as file, coalesce(r.text, 'N/A') as reference, k.rank::int as rank, train_id, k.text, round(similarity, 9) as similarity
+      from ranked k left join refs r on r.id = k.query_id where k.rank <= 5""",
+    "fit_codebook": "select 10::bigint as units_used, count(*) as frames, true as no_dearer from embeddings",
+    "audio_conform": """select vec_id::varchar as id, 16000 as rate, 2 * len(embedding) as n, 2 as channels_in, 8000 as rate_in,
+        null::varchar as error, md5(array_to_string(list_transform(embedding,
+          lambda x: trunc(greatest(-1, least(1, x::double)) * 32767)::int), ' ')) as heard from embeddings""",
+    "ingest_examples": f"""with {RECORDINGS}, {AUDIO}, {TEXTS},
+      noted as (
+        select concat('P-', source, '-', lang) as participant_id,
+               case when n_chars > 2000 then null else lang end as dialect,
+               case when n_chars > 1000 then '30-45' else '18-30' end as age_group,
+               case when lang = 'en' then 'f' else 'm' end as gender,
+               row_number() over (partition by source, lang order by doc_id desc) as latest
+        from documents where doc_id in (select doc_id from labels where toxic = 1)),
+      paired as (
+        select stem, text, min(path) as path from texts join audio using (stem) where not {blank('text')} group by stem, text)
+      select id, audio_path as audio, transcript, english_translation, dialect, participant_id,
+             null::varchar as age_group, null::varchar as gender from recordings
+      union all
+      select stem, path, null, text, dialect, {SPEAKER}, age_group, gender
+      from paired left join noted m on m.participant_id = {SPEAKER} and latest = 1""",
     "batch_predict": f"""select conv_id, turn,
         case when not contains(text, 'sch') then {strip("replace(text, 'th', 'z')")} end as hypothesis,
         case when contains(text, 'sch') then 'ValueError: not a language of this model' end as error from conversations""",

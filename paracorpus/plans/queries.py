@@ -124,6 +124,21 @@ def union_sources(spark, d):
     )
 
 
+@query
+def ingest_examples(spark, d):
+    """Texts with content, their first audio file, their speakers, and the recordings beside them."""
+    def tree(split):
+        texts = P.non_empty(V.text_files(spark, d), "text")
+        paired = P.pair_first_audio(texts, V.audio_files(spark, d))
+        spoken = P.with_participants(paired, V.participants(spark, d), "stem")
+        return P.to_examples(spoken, {
+            "id": "stem", "audio": "path", "english_translation": "text", "dialect": "dialect",
+            "participant_id": "participant_id", "age_group": "age_group", "gender": "gender",
+        })
+
+    return load_examples("train", recordings=lambda split: recordings_to_examples(V.recordings(spark, d)), tree=tree)
+
+
 @query
 def nth_item(spark, d):
     return positions.nth_item(V.table(spark, d, "documents", ["doc_id", "lang", "source"]), "doc_id", 7)
@@ -238,7 +253,25 @@ def embedding_score(spark, d):
 @query
 def eval_summary(spark, d):
     """The flagship: every corpus metric in one row."""
-    return E.evaluate(V.spoken_pairs(spark, d), embedding_scores=embeddings.embedding_score(V.token_pairs(spark, d)))
+    scores = embeddings.embedding_score(V.turn_vectors(spark, d))
+    return E.evaluate(V.spoken_pairs(spark, d), embedding_scores=scores)
+
+
+@query
+def predict_and_evaluate(spark, d):
+    """A model applied to every turn, and its metrics beside what went wrong."""
+    turns = V.table(spark, d, "conversations", ["conv_id", "turn", "text"]).select(
+        F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("text").alias("reference"), "text"
+    )
+    predicted = prediction.batch_predict(turns, _answering, column="text", reference="reference")
+    return E.evaluate_predictions(prediction.predictions(predicted))
+
+
+@query
+def first_samples(spark, d):
+    """The first ten samples with their error rates."""
+    scores = E.sample_scores(positions.head_n(V.spoken_pairs(spark, d), "id", 10))
+    return scores.select("id", "reference_normalized", "hypothesis_normalized", "wer_pct", "cer_pct")
 
 
 @query
@@ -255,16 +288,17 @@ def eval_raw(spark, d):
 
 @query
 def batch_predict(spark, d):
-    def make():
-        def answer(text):
-            if "sch" in text:
-                raise ValueError("not a language of this model")
-            return text.replace("th", "z")
+    turns = V.table(spark, d, "conversations", ["conv_id", "turn", "text"])
+    return prediction.batch_predict(turns, _answering, column="text", out="hypothesis").drop("text")
 
-        return answer
 
-    turns = V.table(spark, d, "conversations", ["conv_id", "turn", "text"])
-    return prediction.batch_predict(turns, make, column="text", out="hypothesis").drop("text")
+def _answering():
+    def answer(text):
+        if "sch" in text:
+            raise ValueError("not a language of this model")
+        return text.replace("th", "z")
+
+    return answer
 
 
 # --- retrieval ---------------------------------------------------------------------------
@@ -332,6 +366,19 @@ def _translated(spark, d):
     return N.translate(V.unit_queries(spark, d), V.unit_training(spark, d))
 
 
+@query
+def retrieval_results(spark, d):
+    """file, reference, translation, confidence, correct, num_units of every query."""
+    return _rounded(N.result_table(_translated(spark, d), V.unit_references(spark, d)), "confidence", digits=9)
+
+
+@query
+def retrieval_details(spark, d):
+    """The five best neighbours of every query beside its reference."""
+    found = N.result_details(V.unit_queries(spark, d), V.unit_training(spark, d), V.unit_references(spark, d))
+    return _rounded(found, "similarity", digits=9)
+
+
 @query
 def retrieval_nulls(spark, d):
     """Ranks and shares when every third training row has no text and every fifth query no result."""
@@ -409,7 +456,15 @@ def assign_units(spark, d):
 
 @query
 def fit_codebook(spark, d):
-    return codebook.fit_codebook(V.frames(spark, d), k=10)
+    """What holds for every good codebook: its size, that each unit is used, and that it costs no
+    more than the vectors that came first."""
+    frames = V.frames(spark, d)
+    fitted = codebook.assign_units(frames, codebook.fit_codebook(frames, k=10))
+    first = codebook.assign_units(frames, V.codebook(spark, d)).agg(F.sum("distance").alias("cost")).scalar()
+    return fitted.agg(
+        F.count_distinct("unit").alias("units_used"), F.count("unit").alias("frames"),
+        (F.sum("distance") <= first).alias("no_dearer"),
+    )
 
 
 @query
@@ -442,7 +497,9 @@ def audio_conform(spark, d):
     made = V.frames(spark, d).select("vec_id", "vec").mapInPandas(
         clip, "id string, path string, content binary"
     )
-    return conform_audio(made).select("id", "rate", "n", "channels_in", "rate_in", "error")
+    # At twice the rate every second sample is one of the input.
+    heard = F.transform(F.filter("samples", lambda x, i: i % 2 == 0), lambda x: F.round(x * 32768).cast("int"))
+    return conform_audio(made).select("id", "rate", "n", "channels_in", "rate_in", "error", _digest(heard).alias("heard"))
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

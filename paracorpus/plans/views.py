@@ -224,6 +224,15 @@ def token_pairs(spark, folder) -> DataFrame:
     )
 
 
+def turn_vectors(spark, folder) -> DataFrame:
+    """The token vectors of every turn whose place in its conversation has a pair of texts."""
+    turns = table(spark, folder, "conversations", ["conv_id", "turn"])
+    pairs = token_pairs(spark, folder).withColumnRenamed("id", "pair")
+    return turns.join(pairs, turns["conv_id"] == pairs["pair"]).select(
+        F.concat_ws("_", "conv_id", "turn").alias("id"), "hyp_vecs", "ref_vecs"
+    )
+
+
 def labelled(spark, folder) -> DataFrame:
     """Label sequences; every second batch of documents starts with BOS throughout."""
     units = F.transform("units", lambda u: u + BOS + 1)

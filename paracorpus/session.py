@@ -46,4 +46,19 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that `pin` has written so far and say how many; DataFrames built on them can no
+    longer be evaluated. Results are lazy, so only the caller knows when that is."""
+    paths, count = list(_WRITTEN), 0
+    _WRITTEN.clear()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        count += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return count

@@ -25,6 +25,8 @@ SUMMARY_HEADER = {
     "word_overlap_pct": "Word_Overlap_%",
     "quality": "Quality",
 }
+# Columns of the summary beyond the published ones.
+EXTRA_SUMMARY = {"word_accuracy_pct": "Word_Accuracy_%"}
 # Quotes are doubled, so texts with commas, quotes and line breaks read back unchanged.
 CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -38,9 +40,11 @@ def write_samples(scores: DataFrame, folder: str, mode: str = "overwrite") -> No
     _renamed(scores, SAMPLE_HEADER).write.mode(mode).csv(folder, **CSV)
 
 
-def write_summary(summary: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    """The one-row summary as one CSV file."""
-    _renamed(summary, SUMMARY_HEADER).coalesce(1).write.mode(mode).csv(folder, **CSV)
+def write_summary(
+    summary: DataFrame, folder: str, mode: str = "overwrite", extra: dict[str, str] | None = None
+) -> None:
+    """The one-row summary as one CSV file; `extra` names further columns, such as `EXTRA_SUMMARY`."""
+    _renamed(summary, SUMMARY_HEADER | (extra or {})).coalesce(1).write.mode(mode).csv(folder, **CSV)
 
 
 def write_results_json(results: DataFrame, folder: str, mode: str = "overwrite") -> None:

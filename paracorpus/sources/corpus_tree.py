@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,29 +21,38 @@ AUDIO_FOLDER, TEXT_FOLDER = "AUDIO", "TXT"
 PARTICIPANT_FILE = "Participant_meta_data.csv"
 
 
-def _paths(spark: SparkSession, folder: str, pattern: str | None) -> DataFrame:
-    reader = spark.read.format("binaryFile")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    # Only the path column is read: the file contents are pruned.
-    return reader.load(folder).select("path")
-
-
 def list_files(spark: SparkSession, folder: str, extension: str | None = None) -> DataFrame:
-    """Columns (stem, path) of the files of a folder; sub-folders are not entered."""
-    pattern = f"*.{extension.lstrip('.')}" if extension else None
-    plain = _paths(spark, folder, pattern).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("path")
-    )
-    return plain.select(T.stem("path").alias("stem"), "path")
+    """Columns (stem, path) of the files of a folder, of whatever name and size; sub-folders are not entered.
+
+    The file system is asked for the names, as Spark's readers do to plan a scan: they would leave
+    out names that start with _ or . and files without content.
+    """
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    entries = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(place)
+    ending, rows = f".{extension.lstrip('.')}" if extension else "", []
+    while entries.hasNext():
+        entry = entries.next()
+        path = entry.getPath().toString()
+        if entry.isFile() and path.endswith(ending):
+            rows.append((re.sub("^file:/+", "/", path),))
+    paths = spark.createDataFrame(rows, "path string")
+    return paths.select(T.stem("path").alias("stem"), "path")
 
 
 def read_texts(spark: SparkSession, folder: str, extension: str | None = None) -> DataFrame:
-    """Columns (stem, text): whole UTF-8 files, stripped."""
+    """Columns (stem, text): whole UTF-8 files, stripped; files without content have an empty text.
+
+    Files whose names start with _ or . are not read by Spark's text source; `list_files` has them.
+    """
     options = {"pathGlobFilter": f"*.{extension.lstrip('.')}"} if extension else {}
     files = spark.read.text(folder, wholetext=True, **options)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return files.select(T.stem(path).alias("stem"), T.strip("value").alias("text"))
+    full = files.select(T.stem(path).alias("stem"), T.strip("value").alias("text"), F.lit(True).alias("_full"))
+    # A file of 0 bytes is no row of the scan.
+    names = list_files(spark, folder, extension).select("stem").where(~F.substring("stem", 1, 1).isin("_", "."))
+    empty = names.join(full.select("stem").distinct(), "stem", "left_anti").select("stem", F.lit("").alias("text"))
+    return full.drop("_full").unionByName(empty)
 
 
 def read_corpus_tree(spark: SparkSession, root: str, split: str) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,8 @@ def as_rows(df: pd.DataFrame) -> list[str]:
     def cell(x):
         if x is None or (isinstance(x, float) and x != x) or x is pd.NA:
             return "null"
-        if isinstance(x, float):
+        # A whole number may come as a float if its column has nulls.
+        if isinstance(x, (int, float)) and not isinstance(x, bool):
             return f"{x:.6f}"
         return str(x)
 
@@ -67,7 +68,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session("oracle-check", os.environ.get("SPARK_MASTER", "local[8]"), **{"spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(folder), []
     queries, oracle = entry.queries(), entry.oracle_sql()

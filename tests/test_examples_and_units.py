@@ -71,9 +71,17 @@ def test_labels(spark):
     assert ids == {"the": (3, 1), "sun": (2, 2), "a": (1, 3), "moon": (1, 4)}
     want = {0: [1, 2, 1, 4], 1: [], 2: [3, 1, 2], 3: [0, 0, 0, 0]}
     want[0] = [1, 2, 1, 4]
-    for small in (1 << 20, 0):
-        got = {r.id: r.labels for r in V.encode_labels(df, vocab, small=small).collect()}
-        assert got == want, small
+    for frequent in (V.FREQUENT, 2, 0):
+        got = {r.id: r.labels for r in V.encode_labels(df, vocab, frequent=frequent).collect()}
+        assert got == want, frequent
+
+
+@pytest.mark.parametrize("frequent", [V.FREQUENT, 1, 0])
+def test_labels_of_rows_that_share_an_id(spark, frequent):
+    df = spark.createDataFrame([(1, "a b"), (1, "b a b"), (1, "a b"), (None, "c"), (None, None)], "id int, text string")
+    vocab = spark.createDataFrame([("b", 1), ("a", 2), ("c" * 100, 3), ("c", 4)], "word string, word_id int")
+    got = sorted((r.id or 0, r.labels) for r in V.encode_labels(df, vocab, frequent=frequent).collect())
+    assert got == [(0, []), (0, [4]), (1, [1, 2, 1]), (1, [2, 1]), (1, [2, 1])]
 
 
 def streams():
@@ -128,6 +136,25 @@ def test_assign_units(spark, piece, monkeypatch):
         assert r.distance == pytest.approx(distance[r.id].min())
 
 
+def test_assign_units_of_odd_vectors(spark):
+    book = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 1.0])], "unit int, vec array<double>")
+    frames = spark.createDataFrame([(1, [1.0, 0.9]), (2, None), (3, [0.1, 0.0])], "id int, vec array<double>")
+    rows = {r.id: (r.unit, r.distance) for r in codebook.assign_units(frames, book).collect()}
+    assert rows[2] == (None, None) and rows[1][0] == 1 and rows[3] == (0, pytest.approx(0.01))
+    ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, []), (3, [0.0, 1.0, 3.0, 4.0])], "id int, vec array<double>")
+    with pytest.raises(Exception, match="a vector has 0 numbers"):
+        codebook.assign_units(ragged, book).collect()
+    with pytest.raises(ValueError, match="empty"):
+        codebook.assign_units(frames, book.where("false"))
+
+
+def test_large_codebooks_stay_in_the_cluster(spark, monkeypatch):
+    monkeypatch.setattr(codebook, "MOST_BYTES", 31)
+    book = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 1.0])], "unit int, vec array<double>")
+    with pytest.raises(ValueError, match="too large"):
+        codebook.assign_units(book.withColumnRenamed("unit", "id"), book)
+
+
 def test_fit_codebook(spark):
     rnd = np.random.default_rng(2)
     points = np.concatenate([rnd.normal(c, 0.05, size=(50, 2)) for c in (0, 5, 10)])
@@ -170,6 +197,9 @@ def test_batch_predict(spark):
     rows = {r.id: r for r in prediction.batch_predict(df, make, reference="reference").collect()}
     assert set(rows) == {1, 2} and rows[1].hypothesis == "a!" and rows[1].error is None
     assert rows[2].hypothesis is None and "no model" in rows[2].error
+    large = spark.createDataFrame([(9007199254740993, "a"), (None, "c")], "id long, audio string")
+    kept = prediction.batch_predict(large, make).collect()
+    assert {r.id for r in kept} == {9007199254740993, None} and [r.hypothesis for r in kept] == ["a!", "c!"]
 
 
 def test_sinks(spark, tmp_path):
@@ -186,6 +216,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_summary(summary, f"{tmp_path}/summary")
     lone = spark.read.csv(f"{tmp_path}/summary", header=True).collect()
     assert len(lone) == 1 and lone[0]["Total_Samples"] == "2" and lone[0]["chrF++"] is not None
+    sinks.write_summary(summary, f"{tmp_path}/wide", extra=sinks.EXTRA_SUMMARY)
+    wide = spark.read.csv(f"{tmp_path}/wide", header=True).first()
+    assert float(wide["Word_Accuracy_%"]) == summary.first().word_accuracy_pct
     sinks.write_results_json(df, f"{tmp_path}/json")
     assert {r.reference for r in spark.read.json(f"{tmp_path}/json").collect()} == {'The "cat", sat\non', "é ünï"}
     assert any("é ünï" in p.read_text("utf-8") for p in (tmp_path / "json").glob("*.json"))

@@ -57,7 +57,7 @@ def test_texts_and_paths(spark, tree):
 
 def test_listing_does_not_read_contents(spark, tree, capsys):
     corpus_tree.list_files(spark, f"{tree}/train/AUDIO").explain()
-    assert "content" not in capsys.readouterr().out.split("ReadSchema")[1]
+    assert "Scan binaryFile" not in capsys.readouterr().out
 
 
 def test_tree_examples(spark, tree):
@@ -116,7 +116,7 @@ def test_union_of_sources(spark):
 
     parts = {
         "catalog": lambda split: source("a", "id", "audio"),
-        "recordings": lambda: source("b", "id", "dialect"),
+        "recordings": lambda split: source("b", "id", "dialect"),
         "tree": lambda split: source("a", "id", "audio", "gender"),
     }
     train = examples.load_examples("train", **parts)
@@ -124,10 +124,33 @@ def test_union_of_sources(spark):
     assert set(train.columns) == {"id", "audio", "dialect", "gender"}
     assert train.where("id = 'b'").first().audio is None
     assert examples.load_examples("test", **parts).count() == 2
-    with pytest.raises(ValueError, match="No dataset sources selected"):
+    with pytest.raises(ValueError, match="none of the given sources"):
         examples.load_examples("train")
-    with pytest.raises(ValueError, match="No dataset sources selected"):
+    with pytest.raises(ValueError, match="none of the given sources"):
         examples.load_examples("test", recordings=parts["recordings"])
+    with pytest.raises(ValueError, match="unknown kinds"):
+        examples.load_examples("test", web=parts["tree"])
+
+
+def test_a_speaker_with_most_of_the_rows(spark):
+    names = [f"P-1-a_{i}" for i in range(90)] + [f"P-{i}-b_0" for i in range(2, 9)] + ["nobody", None]
+    df = spark.createDataFrame([(n,) for n in names], "stem string")
+    meta = spark.createDataFrame([("P-1-a", "d", "30", "f"), ("P-2-b", "e", "", "m")], "participant_id string, dialect string, age_group string, gender string")
+    found = P.with_participants(df, meta, "stem", rows_per_task=10)
+    rows = {r.stem: r for r in found.collect()}
+    assert len(rows) == found.count() == len(names) and found.columns == ["stem", "participant_id", "dialect", "age_group", "gender"]
+    assert all(rows[n].dialect == "d" for n in names[:90]) and rows["P-2-b_0"].age_group is None and rows["P-3-b_0"].dialect is None
+    assert rows["nobody"].participant_id is None
+
+
+def test_no_file_is_lost_by_its_name_or_size(spark, tmp_path):
+    for name in ("a.wav", "_b.wav", ".c.wav", "empty.wav", "d e+f%.wav", "x.txt"):
+        (tmp_path / name).write_bytes(b"" if name == "empty.wav" else b"x")
+    (tmp_path / "folder.wav").mkdir()
+    found = corpus_tree.list_files(spark, str(tmp_path), "wav").collect()
+    assert {r.path.rsplit("/", 1)[1] for r in found} == {"a.wav", "_b.wav", ".c.wav", "empty.wav", "d e+f%.wav"}
+    texts = {r.stem: r.text for r in corpus_tree.read_texts(spark, str(tmp_path)).collect()}
+    assert texts["a"] == "x" and texts["empty"] == ""
 
 
 def test_missing_items_and_coverage(spark):
