@@ -247,10 +247,12 @@ def _rest(regions: DataFrame, measured: DataFrame, roots: DataFrame, sets: DataF
 
 
 def join_rests(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: the links between sets of different components in each region's rest.
+    """a, b: links that join the components of each region's rest, one for each two that meet.
 
     A region is one task's group, of at most `REST_ITEMS` shingles. An index of the shingles gives
-    the sets that each set outside meets; those within the window are compared by their counts.
+    the sets that each set outside meets; those within the window and of another component are
+    compared by their counts. A link merges two components at once, so a region of n sets gives
+    fewer than n links.
     """
     radius = 1 - percent / 100
 
@@ -258,7 +260,7 @@ def join_rests(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         lists = region["items"].combine_chunks()
         items, n = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths(), np.int64)
         ends = np.cumsum(n)
-        keys, components = np.asarray(region["key"]), np.asarray(region["component"])
+        keys, components = np.asarray(region["key"]), np.array(region["component"])
         distance, outside = np.asarray(region["distance"]), np.asarray(region["outside"])
         order = np.argsort(items, kind="stable")
         held, owner = items[order], np.repeat(np.arange(len(n)), n)[order]
@@ -272,8 +274,10 @@ def join_rests(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             common = np.bincount(owner[hits], minlength=len(n))
             near = (components != components[i]) & (np.abs(distance - distance[i]) <= radius + SLACK)
             linked = np.flatnonzero(near & (100 * common >= percent * (n[i] + n - common)))
-            a.append(np.full(len(linked), keys[i]))
-            b.append(keys[linked])
+            joined, some = np.unique(components[linked], return_index=True)
+            a.append(np.full(len(joined), keys[i]))
+            b.append(keys[linked[some]])
+            components[np.isin(components, joined)] = components[i]
         none = np.array([], np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
