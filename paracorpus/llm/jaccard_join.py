@@ -260,7 +260,7 @@ def join_rests(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         lists = region["items"].combine_chunks()
         items, n = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths(), np.int64)
         ends = np.cumsum(n)
-        keys, components = np.asarray(region["key"]), np.array(region["component"])
+        keys, components = np.asarray(region["key"]), np.asarray(region["component"]).copy()
         distance, outside = np.asarray(region["distance"]), np.asarray(region["outside"])
         order = np.argsort(items, kind="stable")
         held, owner = items[order], np.repeat(np.arange(len(n)), n)[order]
