@@ -82,7 +82,7 @@ def thresholds(measured: DataFrame, targets: DataFrame) -> DataFrame:
         inside = (F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("low") + width * (1 << LEVEL_BITS))
         histogram = (
             measured.alias("m")
-            .join(at.alias("a"), same & inside)
+            .join(at.select("source", "rounds", "rest", "low").alias("a"), same & inside)
             .groupBy(F.col("a.source").alias("source"), "rounds", "rest", "low", F.floor((F.col("hash") - F.col("low")) / width).cast("int").alias("bucket"))
             .agg(F.sum("size").alias("size"), F.min("hash").alias("least"), F.max("hash").alias("most"))
         )

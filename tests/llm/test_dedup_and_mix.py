@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import WORD, documents, table
 from paracorpus.llm.exact_dedup import exact_dedup, keep_rows
+from paracorpus.llm import source_mixing
 from paracorpus.llm.source_mixing import mix_sources, source_targets
 
 
@@ -59,7 +60,10 @@ def test_targets(spark, sizes):
     assert found == pytest.approx(plain_targets(sizes), rel=1e-9)
 
 
-def test_mix_is_near_the_targets_and_repeats(spark):
+@pytest.mark.parametrize("bits", [12, 5, 2])
+def test_mix_is_near_the_targets_and_repeats(spark, monkeypatch, bits):
+    """With fewer bits a level the boundary bucket is refined several times."""
+    monkeypatch.setattr(source_mixing, "LEVEL_BITS", bits)
     rows = [(i, text, f"s{i % 4}" if i and i % 7 else None) for i, text in documents() if i is not None] * 1
     rows += [(None, "a b", "s1"), (5000, "x", "empty words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x"))
