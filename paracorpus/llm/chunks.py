@@ -4,31 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-#: Distinct chunks that a task remembers before it starts anew: tens of MB of a worker's memory.
-REMEMBERED = 400_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Distinct chunks that a task remembers; those that are not met again make room first.
+REMEMBERED = 250_000
 
-def chunks_of(text: str) -> list[str]:
-    """The text between spaces, tabs and line ends; no word of a white-space tokenizer spans them.
-    Empty strings stand between neighbouring blanks."""
-    return text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
+
+def coded_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(codes, offsets, chunks): text i is chunks[c] for c in codes[offsets[i]:offsets[i + 1]].
+
+    Chunks are what stands between runs of ASCII blanks, which no word of a white-space tokenizer
+    spans. Empty ones may stand at the ends of a text. A null text is empty.
+    """
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    coded = lists.flatten().dictionary_encode()
+    offsets = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))))
+    return np.asarray(coded.indices, np.int64), offsets, coded.dictionary.to_pylist()
 
 
 class ChunkMemory(dict):
-    """chunk -> what `encode` gives for it, filled one list of new chunks at a time."""
+    """chunk -> what `encode` gives for it, for a list of chunks at a time.
+
+    Two generations: when the new one is full it becomes the old one, and what is met again moves
+    over, so frequent chunks stay and rare ones go.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence], empty) -> None:
+    def __init__(self, encode: Callable[[list[str]], Sequence]) -> None:
         super().__init__()
-        self.encode, self.empty = encode, empty
-        self[""] = empty
+        self.encode = encode
+        self.old: dict = {}
 
-    def learn(self, lists: Sequence[list[str]]) -> None:
-        """Make sure that every chunk of the lists is known."""
+    def of(self, chunks: Sequence[str]) -> list:
         if len(self) > REMEMBERED:
+            self.old = dict(self)
             self.clear()
-            self[""] = self.empty
-        new: set[str] = set()
-        for chunks in lists:
-            new.update(chunks)
-        fresh = [c for c in new if c not in self]
+        new = set(chunks).difference(self)
+        self.update({c: self.old[c] for c in new.intersection(self.old)})
+        fresh = list(new.difference(self.old))
         self.update(zip(fresh, self.encode(fresh)))
+        return list(map(self.__getitem__, chunks))

@@ -8,16 +8,17 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paracorpus.llm.chunks import ChunkMemory, chunks_of
+from paracorpus.llm.chunks import REMEMBERED, ChunkMemory, coded_chunks
 
 NEVER, ALWAYS = -1, 1 << 40
 #: Texts that are encoded together, by their total length; one longer text is a group of its own.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 8_000_000
 # White space as the tokenizer file's patterns mean it.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -44,16 +45,20 @@ class MergeAutomaton:
     place of the word and follows table entries; no merge is searched or applied to a word.
     """
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "</w>") -> None:
+        self.end = end
         self.labels = {i: s for s, i in vocab.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
         self.cut: dict[tuple[int, int], int] = {}
         for time, (left, right) in enumerate(merges):
             self._add_gadget(time, vocab[left], vocab[right], vocab[left + right])
-        self.ids = vocab
-        self.longest = max(map(len, vocab), default=0)
         self.arc = functools.lru_cache(maxsize=1 << 20)(self._arc)
+        # Tokens that the merges ever give; a merge may always come too late for one.
+        self.ids = {s: i for s, i in vocab.items() if self._stands(i)}
+        bare = [s.removesuffix(end) for s in self.ids]
+        #: What some token begins with, so a walk ends where no token can follow.
+        self.beginnings = {s[:n] for s in bare for n in range(1, len(s) + 1)}
 
     def _add_gadget(self, time: int, left: int, right: int, merged: int) -> None:
         self.parts[merged] = (left, right)
@@ -73,9 +78,9 @@ class MergeAutomaton:
             there = self.arc(state, left) > born and self.arc(left, right) >= born
         return self.cut.get((state, token), ALWAYS) if there else NEVER
 
-    def encode(self, symbols: str, end: str = "</w>") -> list[int]:
-        """Token ids of one word, given as symbols; the last symbol carries the `end` mark."""
-        n, ids, arc = len(symbols), self.ids, self.arc
+    def encode(self, symbols: str) -> list[int]:
+        """Token ids of one word, given as symbols; the last symbol carries the mark of the end."""
+        n, ids, arc, beginnings = len(symbols), self.ids, self.arc, self.beginnings
         if not n:
             return []
         at: list[int | None] = [None] * (n + 1)
@@ -84,11 +89,13 @@ class MergeAutomaton:
             state = at[start]
             if start and state is None:
                 continue
-            for stop in range(start + 1, min(n, start + self.longest) + 1):
+            for stop in range(start + 1, n + 1):
+                piece = symbols[start:stop]
+                if piece not in beginnings:
+                    break
                 if at[stop] is None:
-                    piece = symbols[start:stop]
-                    token = ids.get(piece + end if stop == n else piece)
-                    if token is not None and (not start or arc(state, token) == ALWAYS) and self._stands(token):
+                    token = ids.get(piece + self.end if stop == n else piece)
+                    if token is not None and (not start or arc(state, token) == ALWAYS):
                         at[stop], before[stop] = token, start
         path = []
         while n:
@@ -97,7 +104,7 @@ class MergeAutomaton:
         return path[::-1]
 
     def _stands(self, token: int) -> bool:
-        """Whether the merges ever give this token; a later merge may always come too late."""
+        """Whether both parts may still meet when their merge is applied."""
         made = self.born.get(token, NEVER)
         return made == NEVER or self.arc(*self.parts[token]) >= made
 
@@ -106,6 +113,11 @@ class MergeAutomaton:
         return " ".join(self.labels[i] for i in ids if i in self.labels)
 
 
+def plain(text: str) -> str:
+    """Composed characters in lower case, one at a time: a final sigma is not to depend on its place."""
+    return text.lower() if text.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+
+
 class WordTokenizer:
     """A tokenizer file with word ends: special tokens, normal form, lower case, words, automaton."""
 
@@ -114,18 +126,22 @@ class WordTokenizer:
             spec = json.load(f)
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.automaton = MergeAutomaton(model["vocab"], merges)
+        self.automaton = MergeAutomaton(model["vocab"], merges, model["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.automaton.labels |= {i: s for s, i in self.special.items()}
         names = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self.apart = regex.compile(f"({names})") if names else None
         words = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.words = regex.compile(words.replace(r"\s", BLANK))
-        self.end = model["end_of_word_suffix"]
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.known: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
 
     def encode_chunk(self, chunk: str) -> list[int]:
+        core, sign = (chunk[:-1], chunk[-1]) if chunk[-1:] in ".,;:!?" else (chunk, "")
+        word = plain(core)
+        if word.isalpha():  # letters alone are one word, and so is the sign after them
+            return self._word(word) + self._word(sign) if sign else self._word(word)
         if self.apart is None:
             return self._ordinary(chunk)
         ids: list[int] = []
@@ -137,18 +153,19 @@ class WordTokenizer:
         return ids
 
     def _ordinary(self, text: str) -> list[int]:
-        # One character at a time, as the form of a final sigma is not to depend on its place.
-        text = text.lower() if text.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        ids: list[int] = []
-        for word in self.words.findall(text):
-            found = self.known.get(word)
+        return [i for word in self.words.findall(plain(text)) for i in self._word(word)]
+
+    def _word(self, word: str) -> list[int]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > REMEMBERED:
+                self.known, self.old = {}, self.known
+            found = self.old.get(word)
             if found is None:
-                if len(self.known) > 400_000:
-                    self.known.clear()
                 symbols = word.encode("utf-8").decode("latin-1").translate(self.symbols)
-                found = self.known[word] = self.automaton.encode(symbols, self.end)
-            ids += found
-        return ids
+                found = self.automaton.encode(symbols)
+            self.known[word] = found
+        return found
 
     def decode(self, ids: list[int]) -> str:
         return self.automaton.decode(ids)
@@ -180,12 +197,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
-        memory = ChunkMemory(lambda fresh: [tokenizer.encode_chunk(c) for c in fresh], [])
+        memory = ChunkMemory(lambda fresh: [tokenizer.encode_chunk(c) for c in fresh])
         for batch in batches:
             for start, stop in groups_by_length(batch.column(1)):
-                lists = [chunks_of(t or "") for t in batch.column(1).slice(start, stop - start).to_pylist()]
-                memory.learn(lists)
-                ids = [[i for c in chunks for i in memory[c]] for chunks in lists]
+                codes, offsets, chunks = coded_chunks(batch.column(1).slice(start, stop - start))
+                known = memory.of(chunks)
+                ids = [[i for c in codes[a:b] for i in known[c]] for a, b in zip(offsets, offsets[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, stop - start), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"]
                 )
@@ -208,17 +225,21 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
-        memory = ChunkMemory(lambda fresh: [describe(tokenizer, c) for c in fresh], (0, "", ""))
+        memory = ChunkMemory(lambda fresh: [describe(tokenizer, c) for c in fresh])
         for batch in batches:
             for start, stop in groups_by_length(batch.column(1)):
-                lists = [chunks_of(t or "") for t in batch.column(1).slice(start, stop - start).to_pylist()]
-                memory.learn(lists)
+                codes, offsets, chunks = coded_chunks(batch.column(1).slice(start, stop - start))
+                known = memory.of(chunks)
+                sizes = np.array([n for n, _, _ in known], np.int64)
+                names, labels = [x for _, x, _ in known], [x for _, _, x in known]
                 counts, ids, decoded = [], [], []
-                for chunks in lists:
-                    parts = [p for p in map(memory.__getitem__, chunks) if p[0]]
-                    counts.append(sum(p[0] for p in parts))
-                    ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
+                for a, b in zip(offsets, offsets[1:]):
+                    parts = codes[a:b]
+                    each = sizes[parts]
+                    parts = parts[each > 0].tolist()
+                    counts.append(int(each.sum()))
+                    ids.append(hashlib.sha256(" ".join([names[c] for c in parts]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(" ".join([labels[c] for c in parts]).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, stop - start), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                     ["id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -7,13 +7,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paracorpus.llm.chunks import ChunkMemory, chunks_of
+from paracorpus.llm.chunks import ChunkMemory, coded_chunks
 from paracorpus.llm.merge_automaton import groups_by_length
 
 #: Characters of text per file: the ids of a file are read into memory at once.
@@ -65,7 +66,7 @@ def deserialize(payload: bytes) -> tuple[int | None, bytes]:
 
 
 class ChunkEncoder:
-    """Chunks to little-endian u16 ids by the tokenizers library, each distinct word core once."""
+    """Chunks to ids by the tokenizers library, each distinct word core once."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,11 +74,24 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        self.cores = ChunkMemory(self.library, b"")
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}H", *e.ids) for e in found]
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        #: A special token between words ends them and shows where they end, so one call takes many.
+        self.mark, self.mark_id = next(iter(special.items()), (None, None))
+        self.cores = ChunkMemory(self.library)
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self.mark is not None and "<" not in t and t]
+        for lo in range(0, len(plain), 5000):
+            group = plain[lo : lo + 5000]
+            ids = np.array(self.tokenizer.encode(self.mark.join(texts[i] for i in group), add_special_tokens=False).ids, np.uint16)
+            ends = np.flatnonzero(ids == self.mark_id)
+            for i, a, b in zip(group, np.concatenate(([0], ends + 1)), np.concatenate((ends, [len(ids)]))):
+                out[i] = ids[a:b]
+        rest = [i for i, found in enumerate(out) if found is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, np.uint16)
+        return [x.tobytes() for x in out]
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
         """Letters with one full stop, comma or the like are encoded as the letters and the sign,
@@ -86,18 +100,29 @@ class ChunkEncoder:
         for c in chunks:
             core, sign = (c[:-1], c[-1]) if c[-1:] in ".,;:!?" and c[:-1].isalpha() else (c, "")
             parts.append((core.lower() if core.isascii() and core.isalpha() else core, sign))
-        self.cores.learn(parts)
-        known = self.cores
-        return [known[core] + known[sign] for core, sign in parts]
+        cores = self.cores.of([core for core, _ in parts])
+        signs = dict(zip(".,;:!?", self.cores.of(list(".,;:!?")))) | {"": b""}
+        return [a + signs[sign] for a, (_, sign) in zip(cores, parts)]
 
 
 @functools.lru_cache(maxsize=2)
-def chunk_memory(path: str) -> ChunkMemory:
+def chunk_encoder(path: str) -> ChunkEncoder:
     """One per worker and file; the file must be at this path on every executor."""
-    return ChunkMemory(ChunkEncoder(path), b"")
+    return ChunkEncoder(path)
 
 
-FRAMES = "doc_id long, n_tokens long, record binary"
+def encode_texts(texts: pa.Array, encoder: ChunkEncoder) -> list[bytes]:
+    """The ids of each whole text as little-endian u16."""
+    codes, offsets, chunks = coded_chunks(texts)
+    known = encoder(chunks)
+    lengths = np.array([len(x) // 2 for x in known], np.int64)
+    ids = np.frombuffer(b"".join(known), "<u2")
+    starts = np.cumsum(lengths) - lengths
+    each = lengths[codes]
+    ends = np.cumsum(each)
+    flat = ids[np.repeat(starts[codes] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+    at = np.concatenate(([0], ends))[offsets]
+    return [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
 
 
 def write_token_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -115,17 +140,14 @@ def write_token_records(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     files = max(1, -(-total // SHARD_CHARS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = chunk_memory(tokenizer)
+        encoder = chunk_encoder(tokenizer)
         for batch in batches:
             for start, stop in groups_by_length(batch.column(1)):
-                lists = [chunks_of(t) for t in batch.column(1).slice(start, stop - start).to_pylist()]
-                memory.learn(lists)
-                known = memory.__getitem__
-                ids = [b"".join(map(known, chunks)) + end for chunks in lists]
-                out = [frame(serialize(d, x)) for d, x in zip(batch.column(0).slice(start, stop - start).to_pylist(), ids)]
+                ids = encode_texts(batch.column(1).slice(start, stop - start), encoder)
+                out = [frame(serialize(d, x + end)) for d, x in zip(batch.column(0).slice(start, stop - start).to_pylist(), ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    ordered = docs.select(key, text).repartitionByRange(files, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(key, text).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     records = ordered.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
     records.write.option("lineSep", END.decode()).text(f"{path}/records")
     spark = docs.sparkSession
@@ -168,8 +190,6 @@ def read_token_records(spark: SparkSession, path: str, width: int = 4) -> DataFr
     little-endian): every record, in whatever order files are read; frames are verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows, at = [], 0

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paracorpus.llm.chunks import ChunkMemory, chunks_of
+from paracorpus.llm.chunks import ChunkMemory, coded_chunks
 from paracorpus.llm.common import broadcast_if_small, pin
 from paracorpus.llm.merge_automaton import groups_by_length
 
@@ -47,11 +47,10 @@ def word_cells(chunks: list[str]) -> list[int]:
     return [cell(w) << CELL_BITS | cell(w[:STEM]) if w else -1 for w in words]
 
 
-def cell_lists(texts: list[str | None], memory: ChunkMemory) -> list[np.ndarray]:
-    lists = [chunks_of(t or "") for t in texts]
-    memory.learn(lists)
-    found = [np.fromiter(map(memory.__getitem__, c), np.int64, len(c)) for c in lists]
-    return [x[x >= 0] for x in found]
+def cell_lists(texts: pa.Array, memory: ChunkMemory) -> list[np.ndarray]:
+    codes, offsets, chunks = coded_chunks(texts)
+    cells = np.array(memory.of(chunks), np.int64)[codes] if chunks else codes
+    return [x[x >= 0] for x in (cells[a:b] for a, b in zip(offsets, offsets[1:]))]
 
 
 def pairs_of(cells: np.ndarray) -> np.ndarray:
@@ -68,11 +67,11 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = ChunkMemory(word_cells, -1)
+        memory = ChunkMemory(word_cells)
         for batch in batches:
             toxic = np.array(batch.column(1).to_pylist(), bool)
             for start, stop in groups_by_length(batch.column(0)):
-                cells = cell_lists(batch.column(0).slice(start, stop - start).to_pylist(), memory)
+                cells = cell_lists(batch.column(0).slice(start, stop - start), memory)
                 for label in (False, True):
                     mine = [np.unique(pairs_of(c)) for c, t in zip(cells, toxic[start:stop]) if t == label and len(c)]
                     pairs, counts = np.unique(np.concatenate(mine), return_counts=True) if mine else (np.array([], np.int64),) * 2
@@ -188,11 +187,11 @@ def score_texts(docs: DataFrame, models: ClassModels, columns: list[str]) -> Dat
     shared = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory, models = ChunkMemory(word_cells, -1), shared.value
+        memory, models = ChunkMemory(word_cells), shared.value
         for batch in batches:
             out: list[float] = []
             for start, stop in groups_by_length(batch):
-                cells = cell_lists(batch.slice(start, stop - start).to_pylist(), memory)
+                cells = cell_lists(batch.slice(start, stop - start), memory)
                 for c in cells:
                     out.append(float(models.difference(c).mean()) if len(c) else 0.0)
             yield pa.array(out, pa.float64())
