@@ -138,7 +138,7 @@ class WordTokenizer:
         self.old: dict[str, list[int]] = {}
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        core, sign = (chunk[:-1], chunk[-1]) if chunk[-1:] in ".,;:!?" else (chunk, "")
+        core, sign = (chunk[:-1], chunk[-1]) if chunk and chunk[-1] in ".,;:!?" else (chunk, "")
         word = plain(core)
         if word.isalpha():  # letters alone are one word, and so is the sign after them
             return self._word(word) + self._word(sign) if sign else self._word(word)
