@@ -12,16 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one ARC archive that the writer fills before it starts another.
-ARC_BYTES = 4 << 20
+ARC_BYTES = 1 << 20
 #: Records in one WARC file; a reader holds one file at a time.
-WARC_RECORDS = 4000
+WARC_RECORDS = 1000
 #: The field lists that the version block of an ARC file declares.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 ARCHIVES = "name string, content binary"
-RECORDS = "uri string, ip string, date string, mime string, head binary, payload binary"
+RECORDS = "uri string, ip string, date string, mime string, head binary, bytes long, digest string, payload binary"
+#: Records that leave a task together.
+TOGETHER = 250
 BLANK = b"\r\n\r\n"
 
 
@@ -117,12 +119,12 @@ def write_arc(rows: DataFrame, id_col: str, url_col: str, payload_col: str) -> D
     return chosen.mapInArrow(pack, ARCHIVES)
 
 
-def read_arc(archives: DataFrame) -> DataFrame:
+def read_arc(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of ARC archives (a `content` column, such as Spark's binaryFile source gives):
-    uri, ip, date, mime, head (the HTTP head with its blank line, or empty) and payload."""
+    uri, ip, date, mime, head (the HTTP head with its blank line, or empty), bytes and digest of the
+    payload, and the payload, unless it is not asked for."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(x, pa.string()) for x in ("uri", "ip", "date", "mime")] + [("head", pa.binary()), ("payload", pa.binary())])
         for batch in batches:
             for content in batch.column(0):
                 rows = []
@@ -130,25 +132,44 @@ def read_arc(archives: DataFrame) -> DataFrame:
                     head, blank, payload = r["block"].partition(BLANK)
                     if not head.startswith(b"HTTP/"):
                         head, blank, payload = b"", b"", r["block"]
-                    rows.append((unescape(r["URL"]), r["IP-address"], r["Archive-date"], r["Content-type"], head + blank, payload))
-                columns = zip(*rows) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+                    rows.append((
+                        unescape(r["URL"]), r["IP-address"], r["Archive-date"], r["Content-type"], head + blank,
+                        len(payload), base32_sha1(payload), payload if payloads else None,
+                    ))
+                    if len(rows) == TOGETHER:
+                        yield packed(rows, RECORDS)
+                        rows = []
+                if rows:
+                    yield packed(rows, RECORDS)
 
     return archives.select("content").mapInArrow(parse, RECORDS)
 
 
+_ARROW = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
+
+
+def packed(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    fields = [x.split(" ") for x in columns.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(zip(*rows), fields)], [name for name, _ in fields]
+    )
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _base32_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([base32_sha1(x.as_py() or b"") for x in batch], pa.string())
+def convert(archives: DataFrame, row_header: str = "X-Row", least_bytes: int = 0) -> DataFrame:
+    """WARC records of ARC archives (a `content` column), which are read twice: without payloads to
+    find the equal ones, and with them to write them. See `to_warc`."""
+    return to_warc(read_arc(archives), row_header, least_bytes, read_arc(archives, payloads=False))
 
 
-def to_warc(records: DataFrame, row_header: str = "X-Row", least_bytes: int = 0) -> DataFrame:
+def to_warc(
+    records: DataFrame, row_header: str = "X-Row", least_bytes: int = 0, narrow: DataFrame | None = None
+) -> DataFrame:
     """WARC records from the records of ARC archives: one string column, `record`, of raw bytes
-    without the closing blank line.
+    without the closing blank line. `narrow` may give the same records without payloads.
 
     Synthesised for each record: the identifier, a UUID of (uri, date, row, digest), the same in
     every run; the timestamp, from the 14 digits of the ARC date (1970 if there are not 14); type
@@ -157,23 +178,21 @@ def to_warc(records: DataFrame, row_header: str = "X-Row", least_bytes: int = 0)
     it, without a copy of the payload. Records without a row number stay responses, and so do
     those that repeat the response's. Payloads are compared by SHA-1 and length.
     """
-    digest = F.arrow_udf(_base32_batches, "string")
     head = F.decode("head", "ISO-8859-1")
     row = F.regexp_extract(head, rf"(?i)\r\n{row_header}: (-?\d+)\r\n", 1)
     key = F.concat_ws("|", "uri", "date", "row", "digest")
     hexed = F.md5(key.cast("binary"))
     uuid = F.concat_ws("-", *(F.substring(hexed, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     stamp = F.regexp_replace("date", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
-    typed = (
-        records.withColumn("digest", digest("payload"))
-        .withColumn("row", F.when(row != "", row.cast("long")))
-        .withColumn("bytes", F.length("payload"))
+    named, narrow = (
+        x.withColumn("row", F.when(row != "", row.cast("long")))
         .withColumn("urn", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">")))
         .withColumn("stamp", F.when(F.col("date").rlike(r"^\d{14}$"), stamp).otherwise(F.lit("1970-01-01T00:00:00Z")))
+        for x in (records, records if narrow is None else narrow)
     )
     # One row per payload that occurs more than once; combined in every task before the shuffle.
     first = (
-        typed.where(F.col("bytes") >= least_bytes)
+        narrow.where(F.col("bytes") >= least_bytes)
         .groupBy("digest", "bytes")
         .agg(
             F.count(F.lit(1)).alias("_n"),
@@ -182,7 +201,7 @@ def to_warc(records: DataFrame, row_header: str = "X-Row", least_bytes: int = 0)
         .where("_n > 1")
         .select("digest", "bytes", "first")
     )
-    joined = typed.join(first, ["digest", "bytes"], "left")
+    joined = named.join(first, ["digest", "bytes"], "left")
     revisit = F.coalesce(F.col("row") > F.col("first.row"), F.lit(False))
     block = F.when(revisit, F.col("head")).otherwise(F.concat("head", "payload"))
     lines = [
@@ -241,14 +260,12 @@ def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 WARC_ROWS = "urn string, type string, uri string, stamp string, digest string, refers_urn string, row long, payload_bytes long, payload binary"
 
 
-def read_warc(spark: SparkSession, path: str, row_header: str = "X-Row") -> DataFrame:
+def read_warc(spark: SparkSession, path: str, row_header: str = "X-Row", payloads: bool = True) -> DataFrame:
     """The records of the WARC files under `path`; payload_bytes of a revisit comes from its HTTP
-    head, its payload is null. The digest of a response is computed from the payload that was read;
+    head, its payload is null, as are all if they are not asked for. The digest of a response is computed from the payload that was read;
     if it differs from the one in the header, that raises."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split(" ")[0] for x in WARC_ROWS.split(", ")]
-        kinds = [pa.string()] * 6 + [pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             for content in batch.column(0):
                 rows = []
@@ -262,9 +279,12 @@ def read_warc(spark: SparkSession, path: str, row_header: str = "X-Row") -> Data
                     row = http.get(row_header.lower(), "")
                     size = int(http["content-length"]) if revisit else len(payload)
                     rows.append((fields["warc-record-id"], fields["warc-type"], fields["warc-target-uri"], fields["warc-date"], digest,
-                                 fields.get("warc-refers-to"), int(row) if row else None, size, None if revisit else payload))
-                columns = zip(*rows) if rows else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+                                 fields.get("warc-refers-to"), int(row) if row else None, size, None if revisit or not payloads else payload))
+                    if len(rows) == TOGETHER:
+                        yield packed(rows, WARC_ROWS)
+                        rows = []
+                if rows:
+                    yield packed(rows, WARC_ROWS)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
     return files.select("content").mapInArrow(parse, WARC_ROWS)

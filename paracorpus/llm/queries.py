@@ -70,8 +70,8 @@ def op2_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     legacy = arc_to_warc.write_arc(pages, "page_id", "url", "html")
-    arc_to_warc.write_warc(arc_to_warc.to_warc(arc_to_warc.read_arc(legacy)), path)
-    return arc_to_warc.describe_records(arc_to_warc.read_warc(spark, path))
+    arc_to_warc.write_warc(arc_to_warc.convert(legacy), path)
+    return arc_to_warc.describe_records(arc_to_warc.read_warc(spark, path, payloads=False))
 
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,6 +27,8 @@ def test_pages_through_arc_and_warc(spark, tmp_path):
     assert Counter(r.uri for r in records.collect()) == Counter(u or "" for _, u, _ in PAGES)
     path = f"file://{tmp_path}/warc"
     A.write_warc(A.to_warc(records), path)
+    twice = A.convert(A.write_arc(pages, "page_id", "url", "html"))
+    assert Counter(r.record for r in twice.collect()) == Counter(r.record for r in A.to_warc(records).collect())
     found = Counter(map(tuple, A.describe_records(A.read_warc(spark, path)).collect()))
     want, first = Counter(), {}
     for i, _, html in PAGES:
@@ -58,7 +60,7 @@ def test_arc_is_cut_by_declared_lengths():
 
 
 def test_warc_of_dates_and_small_payloads(spark):
-    rows = [("u", "1.1.1.1", "2001020304", "text/html", b"HTTP/1.0 200 OK\r\nX-Row: 5\r\n\r\n", b"ab"), ("u", "1.1.1.1", "20010203040506", "text/html", b"HTTP/1.0 200 OK\r\nX-Row: 6\r\n\r\n", b"ab")]
+    rows = [("u", "1.1.1.1", "2001020304", "text/html", b"HTTP/1.0 200 OK\r\nX-Row: 5\r\n\r\n", 2, "D", b"ab"), ("u", "1.1.1.1", "20010203040506", "text/html", b"HTTP/1.0 200 OK\r\nX-Row: 6\r\n\r\n", 2, "D", b"ab")]
     records = spark.createDataFrame(rows, A.RECORDS)
     texts = "".join(r.record for r in A.to_warc(records).collect())
     assert "1970-01-01T00:00:00Z" in texts and "2001-02-03T04:05:06Z" in texts and "WARC-Type: revisit" in texts
