@@ -93,6 +93,7 @@ def exact_dedup(
 
 
 def keep_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that `exact_dedup` marks as kept. Only the ids of dropped rows are joined."""
+    """The rows of `docs` that `exact_dedup` marks as kept. Only the ids of dropped rows are joined, so
+    rows without an id all stay."""
     dropped = found.where("not kept").select(F.col(id_col).alias("_dropped"))
     return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")

@@ -115,22 +115,27 @@ def deal(docs: DataFrame, percent: int, words: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """key, n, items (sorted hashes) of the sets named in `wanted` (doc_id, key), once each."""
+    """key, n, items (sorted hashes) of the sets named in `wanted` (doc_id, key), and of all rows
+    without an id, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, items = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = shingle_hashes(text.as_py() or "", words)
-                if len(found) and set_key(found) == key:  # else another row with the same id
-                    keys.append(key)
+                own = set_key(found) if len(found) else None
+                if own is not None and key in (None, own):  # else another row with the same id
+                    keys.append(own)
                     items.append(found.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.int64()))],
                 ["key", "n", "items"],
             )
 
-    texts = docs.join(broadcast_if_small(wanted), "doc_id").select("key", "text")
+    named = docs.join(broadcast_if_small(wanted), "doc_id").select("key", "text")
+    # Rows without an id cannot be looked up by it; their keys come from their texts.
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("key"), "text")
+    texts = named.unionByName(nameless)
     return texts.mapInArrow(run, "key long, n long, items array<long>").dropDuplicates(["key"])
 
 

@@ -110,6 +110,37 @@ def thresholds(measured: DataFrame, targets: DataFrame) -> DataFrame:
     return at.select("source", "rounds", F.when(take_edge, F.col("least") + 1).otherwise(F.col("least")).alias("bound"))
 
 
+def source_bounds(measured: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """source, source_size, target, rounds, bound: one row per source, written."""
+    sizes = measured.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = pin(source_targets(sizes, weights, share, most), "mix-targets")
+    bounds = thresholds(measured, targets)
+    return pin(
+        targets.alias("t")
+        .join(bounds.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left")
+        .select("t.*", F.coalesce("rounds", F.lit(0)).alias("rounds"), F.coalesce("bound", F.lit(0)).alias("bound")),
+        "mix-bounds",
+    )
+
+
+def measured_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """id, source, size, hash of every document, written."""
+    return pin(
+        docs.select(
+            F.col(id_col).alias("id"),
+            F.col(source_col).alias("source"),
+            word_count(F.col(text_col)).alias("size"),
+            stable_hash(F.col(id_col)).alias("hash"),
+        ),
+        "mix-sizes",
+    )
+
+
+def copies_of(value: Column, most: float) -> Column:
+    """How often a document is taken, from its hash and its source's rounds and bound."""
+    return F.least(F.col("rounds") + (value < F.col("bound")).cast("int"), F.lit(int(most)))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -130,35 +161,36 @@ def mix_sources(
     taken together. A source without words has target 0. No rows in, no rows out. Other columns
     are ignored.
     """
-    measured = pin(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            stable_hash(F.col(id_col)).alias("hash"),
-        ),
-        "mix-sizes",
-    )
-    sizes = measured.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = pin(source_targets(sizes, weights, share, most), "mix-targets")
-    bounds = thresholds(measured, targets)
-    by_source = pin(
-        targets.alias("t")
-        .join(bounds.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left")
-        .select("t.*", F.coalesce("rounds", F.lit(0)).alias("rounds"), F.coalesce("bound", F.lit(0)).alias("bound")),
-        "mix-bounds",
-    )
-    copies = F.col("rounds") + (F.col("hash") < F.col("bound")).cast("int")
+    measured = measured_sizes(docs, id_col, text_col, source_col)
+    bounds = source_bounds(measured, weights, share, most)
     return (
         measured.alias("m")
-        .join(by_source.alias("s"), F.col("m.source").eqNullSafe(F.col("s.source")))
+        .join(bounds.alias("s"), F.col("m.source").eqNullSafe(F.col("s.source")))
         .select(
             F.col("id").alias(id_col),
             F.col("m.source").alias(source_col),
             "size",
             "source_size",
             "target",
-            F.least(copies, F.lit(int(most))).alias("copies"),
+            copies_of(F.col("hash"), most).alias("copies"),
         )
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
+
+
+def take_mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = 2.0,
+) -> DataFrame:
+    """The rows of `docs`, each as often as `mix_sources` takes it. The texts stay where they are
+    read: a row is judged by its own hash and its source's row of bounds."""
+    bounds = source_bounds(measured_sizes(docs, id_col, text_col, source_col), weights, share, most)
+    bounds = bounds.select(F.col("source").alias("_source"), "rounds", "bound")
+    rows = docs.join(bounds, docs[source_col].eqNullSafe(F.col("_source")))
+    copies = F.array_repeat(F.lit(0), copies_of(stable_hash(docs[id_col]), most))
+    return rows.withColumn("_copy", F.explode(copies)).select(*(docs[c] for c in docs.columns))

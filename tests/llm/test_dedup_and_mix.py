@@ -77,6 +77,9 @@ def test_mix_is_near_the_targets_and_repeats(spark, monkeypatch, bits):
         largest[r.source] = max(largest[r.source], r["size"])
     for r in found:
         assert abs(by_source[r.source] - r.target) <= largest[r.source]
+    taken = Counter((r.doc_id, r.source, r.text) for r in source_mixing.take_mix(docs).collect())
+    assert sum(taken.values()) == sum(r.copies for r in found)
+    assert Counter((i, s) for i, s, _ in taken.elements()) == Counter({k: n for k, n in sum((Counter({(r.doc_id, r.source): r.copies}) for r in found), Counter()).items() if n})
     again = mix_sources(docs.repartition(7)).collect()
     assert Counter(map(tuple, found)) == Counter(map(tuple, again))
 

@@ -165,6 +165,12 @@ def test_jaccard_of_a_drifting_family(spark, monkeypatch, rest):
     assert Counter(map(tuple, J.jaccard_components(table(spark, rows)).collect())) == plain_components(rows)
 
 
+def test_jaccard_of_rows_without_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text + " x"), (None, text + " y"), (7, text), (None, "other words than these are here now")]
+    assert Counter(map(tuple, J.jaccard_components(table(spark, rows)).collect())) == plain_components(rows)
+
+
 def test_jaccard_of_nothing(spark):
     assert J.jaccard_components(table(spark, [])).count() == 0
     assert [tuple(r) for r in J.jaccard_components(table(spark, [(3, None)])).collect()] == [(3, 0, 3)]
