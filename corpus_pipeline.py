@@ -37,12 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    taken = source_mixing.mix_sources(docs).select("doc_id", "copies").where("copies > 0")
-    return (
-        docs.join(taken, "doc_id")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
-        .select(*COLUMNS)
-    )
+    return source_mixing.take_mix(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
