@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paracorpus.llm.chunks import ChunkMemory, coded_chunks
@@ -89,6 +90,7 @@ class ClassModels:
     """Both models as arrays; its size is bounded by the cells and `MOST_PAIRS`, not by the corpus."""
 
     def __init__(self, pairs: DataFrame, most_pairs: int = MOST_PAIRS) -> None:
+        self._sent: Broadcast | None = None
         cells, mask = 1 << CELL_BITS, (1 << CELL_BITS) - 1
         kinds = ("toxic", "ordinary")
         first = F.shiftright("pair", 2 * CELL_BITS)
@@ -128,6 +130,15 @@ class ClassModels:
             # What the discounts and the pairs left out leave over goes to the words.
             self.rest[c] = (1 - np.bincount(above, share, cells)).astype(np.float32)
 
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """The models as a broadcast, sent once for all texts that are scored with them."""
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(self)
+        return self._sent
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_sent": None}
+
     @staticmethod
     def _least_count(pairs: DataFrame, most: int) -> int:
         """The smallest count, 2 or more, that at most `most` pairs reach."""
@@ -183,8 +194,7 @@ class ClassModels:
 
 def score_texts(docs: DataFrame, models: ClassModels, columns: list[str]) -> DataFrame:
     """`columns` and `difference`: the mean over the words of a text; 0 without words."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+    shared = models.sent(docs.sparkSession)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory, models = ChunkMemory(word_cells), shared.value
