@@ -294,7 +294,8 @@ def describe_records(read: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of what `read_warc` gives."""
     revisits = read.where("type = 'revisit'").select("row", "payload_bytes", "digest", F.col("refers_urn").alias("urn"))
     others = read.where("type <> 'revisit'")
-    to = others.select("urn", F.col("row").alias("refers_to"))
+    # Pages that are alike in all share an id, and with it their row: one of them is enough to look up.
+    to = others.select("urn", F.col("row").alias("refers_to")).dropDuplicates(["urn"])
     found = revisits.join(to, "urn", "left").select("row", "payload_bytes", "digest", F.lit("revisit").alias("type"), "refers_to")
     kept = others.select("row", "payload_bytes", "digest", "type", F.lit(None).cast("long").alias("refers_to"))
     return kept.unionByName(found).select(

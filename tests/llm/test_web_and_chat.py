@@ -42,6 +42,14 @@ def test_pages_through_arc_and_warc(spark, tmp_path):
     assert found == want
 
 
+def test_the_smallest_page_occurs_more_than_once(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (1, "w", "x"), (4, "v", "x"), (5, "v", "x"), (5, "v", "x")], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/warc"
+    A.write_warc(A.convert(A.write_arc(pages, "page_id", "url", "html")), path)
+    found = A.describe_records(A.read_warc(spark, path)).select("page_id", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, found), key=str) == [(1, "response", None)] * 3 + [(4, "revisit", 1)] + [(5, "revisit", 1)] * 2
+
+
 def test_no_pages(spark, tmp_path):
     path = f"file://{tmp_path}/warc"
     A.write_warc(A.to_warc(A.read_arc(A.write_arc(spark.createDataFrame([], "page_id long, url string, html string"), "page_id", "url", "html"))), path)
