@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paracorpus.llm import exact_dedup, jaccard_join, merge_automaton, source_mixing, toxicity
-from paracorpus.llm.common import checkpoint_dir, table
+from paracorpus.llm.common import broadcast_if_small, checkpoint_dir, pin, table
 from paracorpus.llm.queries import FOLD, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,10 +17,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class models do not call toxic. Models are fitted to the labelled ones among
-    `docs`; texts are scored in place, without a shuffle."""
+    `docs`; texts are shuffled only if there are too many toxic ones to send their keys to the tasks."""
     models, scale = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), FOLD)
-    scored = toxicity.score_texts(docs, models, COLUMNS)
-    return scored.where(~toxicity.is_toxic(F.col("difference"), scale)).select(*COLUMNS)
+    scored = toxicity.score_keys(docs, models, ["doc_id"])
+    toxic = pin(scored.where(toxicity.is_toxic(F.col("difference"), scale)).select("_text"), "toxic")
+    keyed = docs.withColumn("_text", toxicity.text_key(["doc_id"]))
+    return keyed.join(broadcast_if_small(toxic), "_text", "left_anti").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

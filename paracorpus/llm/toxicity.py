@@ -1,4 +1,4 @@
-"""Toxicity by two Kneser-Ney models, one of toxic and one of ordinary text."""
+"""Toxicity by two backoff models after Kneser and Ney, one of toxic and one of ordinary text."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,11 @@ from paracorpus.llm.chunks import ChunkMemory, coded_chunks
 from paracorpus.llm.common import broadcast_if_small, pin
 from paracorpus.llm.merge_automaton import groups_by_length
 
-#: Words are known by `CELL_BITS` bits of their hash; the model has tables of so many cells.
+#: Bits of a word's number in `count_pairs`' column pair. Nothing is counted or looked up by it.
 CELL_BITS = 20
-#: Most word pairs in a model; rarer pairs are left to the backoff. Bounds what is sent to tasks.
-MOST_PAIRS = 500_000
+#: The most frequent pairs and words are looked up in the tasks, all others by a join: how many only
+#: decides where a value is looked up.
+FREQUENT_PAIRS, FREQUENT_WORDS = 1_000_000, 250_000
 #: A count n is discounted by this times its square root, as chance may have made it so much larger;
 #: in the class with more text by as much as leaves the same share to the backoff in both classes,
 #: so that expressions too rare to tell the classes apart speak for neither.
@@ -34,179 +36,301 @@ STEM = 4
 COUNTED, SCALED = (1, 2, 3), (4,)
 #: Bins of the histogram to which the scale is fitted.
 BINS, REACH = 2000, 4.0
-START = 0
+KINDS = ("toxic", "ordinary")
+SIGNS = ".,;:!?|*#%&'\"()[]{}<>/\\-_=+~^`@$"
 
 
 def cell(word: str) -> int:
-    return 1 + xxhash.xxh32_intdigest(word) % ((1 << CELL_BITS) - 1)
+    return 1 + xxhash.xxh32_intdigest(word) % ((1 << CELL_BITS) - 1) if word else 0
+
+
+def words_of(chunks: list[str]) -> list[str]:
+    """The word of each chunk: lower-cased, without signs at the ends; empty if nothing is left."""
+    return [c.lower().strip(SIGNS) for c in chunks]
 
 
 def word_cells(chunks: list[str]) -> list[int]:
-    """The cells of each chunk's word and stem, in one number: lower-cased, without signs at the
-    ends; -1 if nothing is left."""
-    words = [c.lower().strip(".,;:!?|*#%&'\"()[]{}<>/\\-_=+~^`@$") for c in chunks]
-    return [cell(w) << CELL_BITS | cell(w[:STEM]) if w else -1 for w in words]
+    """The numbers of each chunk's word and stem, in one; -1 without a word."""
+    return [cell(w) << CELL_BITS | cell(w[:STEM]) if w else -1 for w in words_of(chunks)]
 
 
-def cell_lists(texts: pa.Array, memory: ChunkMemory) -> list[np.ndarray]:
+def coded_words(texts: pa.Array, memory: ChunkMemory) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(text, before, word, names): for each word in turn the number of its text, and the places in
+    `names` of the word before it and of itself. Place 0 is the start of a text."""
     codes, offsets, chunks = coded_chunks(texts)
-    cells = np.array(memory.of(chunks), np.int64)[codes] if chunks else codes
-    return [x[x >= 0] for x in (cells[a:b] for a, b in zip(offsets, offsets[1:]))]
+    places = {"": 0}
+    local = np.array([places.setdefault(w, len(places)) for w in memory.of(chunks)] or [0], np.int64)
+    word = local[codes]
+    text = np.repeat(np.arange(len(texts)), np.diff(offsets))[word > 0]
+    word = word[word > 0]
+    before = np.concatenate(([0], word[:-1]))[: len(word)]
+    before[1:][text[1:] != text[:-1]] = 0
+    return text, before, word, list(places)
 
 
-def pairs_of(cells: np.ndarray) -> np.ndarray:
-    """The word before (or the start), the word and its stem, as one number each."""
-    return (np.concatenate(([START], cells[:-1] >> CELL_BITS)) << (2 * CELL_BITS)) | cells
+def joined(names: pa.Array, first: np.ndarray, second: np.ndarray) -> pa.Array:
+    """The keys of word pairs: the words with a blank between them, which no word has."""
+    return pc.binary_join_element_wise(names.take(pa.array(first)), names.take(pa.array(second)), " ")
 
 
 def count_pairs(labelled: DataFrame) -> DataFrame:
-    """pair, toxic, ordinary: in how many texts of either label each word pair occurs.
+    """pair, key, toxic, ordinary: in how many texts of either label each word pair occurs.
 
-    `labelled` has text and toxic. Every word of every row is looked at, a pair counts once per text;
-    pairs are combined in the tasks and again before the shuffle, and the table grows with the
-    labelled texts.
+    `labelled` has text and toxic. key has both words as they are and tells the pairs apart; pair is
+    a number made of the words' hashes, worked out only if it is asked for. Every word of every row
+    is looked at, a pair counts once per text; pairs are combined in the tasks and again before the
+    shuffle, and the table grows with the labelled texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = ChunkMemory(word_cells)
+        memory = ChunkMemory(words_of)
         for batch in batches:
             toxic = np.array(batch.column(1).to_pylist(), bool)
             for start, stop in groups_by_length(batch.column(0)):
-                cells = cell_lists(batch.column(0).slice(start, stop - start), memory)
-                for label in (False, True):
-                    mine = [np.unique(pairs_of(c)) for c, t in zip(cells, toxic[start:stop]) if t == label and len(c)]
-                    pairs, counts = np.unique(np.concatenate(mine), return_counts=True) if mine else (np.array([], np.int64),) * 2
-                    none = np.zeros(len(pairs), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(pairs), pa.array(counts if label else none), pa.array(none if label else counts)],
-                        ["pair", "toxic", "ordinary"],
-                    )
+                text, before, word, names = coded_words(batch.column(0).slice(start, stop - start), memory)
+                n = len(names)
+                once = np.unique((text * n + before) * n + word)
+                pairs, place = np.unique(once % (n * n), return_inverse=True)
+                marks = toxic[start:stop][once // (n * n)]
+                hits, every = (np.bincount(place, x, len(pairs)).astype(np.int64) for x in (marks, np.ones(len(once))))
+                key = joined(pa.array(names), pairs // n, pairs % n)
+                yield pa.RecordBatch.from_arrays([key, pa.array(hits), pa.array(every - hits)], ["key", *KINDS])
+
+    def numbers(keys: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in keys:
+            both = (k.split(" ") for k in batch.to_pylist())
+            yield pa.array([cell(a) << 2 * CELL_BITS | word_cells([b])[0] for a, b in both], pa.int64())
+
+    counted = labelled.select("text", F.col("toxic") == 1).mapInArrow(run, "key string, toxic long, ordinary long")
+    counted = counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return counted.select(F.arrow_udf(numbers, "long")("key").alias("pair"), "key", *KINDS)
+
+
+class Order:
+    """Discounts of both classes at one order of the models, and what both leave over, the same for
+    both: all of it if a class has no counts."""
+
+    def __init__(self, table: DataFrame, columns: dict[str, str]) -> None:
+        self.columns, self.total, self.factor, counts = columns, {}, dict.fromkeys(columns, DISCOUNT), {}
+        for kind, column in columns.items():
+            rows = table.where(F.col(column) > 0).groupBy(column).count().collect()
+            counts[kind] = np.array([tuple(x) for x in rows] or [(0, 0)], np.float64).T
+            self.total[kind] = float((counts[kind][0] * counts[kind][1]).sum())
+        small, large = sorted(columns, key=self.total.get)
+        self.empty, self.left = not self.total[small], 1.0
+        if self.empty:
+            return
+
+        def left(kind: str, factor: float) -> float:
+            n, rows = counts[kind]
+            return float((np.minimum(n, factor * np.sqrt(n)) * rows).sum() / self.total[kind])
+
+        self.left = left(small, DISCOUNT)
+        low, high = 0.0, DISCOUNT * float(np.sqrt(counts[large][0].max()) + 1)
+        for _ in range(50):
+            middle = (low + high) / 2
+            low, high = (middle, high) if left(large, middle) < self.left else (low, middle)
+        self.factor[large] = high
+
+    def share(self, kind: str) -> Column:
+        """A count less its discount, of all counts of the class."""
+        n = F.col(self.columns[kind])
+        return F.lit(0.0) if self.empty else F.greatest(n - self.factor[kind] * F.sqrt(n), F.lit(0.0)) / self.total[kind]
+
+
+def beyond_margin(ratio: Column) -> Column:
+    return F.signum(ratio) * F.greatest(F.abs(ratio) - MARGIN, F.lit(0.0))
+
 
-    counted = labelled.select("text", F.col("toxic") == 1).mapInArrow(run, "pair long, toxic long, ordinary long")
-    return counted.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+def is_frequent(table: DataFrame, most: int) -> Column:
+    """Whether n reaches the smallest count, of 100,000 at most, that at most `most` rows reach."""
+    n = F.least(F.col("n"), F.lit(100_000))
+    least, held = 100_001, 0
+    for count, rows in sorted(table.groupBy(n.alias("n")).count().collect(), reverse=True):
+        held += rows
+        if held > most:
+            break
+        least = count
+    return n >= least
+
+
+class Frequent:
+    """What is looked up in the tasks: frequent pairs and words, all stems and contexts, which grow much
+    more slowly than the texts."""
+
+    def __init__(self, names: list[str], word: np.ndarray, pairs: np.ndarray, value: np.ndarray, stems: dict[str, float], contexts: dict[str, float]) -> None:
+        self.place = {w: i for i, w in enumerate(names)}
+        self.word, self.pairs, self.value, self.stems, self.contexts = word, pairs, value, stems, contexts
 
 
 class ClassModels:
-    """Both models as arrays; its size is bounded by the cells and `MOST_PAIRS`, not by the corpus."""
+    """Both models as a table (key, value, n), all of it in the shared folder, and its frequent rows.
+
+    The log-likelihood of a word after another, toxic minus ordinary and beyond `MARGIN`, is worked out
+    from what all stems and contexts and the frequent pairs and words say, and mended by the rows of
+    rare words and pairs in `values`, of which a text looks up each once.
+    Pair, word, stem, shared counts: each step gets what the discounts of the step above left. A
+    word's share of its stem comes from the counts that the classes share. All counted pairs take
+    part; those whose discounts leave nothing have the value 0 and no row.
+    """
 
-    def __init__(self, pairs: DataFrame, most_pairs: int = MOST_PAIRS) -> None:
+    def __init__(self, pairs: DataFrame, frequent_pairs: int = FREQUENT_PAIRS, frequent_words: int = FREQUENT_WORDS) -> None:
         self._sent: Broadcast | None = None
-        cells, mask = 1 << CELL_BITS, (1 << CELL_BITS) - 1
-        kinds = ("toxic", "ordinary")
-        first = F.shiftright("pair", 2 * CELL_BITS)
-        word, stem = F.shiftright("pair", CELL_BITS).bitwiseAND(mask), F.col("pair").bitwiseAND(mask)
-        tokens = [F.sum(c).alias(c) for c in kinds]
-        seen = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in kinds]
-        context = pairs.groupBy(first.alias("cell")).agg(*tokens).toPandas()
-        words, stems = (pairs.groupBy(x.alias("cell")).agg(*seen, F.count(F.lit(1)).alias("all")).toPandas() for x in (word, stem))
-        kept = pairs.where(F.col("toxic") + F.col("ordinary") >= self._least_count(pairs, most_pairs)).toPandas()
-        kept = kept.sort_values("pair")
-        self.pairs = kept["pair"].to_numpy(np.int64)
-        above = self.pairs >> (2 * CELL_BITS)
-
-        def spread(frame, column: str) -> np.ndarray:
-            out = np.zeros(cells, np.float64)
-            out[frame["cell"].to_numpy(np.int64)] = frame[column].to_numpy(np.float64)
-            return out
-
-        # How many word pairs of either class end in a word or stem: the counts that both models share.
-        shared, of_stem = spread(words, "all"), spread(stems, "all")
-        base = of_stem / max(of_stem.sum(), 1)
-        self.part = ((shared + 1) / (shared.sum() + cells)).astype(np.float32)
-        self.whole = ((of_stem + 1) / (of_stem.sum() + cells)).astype(np.float32)
-        self.word, self.stem, self.pair, self.rest = {}, {}, {}, {}
-        word_shares, self.left = self._shares({c: spread(words, c) for c in kinds})
-        stem_shares, left = self._shares({c: spread(stems, c) for c in kinds})
-        totals = {c: spread(context, c) for c in kinds}
-        least = np.minimum(totals["toxic"], totals["ordinary"])
-        known = (least >= LEAST_CONTEXT)[above]
-        for c in kinds:
-            self.stem[c] = (stem_shares[c] + left * (base + 1 / cells) / 2).astype(np.float32)
-            self.word[c] = word_shares[c].astype(np.float32)
-            counts = kept[c].to_numpy(np.float64)
-            discount = DISCOUNT * np.sqrt(counts * totals[c][above] / np.maximum(least[above], 1))
-            share = np.where(known, np.maximum(counts - discount, 0) / np.maximum(totals[c][above], 1), 0.0)
-            self.pair[c] = share.astype(np.float32)
-            # What the discounts and the pairs left out leave over goes to the words.
-            self.rest[c] = (1 - np.bincount(above, share, cells)).astype(np.float32)
+        pairs = pairs.select(F.substring_index("key", " ", 1).alias("first"), F.substring_index("key", " ", -1).alias("word"), *KINDS)
+        totals = pairs.groupBy("first").agg(*(F.sum(c).alias(f"{c}_n") for c in KINDS))
+        least = F.least(*(F.col(f"{c}_n") for c in KINDS))
+        totals = pin(totals.where(least >= LEAST_CONTEXT), "contexts")
+        shares = [F.greatest(F.col(c) - DISCOUNT * F.sqrt(F.col(c) * F.col(f"{c}_n") / least), F.lit(0.0)) / F.col(f"{c}_n") for c in KINDS]
+        # A discount is at least that of the factor itself, so smaller counts have no share.
+        shared_pairs = pairs.where(F.greatest(*KINDS) > DISCOUNT**2).join(broadcast_if_small(totals, FREQUENT_WORDS), "first")
+        shared_pairs = pin(
+            shared_pairs.select("first", "word", F.expr("toxic + ordinary").alias("n"), *(x.alias(c) for x, c in zip(shares, KINDS))).where("toxic > 0 or ordinary > 0"),
+            "pair-shares",
+        )
+        # What the discounts leave over goes to the words.
+        rests = pin(shared_pairs.groupBy("first").agg(*((1 - F.sum(c)).alias(f"{c}_rest") for c in KINDS)), "rests")
+        words = pin(pairs.groupBy("word").agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in KINDS), F.count(F.lit(1)).alias("n")), "words")
+        stem = F.substring("word", 1, STEM).alias("stem")
+        stems = pin(words.groupBy(stem).agg(*(F.sum(c).alias(f"{c}_s") for c in KINDS), F.sum("n").alias("n_s")), "stems")
+        of_words, of_stems = Order(words, {c: c for c in KINDS}), Order(stems, {c: f"{c}_s" for c in KINDS})
+        n = stems.agg(F.coalesce(F.sum("n_s"), F.lit(0))).first()[0]
+        # Half goes to the stems as they occur, half evenly to as many as there may be.
+        shared = (F.col("n_s") / max(n, 1) + 1 / (1 << CELL_BITS)) / 2
+        stems = stems.select("stem", "n_s", *((of_stems.share(c) + of_stems.left * shared).alias(f"{c}_stem") for c in KINDS))
+        stems = stems.withColumn("of_stem", F.log(F.col("toxic_stem") / F.col("ordinary_stem")))
+        within = F.least((F.col("n") + 1) / (F.col("n_s") + 1), F.lit(1.0))
+        vocabulary = words.withColumn("stem", stem).join(stems, "stem")
+        vocabulary = vocabulary.select(
+            F.col("word").alias("name"), "n", "of_stem", *((of_words.share(c) + of_words.left * F.col(f"{c}_stem") * within).alias(f"{c}_p") for c in KINDS)
+        )
+        vocabulary = pin(vocabulary.withColumn("of_word", F.log(F.col("toxic_p") / F.col("ordinary_p"))), "vocabulary")
+        valued = shared_pairs.join(broadcast_if_small(rests, FREQUENT_WORDS), "first").join(vocabulary.drop("n").withColumnRenamed("name", "word"), "word")
+        t, o = (F.col(c) + F.col(f"{c}_rest") * F.col(f"{c}_p") for c in KINDS)
+        after = F.log(F.col("toxic_rest") / F.col("ordinary_rest"))
+        value = beyond_margin(F.log(t / o)) - beyond_margin(after + F.col("of_word"))
+        valued = pin(valued.select(F.concat_ws(" ", "first", "word").alias("key"), value.alias("value"), "n").where("value <> 0"), "pair-values")
+        sent_pairs, sent_words = is_frequent(valued, frequent_pairs), is_frequent(vocabulary, frequent_words)
+        rare_pairs, rare_words = valued.where(~sent_pairs), vocabulary.where(~sent_words)
+        self.values = rare_pairs.select("key", "value", F.lit(None).cast("double").alias("of_stem")).unionByName(
+            rare_words.select(F.col("name").alias("key"), F.col("of_word").alias("value"), "of_stem")
+        )
+        # If all rows of a kind are sent, no others are looked up.
+        self.all_pairs, self.all_words = rare_pairs.isEmpty(), rare_words.isEmpty()
+        self.frequent = self._frequent(
+            vocabulary.where(sent_words).select("name", "of_word").toArrow(),
+            valued.where(sent_pairs).select("key", "value").toArrow(),
+            stems.select("stem", "of_stem").toArrow(),
+            rests.select("first", F.log(F.col("toxic_rest") / F.col("ordinary_rest"))).toArrow(),
+        )
+
+    @staticmethod
+    def _frequent(words: pa.Table, pairs: pa.Table, *others: pa.Table) -> Frequent:
+        names = words["name"].to_pylist()
+        place = {w: i for i, w in enumerate(names)}
+        codes = np.empty(len(pairs), np.int64)
+        for i, key in enumerate(pairs["key"]):
+            first, word = key.as_py().split(" ")
+            codes[i] = place.setdefault(first, len(place)) << 32 | place.setdefault(word, len(place))
+        order = np.argsort(codes)
+        # Words of frequent pairs may be rare; they are looked up by the join.
+        gap = np.full(len(place) - len(names), np.nan)
+        word = np.concatenate([words["of_word"].to_numpy(), gap])
+        value = pairs["value"].to_numpy()[order] if len(pairs) else np.zeros(0)
+        return Frequent(list(place), word, codes[order], value, *(dict(zip(x[0].to_pylist(), x[1].to_pylist())) for x in others))
 
     def sent(self, spark: SparkSession) -> Broadcast:
-        """The models as a broadcast, sent once for all texts that are scored with them."""
+        """The frequent rows as a broadcast, sent once for all texts that are scored with them."""
         if self._sent is None:
-            self._sent = spark.sparkContext.broadcast(self)
+            self._sent = spark.sparkContext.broadcast(self.frequent)
         return self._sent
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_sent": None}
 
-    @staticmethod
-    def _least_count(pairs: DataFrame, most: int) -> int:
-        """The smallest count, 2 or more, that at most `most` pairs reach."""
-        n = F.least(F.col("toxic") + F.col("ordinary"), F.lit(100_000))
-        by_count = sorted(pairs.groupBy(n.alias("n")).count().collect(), reverse=True)
-        least, held = 100_001, 0
-        for count, rows in by_count:
-            held += rows
-            if held > most or count < 2:
-                break
-            least = count
-        return least
+LOOKED_UP = "key string, texts array<long>, counts array<int>, base array<double>, after array<double>"
 
-    @staticmethod
-    def _shares(counts: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], float]:
-        """The discounted shares of both classes, and what is left over, the same for both: all of it
-        if a class has no counts."""
-        totals = {c: n.sum() for c, n in counts.items()}
-        small, large = sorted(counts, key=totals.get)
-        if not totals[small]:
-            return {c: np.zeros(len(n)) for c, n in counts.items()}, 1.0
-
-        def left(c: str, factor: float) -> float:
-            return np.minimum(counts[c], factor * np.sqrt(counts[c])).sum() / totals[c]
-
-        aim = left(small, DISCOUNT)
-        low, high = 0.0, DISCOUNT * float(np.sqrt(counts[large].max()) + 1)
-        for _ in range(50):
-            middle = (low + high) / 2
-            low, high = (middle, high) if left(large, middle) < aim else (low, middle)
-        factors = {small: DISCOUNT, large: high}
-        return {c: np.maximum(n - factors[c] * np.sqrt(n), 0) / totals[c] for c, n in counts.items()}, float(aim)
-
-    def difference(self, cells: np.ndarray) -> np.ndarray:
-        """Per word, its toxic minus its ordinary log-likelihood after the word before it, beyond `MARGIN`.
-
-        Pair, word, stem, shared counts: each step gets what the discounts of the step above left. A
-        word's share of its stem comes from the counts that the classes share.
-        """
-        pairs, mask = pairs_of(cells), (1 << CELL_BITS) - 1
-        word, stem, before = cells >> CELL_BITS, cells & mask, pairs >> (2 * CELL_BITS)
-        within = np.minimum(self.part[word] / self.whole[stem], 1)
-        place = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
-        hit = self.pairs[place] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
-        out = np.zeros(len(cells))
-        for c, sign in (("toxic", 1), ("ordinary", -1)):
-            p = self.rest[c][before] * (self.word[c][word] + self.left * self.stem[c][stem] * within)
-            if hit.any():
-                p[hit] += self.pair[c][place[hit]]
-            out += sign * np.log(p)
-        return np.sign(out) * np.maximum(np.abs(out) - MARGIN, 0)
 
+def text_key(columns: list[str]) -> Column:
+    """64 bits that stand for a row's columns and text while its keys are looked up."""
+    return F.xxhash64(*columns, F.coalesce("text", F.lit("")))
 
-def score_texts(docs: DataFrame, models: ClassModels, columns: list[str]) -> DataFrame:
-    """`columns` and `difference`: the mean over the words of a text; 0 without words."""
-    shared = models.sent(docs.sparkSession)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory, models = ChunkMemory(word_cells), shared.value
+def score_keys(docs: DataFrame, models: ClassModels, columns: list[str]) -> DataFrame:
+    """_text, difference: the mean over the words of a text, 0 without words, for each `text_key`.
+
+    Frequent keys are looked up in the tasks. Of the others each group of texts sends every distinct
+    one once, with the texts that have it, to the join with the models' table; the sums per text are
+    combined in the tasks before they are shuffled. Rows with equal keys have equal texts: their
+    sums and their words both count as often as they occur.
+    """
+    shared, all_words, all_pairs = models.sent(docs.sparkSession), models.all_words, models.all_pairs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, known = ChunkMemory(words_of), shared.value
         for batch in batches:
-            out: list[float] = []
-            for start, stop in groups_by_length(batch):
-                cells = cell_lists(batch.slice(start, stop - start), memory)
-                for c in cells:
-                    out.append(float(models.difference(c).mean()) if len(c) else 0.0)
-            yield pa.array(out, pa.float64())
+            for start, stop in groups_by_length(batch.column(0)):
+                ids = np.asarray(batch.column(1).slice(start, stop - start))
+                text, before, word, names = coded_words(batch.column(0).slice(start, stop - start), memory)
+                n, listed = len(names), pa.array(names)
+                place = np.array([known.place.get(w, -1) for w in names], np.int64)
+                found = place >= 0
+                of_word = np.full(n, np.nan)
+                of_word[found] = known.word[place[found]]
+                rare = np.isnan(of_word)
+                of_word[rare] = [known.stems.get(names[i][:STEM], 0.0) for i in np.flatnonzero(rare)]
+                after = np.array([known.contexts.get(w, 0.0) for w in names])
+                once, counts = np.unique((text * n + before) * n + word, return_counts=True)
+                owner, pair = once // (n * n), once % (n * n)
+                first, second = pair // n, pair % n
+                ratio = of_word[second] + after[first]
+                value = np.sign(ratio) * np.maximum(np.abs(ratio) - MARGIN, 0)
+                code = np.where((place[first] >= 0) & (place[second] >= 0), place[first] << 32 | place[second], -1)
+                at = np.minimum(np.searchsorted(known.pairs, code), max(len(known.pairs) - 1, 0))
+                hit = known.pairs[at] == code if len(known.pairs) else np.zeros(len(code), bool)
+                value[hit] += known.value[at[hit]]
+                sums = np.bincount(owner, value * counts, stop - start)
+                # The key of no value: the sums themselves.
+                yield asked(pa.array([f"   {ids[0]}"]), np.zeros(len(ids), np.int64), ids, np.bincount(text, minlength=stop - start), sums)
+                if not all_pairs:
+                    # If all words are known here, another word was never counted, nor a pair of it.
+                    rest = ~hit & ((place[second] >= 0) | (not all_words))
+                    keys, group = np.unique(pair[rest], return_inverse=True)
+                    yield asked(joined(listed, keys // n, keys % n), group, ids[owner[rest]], counts[rest])
+                if not all_words:
+                    rest = rare[second]
+                    keys, group = np.unique(second[rest], return_inverse=True)
+                    yield asked(listed.take(pa.array(keys)), group, ids[owner[rest]], counts[rest], after=after[first[rest]])
+
+    rows = docs.select("text", text_key(columns)).mapInArrow(run, LOOKED_UP)
+    if not (all_words and all_pairs):
+        rows = rows.join(models.values, "key", "left").where("base is not null or value is not null")
+    else:
+        rows = rows.withColumns({"value": F.lit(0.0), "of_stem": F.lit(0.0)})
+    # Shorter arrays are filled up with nulls; an array that is null would leave no row.
+    lists = [F.coalesce(x, F.array().cast("array<double>")).alias(x) for x in ("base", "after")]
+    rows = rows.select("value", "of_stem", "texts", "counts", *lists)
+    each = rows.select("value", "of_stem", F.explode(F.arrays_zip("texts", "counts", "base", "after")).alias("x"))
+    # A rare word was taken for one of which only the stem is known.
+    gain = beyond_margin(F.col("x.after") + F.col("value")) - beyond_margin(F.col("x.after") + F.col("of_stem"))
+    is_text = F.col("x.base").isNotNull()
+    summed = each.groupBy(F.col("x.texts").alias("_text")).agg(
+        F.sum(F.coalesce("x.base", F.col("x.counts") * F.coalesce(gain, "value"))).alias("total"), F.sum(F.when(is_text, F.col("x.counts")).otherwise(0)).alias("words")
+    )
+    return summed.select("_text", F.when(F.col("words") > 0, F.col("total") / F.col("words")).otherwise(0.0).alias("difference"))
+
+
+def asked(keys: pa.Array, group: np.ndarray, ids: np.ndarray, counts: np.ndarray, base=None, after=None) -> pa.RecordBatch:
+    """One row per key: the texts that have it, how often, for sums the sums, for words what the word before says."""
+    order = np.argsort(group, kind="stable")
+    ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(group, minlength=len(keys))))).astype(np.int32))
+    texts, many = (pa.ListArray.from_arrays(ends, pa.array(x[order], t)) for x, t in ((ids, pa.int64()), (counts, pa.int32())))
+    more = [pa.nulls(len(keys), pa.list_(pa.float64())) if x is None else pa.ListArray.from_arrays(ends, pa.array(x[order], pa.float64())) for x in (base, after)]
+    return pa.RecordBatch.from_arrays([keys, texts, many, *more], ["key", "texts", "counts", "base", "after"])
 
-    return docs.select(*columns, F.arrow_udf(run, "double")("text").alias("difference"))
+
+
+def score_texts(docs: DataFrame, models: ClassModels, columns: list[str]) -> DataFrame:
+    """`columns` and `difference` of every row."""
+    scores = score_keys(docs, models, columns)
+    return docs.select(*columns, text_key(columns).alias("_text")).join(scores, "_text").select(*columns, "difference")
 
 
 def fit_scale(scored: DataFrame) -> tuple[float, float]:
@@ -248,10 +372,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: str) -> tuple[ClassMo
     texts = docs.select("doc_id", "text")
 
     def chosen(folds: tuple[int, ...]) -> DataFrame:
-        return texts.join(broadcast_if_small(used.where(F.col("_fold").isin(*folds))), "doc_id").select("text", "toxic")
+        return texts.join(broadcast_if_small(used.where(F.col("_fold").isin(*folds))), "doc_id").select("doc_id", "text", "toxic")
 
-    models = ClassModels(pin(count_pairs(chosen(COUNTED)), "word-pairs"))
-    return models, fit_scale(score_texts(chosen(SCALED), models, ["toxic"]))
+    models = ClassModels(pin(count_pairs(chosen(COUNTED)).drop("pair"), "word-pairs"))
+    return models, fit_scale(score_texts(chosen(SCALED), models, ["doc_id", "toxic"]))
 
 
 def score_of(difference: Column, scale: tuple[float, float]) -> Column:

@@ -54,6 +54,32 @@ def test_too_few_labels(spark, labels):
     assert X.score_toxicity(docs.where("false"), models, scale).count() == 0
 
 
+def test_rare_pairs_and_words_are_looked_up_exactly(spark):
+    """Whatever is sent to the tasks, the rest comes from the join: scores are the same, of repeated rows too."""
+    docs, labels = corpus(400, seed=3)
+    docs = [(i, t + (" calm storm" if dict(labels)[i] else " calm sea")) for i, t in docs] + docs[:3]
+    frame = spark.createDataFrame([(i, t, dict(labels).get(i, 0)) for i, t in docs], "doc_id long, text string, toxic int")
+    pairs = X.count_pairs(frame).drop("pair").localCheckpoint()
+    assert pairs.where("key = 'calm sea'").select("ordinary").first()[0] > 0
+    found = []
+    for sent in ((10**6, 10**6), (20, 30), (0, 0)):
+        models = X.ClassModels(pairs, *sent)
+        found.append(sorted(map(tuple, X.score_texts(frame, models, ["doc_id"]).collect())))
+        assert len(found[-1]) == len(docs) and [i for i, _ in found[-1]] == sorted(i for i, _ in docs)
+    for other in found[1:]:
+        assert [x for _, x in other] == pytest.approx([x for _, x in found[0]], abs=1e-9)
+
+
+def test_words_with_one_number_are_counted_apart(spark):
+    numbers, a, i = {}, None, 0
+    while a is None:
+        a, i = numbers.setdefault(X.cell(f"w{i}"), f"w{i}"), i + 1
+        a = None if a == f"w{i - 1}" else a
+    b = f"w{i - 1}"
+    found = X.count_pairs(spark.createDataFrame([(a, 1), (b, 0)], "text string, toxic int")).drop("pair").collect()
+    assert sorted(map(tuple, found)) == sorted([(f" {a}", 1, 0), (f" {b}", 0, 1)])
+
+
 def test_the_scale_is_a_logistic_fit(spark):
     rows = [(x / 100, int(x > 20)) for x in range(-100, 140)]
     slope, shift = X.fit_scale(spark.createDataFrame(rows, "difference double, toxic int"))
