@@ -145,10 +145,50 @@ from j
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+COLLOCATIONS = r"""
+with pieces as (
+  select row_number() over () as doc, coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), lists as (
+  select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces
+), spots as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from lists where len(w) > 0
+), words as (
+  select lang, w[i] as word, count(*) as n from spots group by all
+), sizes as (
+  select lang, sum(n)::bigint as n from words group by lang
+), two as (
+  select lang, w[i] as w1, w[i + 1] as w2, count(*) as a from spots where i < len(w) group by all having count(*) >= 10
+), three as (
+  select lang, w[i] as w1, w[i + 1] as w2, w[i + 2] as w3, count(*) as a from spots where i + 1 < len(w) group by all having count(*) >= 10
+), longer as (
+  select lang, w1, w2, max(a) as a from (select lang, w1, w2, a from three union all select lang, w2, w3, a from three) group by all
+), pairs as (
+  select t.lang, t.w1 || ' ' || t.w2 as phrase, t.a, x.n as l, y.n as r, (1000000::hugeint * t.a * t.a) // (x.n::hugeint * y.n) as score
+  from two t join words x on x.lang = t.lang and x.word = t.w1 join words y on y.lang = t.lang and y.word = t.w2
+  left join longer g on g.lang = t.lang and g.w1 = t.w1 and g.w2 = t.w2 where g.a is null or 100 * g.a < 50 * t.a
+), cuts as (
+  select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 as phrase, t.a, x.n as l1, y.a as r1, z.a as l2, v.n as r2,
+    (1000000::hugeint * t.a * t.a) // (x.n::hugeint * y.a) as s1, (1000000::hugeint * t.a * t.a) // (z.a::hugeint * v.n) as s2
+  from three t join words x on x.lang = t.lang and x.word = t.w1 join two y on y.lang = t.lang and y.w1 = t.w2 and y.w2 = t.w3
+  join two z on z.lang = t.lang and z.w1 = t.w1 and z.w2 = t.w2 join words v on v.lang = t.lang and v.word = t.w3
+), scored as (
+  select * from pairs
+  union all
+  select lang, phrase, a, case when s1 <= s2 then l1 else l2 end, case when s1 <= s2 then r1 else r2 end, least(s1, s2) from cuts
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from scored
+)
+select r.lang, rank, phrase, a::bigint as a, l::bigint as l, r.r::bigint as r, s.n, score::bigint as score
+from ranked r join sizes s on s.lang = r.lang where rank <= 2000
+"""
+
 SQL = {
     "op1_tool_calls": TOOL_CALLS,
     "op2_arc_to_warc": ARC_TO_WARC,
     "op3_exact_dedup": EXACT_DEDUP,
     "op4_source_mix": SOURCE_MIX,
     "op6_host_reputation": HOST_REPUTATION,
+    "op12_collocations": COLLOCATIONS,
 }

@@ -13,8 +13,11 @@ from paracorpus.llm import (
     exact_dedup,
     host_reputation,
     jaccard_join,
+    marked_words,
     merge_automaton,
+    phrase_mining,
     source_mixing,
+    token_alignment,
     token_records,
     tool_calls,
     toxicity,
@@ -22,6 +25,7 @@ from paracorpus.llm import (
 from paracorpus.llm.common import checkpoint_dir, crc_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES, BYTE_LEVEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
 END_ID = 1
 FOLDS = 5
 FOLD = f"coalesce(crc32(cast(cast(doc_id as string) as binary)) % {FOLDS}, 0)"
@@ -34,10 +38,10 @@ TOOLS = {
 }
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def turn_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,6 +125,19 @@ def op10_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
     return bottom_k.fingerprint_edits(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op11_marked_words(spark: SparkSession, folder: str) -> DataFrame:
+    return marked_words.encode_digests(table(spark, folder, "documents", "doc_id", "text"), tokenizer_path(PIECES))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, folder, "documents", "text", "lang"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return token_alignment.align_tokens(docs, tokenizer_path(BYTE_LEVEL), tokenizer_path(PIECES))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,6 +148,7 @@ REGISTRY = {
     f.__name__: f
     for f in (
         op1_tool_calls, op2_arc_to_warc, op3_exact_dedup, op4_source_mix, op5_token_records,
-        op6_host_reputation, op7_toxicity, op8_merge_automaton, op9_jaccard_join, op10_bottom_k, pipeline,
+        op6_host_reputation, op7_toxicity, op8_merge_automaton, op9_jaccard_join, op10_bottom_k, op11_marked_words,
+        op12_collocations, op13_token_alignment, pipeline,
     )
 }
