@@ -1,5 +1,6 @@
 """Run every registered query next to its SQL twin: python tests/oracle_check.py [names...]"""
 
+import numbers
 import os
 import sys
 import time
@@ -22,8 +23,8 @@ def as_rows(df: pd.DataFrame) -> list[str]:
         if x is None or (isinstance(x, float) and x != x) or x is pd.NA:
             return "null"
         # A whole number may come as a float if its column has nulls.
-        if isinstance(x, (int, float)) and not isinstance(x, bool):
-            return f"{x:.6f}"
+        if isinstance(x, numbers.Number) and not isinstance(x, bool):
+            return f"{float(x):.6f}"
         return str(x)
 
     columns = sorted(df.columns)

@@ -141,18 +141,33 @@ def test_assign_units_of_odd_vectors(spark):
     frames = spark.createDataFrame([(1, [1.0, 0.9]), (2, None), (3, [0.1, 0.0])], "id int, vec array<double>")
     rows = {r.id: (r.unit, r.distance) for r in codebook.assign_units(frames, book).collect()}
     assert rows[2] == (None, None) and rows[1][0] == 1 and rows[3] == (0, pytest.approx(0.01))
-    ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, []), (3, [0.0, 1.0, 3.0, 4.0])], "id int, vec array<double>")
-    with pytest.raises(Exception, match="a vector has 0 numbers"):
-        codebook.assign_units(ragged, book).collect()
+    for odd in ([], [0.0, 1.0, 3.0, 4.0]):
+        ragged = spark.createDataFrame([(2, odd)], "id int, vec array<double>")
+        with pytest.raises(Exception, match=f"a vector has {len(odd)} numbers"):
+            codebook.assign_units(ragged, book).collect()
     with pytest.raises(ValueError, match="empty"):
         codebook.assign_units(frames, book.where("false"))
 
 
-def test_large_codebooks_stay_in_the_cluster(spark, monkeypatch):
-    monkeypatch.setattr(codebook, "MOST_BYTES", 31)
-    book = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 1.0])], "unit int, vec array<double>")
-    with pytest.raises(ValueError, match="too large"):
-        codebook.assign_units(book.withColumnRenamed("unit", "id"), book)
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_large_codebooks_stay_in_the_cluster(spark, monkeypatch, spread):
+    """Cells, parts of cells and groups of frames give what one piece gives: clusters and noise, ties, copies, nulls."""
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(12, 3))
+    vectors = np.round(np.concatenate([c + rnd.normal(0, spread, size=(25, 3)) for c in centres]), 2)
+    vectors[50:80] = vectors[50]  # copies: a cell larger than a part, the smallest unit wins
+    book = spark.createDataFrame([(int(u), v.tolist()) for u, v in zip(rnd.permutation(300) - 20, vectors)], "unit int, vec array<double>")
+    points = [np.round(centres[i % 12] + rnd.normal(0, spread, size=3), 2) for i in range(400)] + [vectors[60]] * 30
+    frames = spark.createDataFrame([(i // 2, p.tolist()) for i, p in enumerate(points)] + [(1000, None)], "id int, vec array<double>")
+    want = sorted(map(tuple, codebook.assign_units(frames, book).select("id", "unit", F.round("distance", 9)).collect()), key=str)
+    monkeypatch.setattr(codebook, "MOST_BYTES", 3 * 8 * 17)
+    monkeypatch.setattr(codebook, "PIECE", 10)
+    monkeypatch.setattr(codebook, "FRAMES_AT_ONCE", 13)
+    found = codebook.assign_units(frames, book)
+    assert found.columns == ["id", "vec", "unit", "distance"]
+    assert sorted(map(tuple, found.select("id", "unit", F.round("distance", 9)).collect()), key=str) == want
+    with pytest.raises(Exception, match="a vector has 2 numbers"):
+        codebook.assign_units(spark.createDataFrame([(1, [1.0, 2.0])], "id int, vec array<double>"), book).collect()
 
 
 def test_fit_codebook(spark):
