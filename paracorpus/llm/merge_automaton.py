@@ -177,12 +177,12 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def groups_by_length(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, stop) of runs of texts that together have about `GROUP_CHARS` bytes."""
+def groups_by_length(texts: pa.Array, size: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of texts that together have about `size` bytes."""
     start = held = 0
     for i, text in enumerate(texts):
         held += text.as_buffer().size if text.is_valid else 0
-        if held >= GROUP_CHARS:
+        if held >= size:
             yield start, i + 1
             start, held = i + 1, 0
     if start < len(texts):

@@ -7,20 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paracorpus.llm.chunks import ChunkMemory, coded_chunks
+from paracorpus.llm.bounded import is_frequent
+from paracorpus.llm.chunks import coded_chunks
 from paracorpus.llm.common import broadcast_if_small, pin
 from paracorpus.llm.merge_automaton import groups_by_length
 
-#: Bits of a word's number in `count_pairs`' column pair. Nothing is counted or looked up by it.
-CELL_BITS = 20
+#: Stems that there may be, for what is shared evenly among them.
+STEMS = 1 << 20
+#: Bytes of text that a task counts or scores at once.
+GROUP_BYTES = 3_000_000
 #: The most frequent pairs and words are looked up in the tasks, all others by a join: how many only
-#: decides where a value is looked up.
-FREQUENT_PAIRS, FREQUENT_WORDS = 1_000_000, 250_000
+#: decides where a value is looked up. So are the most frequent stems.
+FREQUENT_PAIRS, FREQUENT_WORDS, FREQUENT_STEMS = 1_000_000, 250_000, 250_000
 #: A count n is discounted by this times its square root, as chance may have made it so much larger;
 #: in the class with more text by as much as leaves the same share to the backoff in both classes,
 #: so that expressions too rare to tell the classes apart speak for neither.
@@ -40,26 +42,17 @@ KINDS = ("toxic", "ordinary")
 SIGNS = ".,;:!?|*#%&'\"()[]{}<>/\\-_=+~^`@$"
 
 
-def cell(word: str) -> int:
-    return 1 + xxhash.xxh32_intdigest(word) % ((1 << CELL_BITS) - 1) if word else 0
-
-
 def words_of(chunks: list[str]) -> list[str]:
     """The word of each chunk: lower-cased, without signs at the ends; empty if nothing is left."""
     return [c.lower().strip(SIGNS) for c in chunks]
 
 
-def word_cells(chunks: list[str]) -> list[int]:
-    """The numbers of each chunk's word and stem, in one; -1 without a word."""
-    return [cell(w) << CELL_BITS | cell(w[:STEM]) if w else -1 for w in words_of(chunks)]
-
-
-def coded_words(texts: pa.Array, memory: ChunkMemory) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """(text, before, word, names): for each word in turn the number of its text, and the places in
     `names` of the word before it and of itself. Place 0 is the start of a text."""
     codes, offsets, chunks = coded_chunks(texts)
     places = {"": 0}
-    local = np.array([places.setdefault(w, len(places)) for w in memory.of(chunks)] or [0], np.int64)
+    local = np.array([places.setdefault(w, len(places)) for w in words_of(chunks)] or [0], np.int64)
     word = local[codes]
     text = np.repeat(np.arange(len(texts)), np.diff(offsets))[word > 0]
     word = word[word > 0]
@@ -74,20 +67,17 @@ def joined(names: pa.Array, first: np.ndarray, second: np.ndarray) -> pa.Array:
 
 
 def count_pairs(labelled: DataFrame) -> DataFrame:
-    """pair, key, toxic, ordinary: in how many texts of either label each word pair occurs.
+    """key, toxic, ordinary: in how many texts of either label each word pair occurs.
 
-    `labelled` has text and toxic. key has both words as they are and tells the pairs apart; pair is
-    a number made of the words' hashes, worked out only if it is asked for. Every word of every row
-    is looked at, a pair counts once per text; pairs are combined in the tasks and again before the
+    `labelled` has text and toxic; key has both words as they are. Every word of every row is looked at, a pair counts once per text; pairs are combined in the tasks and again before the
     shuffle, and the table grows with the labelled texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = ChunkMemory(words_of)
         for batch in batches:
             toxic = np.array(batch.column(1).to_pylist(), bool)
-            for start, stop in groups_by_length(batch.column(0)):
-                text, before, word, names = coded_words(batch.column(0).slice(start, stop - start), memory)
+            for start, stop in groups_by_length(batch.column(0), GROUP_BYTES):
+                text, before, word, names = coded_words(batch.column(0).slice(start, stop - start))
                 n = len(names)
                 once = np.unique((text * n + before) * n + word)
                 pairs, place = np.unique(once % (n * n), return_inverse=True)
@@ -96,14 +86,8 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
                 key = joined(pa.array(names), pairs // n, pairs % n)
                 yield pa.RecordBatch.from_arrays([key, pa.array(hits), pa.array(every - hits)], ["key", *KINDS])
 
-    def numbers(keys: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in keys:
-            both = (k.split(" ") for k in batch.to_pylist())
-            yield pa.array([cell(a) << 2 * CELL_BITS | word_cells([b])[0] for a, b in both], pa.int64())
-
     counted = labelled.select("text", F.col("toxic") == 1).mapInArrow(run, "key string, toxic long, ordinary long")
-    counted = counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    return counted.select(F.arrow_udf(numbers, "long")("key").alias("pair"), "key", *KINDS)
+    return counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 class Order:
@@ -142,39 +126,48 @@ def beyond_margin(ratio: Column) -> Column:
     return F.signum(ratio) * F.greatest(F.abs(ratio) - MARGIN, F.lit(0.0))
 
 
-def is_frequent(table: DataFrame, most: int) -> Column:
-    """Whether n reaches the smallest count, of 100,000 at most, that at most `most` rows reach."""
-    n = F.least(F.col("n"), F.lit(100_000))
-    least, held = 100_001, 0
-    for count, rows in sorted(table.groupBy(n.alias("n")).count().collect(), reverse=True):
-        held += rows
-        if held > most:
-            break
-        least = count
-    return n >= least
+def places(names: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where each name stands in `known`; -1 if it does not."""
+    return np.asarray(pc.index_in(names, value_set=known).fill_null(-1), np.int64)
+
+
+def values_of(names: pa.Array, known: pa.Array, values: np.ndarray) -> np.ndarray:
+    """The names' values, 0 without any."""
+    at = places(names, known)
+    return np.where(at >= 0, np.append(values, 0.0)[at], 0.0)
 
 
 class Frequent:
-    """What is looked up in the tasks: frequent pairs and words, all stems and contexts, which grow much
-    more slowly than the texts."""
+    """What is looked up in the tasks: frequent pairs, words and stems, and the contexts of pairs. Names
+    are Arrow columns, values arrays: a task holds them once, without an object for each."""
 
-    def __init__(self, names: list[str], word: np.ndarray, pairs: np.ndarray, value: np.ndarray, stems: dict[str, float], contexts: dict[str, float]) -> None:
-        self.place = {w: i for i, w in enumerate(names)}
-        self.word, self.pairs, self.value, self.stems, self.contexts = word, pairs, value, stems, contexts
+    def __init__(self, words: pa.Table, pairs: pa.Table, stems: pa.Table, contexts: pa.Table) -> None:
+        of_words, self.stems, self.contexts = (x[0].combine_chunks().cast(pa.string()) for x in (words, stems, contexts))
+        self.of_stem, self.after = (x[1].to_numpy() for x in (stems, contexts))
+        halves = pc.list_flatten(pc.split_pattern(pairs["key"].combine_chunks().cast(pa.string()), " "))
+        # Words of frequent pairs may be rare; they are looked up by the join.
+        self.names = pc.unique(pa.concat_arrays([of_words, halves]))
+        self.word = np.append(words["of_word"].to_numpy(), np.full(len(self.names) - len(words), np.nan))
+        codes = places(halves, self.names)
+        codes = codes[::2] << 32 | codes[1::2]
+        order = np.argsort(codes)
+        self.pairs, self.value = codes[order], pairs["value"].to_numpy()[order]
 
 
 class ClassModels:
     """Both models as a table (key, value, n), all of it in the shared folder, and its frequent rows.
 
     The log-likelihood of a word after another, toxic minus ordinary and beyond `MARGIN`, is worked out
-    from what all stems and contexts and the frequent pairs and words say, and mended by the rows of
-    rare words and pairs in `values`, of which a text looks up each once.
+    from what contexts and the frequent stems, pairs and words say, and mended by the rows of rare
+    words, stems and pairs in `values`, of which a text looks up each once.
     Pair, word, stem, shared counts: each step gets what the discounts of the step above left. A
     word's share of its stem comes from the counts that the classes share. All counted pairs take
     part; those whose discounts leave nothing have the value 0 and no row.
     """
 
-    def __init__(self, pairs: DataFrame, frequent_pairs: int = FREQUENT_PAIRS, frequent_words: int = FREQUENT_WORDS) -> None:
+    def __init__(
+        self, pairs: DataFrame, frequent_pairs: int = FREQUENT_PAIRS, frequent_words: int = FREQUENT_WORDS, frequent_stems: int = FREQUENT_STEMS
+    ) -> None:
         self._sent: Broadcast | None = None
         pairs = pairs.select(F.substring_index("key", " ", 1).alias("first"), F.substring_index("key", " ", -1).alias("word"), *KINDS)
         totals = pairs.groupBy("first").agg(*(F.sum(c).alias(f"{c}_n") for c in KINDS))
@@ -195,9 +188,9 @@ class ClassModels:
         of_words, of_stems = Order(words, {c: c for c in KINDS}), Order(stems, {c: f"{c}_s" for c in KINDS})
         n = stems.agg(F.coalesce(F.sum("n_s"), F.lit(0))).first()[0]
         # Half goes to the stems as they occur, half evenly to as many as there may be.
-        shared = (F.col("n_s") / max(n, 1) + 1 / (1 << CELL_BITS)) / 2
+        shared = (F.col("n_s") / max(n, 1) + 1 / STEMS) / 2
         stems = stems.select("stem", "n_s", *((of_stems.share(c) + of_stems.left * shared).alias(f"{c}_stem") for c in KINDS))
-        stems = stems.withColumn("of_stem", F.log(F.col("toxic_stem") / F.col("ordinary_stem")))
+        stems = pin(stems.withColumn("of_stem", F.log(F.col("toxic_stem") / F.col("ordinary_stem"))), "stem-values")
         within = F.least((F.col("n") + 1) / (F.col("n_s") + 1), F.lit(1.0))
         vocabulary = words.withColumn("stem", stem).join(stems, "stem")
         vocabulary = vocabulary.select(
@@ -209,35 +202,25 @@ class ClassModels:
         after = F.log(F.col("toxic_rest") / F.col("ordinary_rest"))
         value = beyond_margin(F.log(t / o)) - beyond_margin(after + F.col("of_word"))
         valued = pin(valued.select(F.concat_ws(" ", "first", "word").alias("key"), value.alias("value"), "n").where("value <> 0"), "pair-values")
-        sent_pairs, sent_words = is_frequent(valued, frequent_pairs), is_frequent(vocabulary, frequent_words)
-        rare_pairs, rare_words = valued.where(~sent_pairs), vocabulary.where(~sent_words)
-        self.values = rare_pairs.select("key", "value", F.lit(None).cast("double").alias("of_stem")).unionByName(
-            rare_words.select(F.col("name").alias("key"), F.col("of_word").alias("value"), "of_stem")
+        sent_pairs, sent_words, sent_stems = (
+            is_frequent(valued, frequent_pairs), is_frequent(vocabulary, frequent_words), is_frequent(stems, frequent_stems, "n_s")
+        )
+        rare_pairs, rare_words, rare_stems = valued.where(~sent_pairs), vocabulary.where(~sent_words), stems.where(~sent_stems)
+        # A rare word is first taken for its stem, and a rare stem for none.
+        self.values = (
+            rare_pairs.select("key", "value", F.lit(None).cast("double").alias("of_stem"))
+            .unionByName(rare_words.select(F.col("name").alias("key"), F.col("of_word").alias("value"), "of_stem"))
+            .unionByName(rare_stems.select(stem_key(F.col("stem")).alias("key"), F.col("of_stem").alias("value"), F.lit(0.0).alias("of_stem")))
         )
         # If all rows of a kind are sent, no others are looked up.
-        self.all_pairs, self.all_words = rare_pairs.isEmpty(), rare_words.isEmpty()
-        self.frequent = self._frequent(
+        self.all_pairs, self.all_words, self.all_stems = rare_pairs.isEmpty(), rare_words.isEmpty(), rare_stems.isEmpty()
+        self.frequent = Frequent(
             vocabulary.where(sent_words).select("name", "of_word").toArrow(),
             valued.where(sent_pairs).select("key", "value").toArrow(),
-            stems.select("stem", "of_stem").toArrow(),
+            stems.where(sent_stems).select("stem", "of_stem").toArrow(),
             rests.select("first", F.log(F.col("toxic_rest") / F.col("ordinary_rest"))).toArrow(),
         )
 
-    @staticmethod
-    def _frequent(words: pa.Table, pairs: pa.Table, *others: pa.Table) -> Frequent:
-        names = words["name"].to_pylist()
-        place = {w: i for i, w in enumerate(names)}
-        codes = np.empty(len(pairs), np.int64)
-        for i, key in enumerate(pairs["key"]):
-            first, word = key.as_py().split(" ")
-            codes[i] = place.setdefault(first, len(place)) << 32 | place.setdefault(word, len(place))
-        order = np.argsort(codes)
-        # Words of frequent pairs may be rare; they are looked up by the join.
-        gap = np.full(len(place) - len(names), np.nan)
-        word = np.concatenate([words["of_word"].to_numpy(), gap])
-        value = pairs["value"].to_numpy()[order] if len(pairs) else np.zeros(0)
-        return Frequent(list(place), word, codes[order], value, *(dict(zip(x[0].to_pylist(), x[1].to_pylist())) for x in others))
-
     def sent(self, spark: SparkSession) -> Broadcast:
         """The frequent rows as a broadcast, sent once for all texts that are scored with them."""
         if self._sent is None:
@@ -245,6 +228,11 @@ class ClassModels:
         return self._sent
 
 
+def stem_key(stem: Column) -> Column:
+    """Begins with two blanks, as no word or pair does."""
+    return F.concat(F.lit("  "), stem)
+
+
 LOOKED_UP = "key string, texts array<long>, counts array<int>, base array<double>, after array<double>"
 
 
@@ -261,22 +249,22 @@ def score_keys(docs: DataFrame, models: ClassModels, columns: list[str]) -> Data
     combined in the tasks before they are shuffled. Rows with equal keys have equal texts: their
     sums and their words both count as often as they occur.
     """
-    shared, all_words, all_pairs = models.sent(docs.sparkSession), models.all_words, models.all_pairs
+    shared = models.sent(docs.sparkSession)
+    all_words, all_pairs, all_stems = models.all_words, models.all_pairs, models.all_stems
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, known = ChunkMemory(words_of), shared.value
+        known = shared.value
         for batch in batches:
-            for start, stop in groups_by_length(batch.column(0)):
+            for start, stop in groups_by_length(batch.column(0), GROUP_BYTES):
                 ids = np.asarray(batch.column(1).slice(start, stop - start))
-                text, before, word, names = coded_words(batch.column(0).slice(start, stop - start), memory)
+                text, before, word, names = coded_words(batch.column(0).slice(start, stop - start))
                 n, listed = len(names), pa.array(names)
-                place = np.array([known.place.get(w, -1) for w in names], np.int64)
-                found = place >= 0
-                of_word = np.full(n, np.nan)
-                of_word[found] = known.word[place[found]]
+                place = places(listed, known.names)
+                of_word = np.where(place >= 0, np.append(known.word, np.nan)[place], np.nan)
                 rare = np.isnan(of_word)
-                of_word[rare] = [known.stems.get(names[i][:STEM], 0.0) for i in np.flatnonzero(rare)]
-                after = np.array([known.contexts.get(w, 0.0) for w in names])
+                stems = pc.utf8_slice_codeunits(listed, 0, STEM)
+                of_word[rare] = values_of(stems, known.stems, known.of_stem)[rare]
+                after = values_of(listed, known.contexts, known.after)
                 once, counts = np.unique((text * n + before) * n + word, return_counts=True)
                 owner, pair = once // (n * n), once % (n * n)
                 first, second = pair // n, pair % n
@@ -298,9 +286,14 @@ def score_keys(docs: DataFrame, models: ClassModels, columns: list[str]) -> Data
                     rest = rare[second]
                     keys, group = np.unique(second[rest], return_inverse=True)
                     yield asked(listed.take(pa.array(keys)), group, ids[owner[rest]], counts[rest], after=after[first[rest]])
+                if not all_stems:
+                    rest = (rare & (places(stems, known.stems) < 0))[second]
+                    keys, group = np.unique(second[rest], return_inverse=True)
+                    blank = pc.binary_join_element_wise("  ", stems.take(pa.array(keys)), "")
+                    yield asked(blank, group, ids[owner[rest]], counts[rest], after=after[first[rest]])
 
     rows = docs.select("text", text_key(columns)).mapInArrow(run, LOOKED_UP)
-    if not (all_words and all_pairs):
+    if not (all_words and all_pairs and all_stems):
         rows = rows.join(models.values, "key", "left").where("base is not null or value is not null")
     else:
         rows = rows.withColumns({"value": F.lit(0.0), "of_stem": F.lit(0.0)})
@@ -374,7 +367,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: str) -> tuple[ClassMo
     def chosen(folds: tuple[int, ...]) -> DataFrame:
         return texts.join(broadcast_if_small(used.where(F.col("_fold").isin(*folds))), "doc_id").select("doc_id", "text", "toxic")
 
-    models = ClassModels(pin(count_pairs(chosen(COUNTED)).drop("pair"), "word-pairs"))
+    models = ClassModels(pin(count_pairs(chosen(COUNTED)), "word-pairs"))
     return models, fit_scale(score_texts(chosen(SCALED), models, ["doc_id", "toxic"]))
 
 

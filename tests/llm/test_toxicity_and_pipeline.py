@@ -1,10 +1,13 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paracorpus.llm import toxicity as X
+from paracorpus.llm.common import pin
 from paracorpus.llm.queries import FOLD, REGISTRY
 
 
@@ -41,9 +44,8 @@ def test_held_out_accuracy(spark):
 
 def test_pairs_are_counted_once_per_text(spark):
     rows = spark.createDataFrame([("a b a b", 1), ("a b", 1), ("A, b.", 0), (None, 0), ("", 1)], "text string, toxic int")
-    found = {r["pair"]: (r.toxic, r.ordinary) for r in X.count_pairs(rows).collect()}
-    a, b = X.word_cells(["a", "b"])
-    assert found[a >> X.CELL_BITS << 2 * X.CELL_BITS | b] == (2, 1) and len(found) == 3
+    found = {r.key: (r.toxic, r.ordinary) for r in X.count_pairs(rows).collect()}
+    assert found == {" a": (2, 1), "a b": (2, 1), "b a": (1, 0)}
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 1), (2, 1)]])
@@ -59,25 +61,86 @@ def test_rare_pairs_and_words_are_looked_up_exactly(spark):
     docs, labels = corpus(400, seed=3)
     docs = [(i, t + (" calm storm" if dict(labels)[i] else " calm sea")) for i, t in docs] + docs[:3]
     frame = spark.createDataFrame([(i, t, dict(labels).get(i, 0)) for i, t in docs], "doc_id long, text string, toxic int")
-    pairs = X.count_pairs(frame).drop("pair").localCheckpoint()
+    frame = frame.unionByName(spark.createDataFrame([(900, "unseenword viletail calm", 0)], frame.schema))
+    pairs = pin(X.count_pairs(frame.where("doc_id <> 900")), "test-pairs")
     assert pairs.where("key = 'calm sea'").select("ordinary").first()[0] > 0
     found = []
-    for sent in ((10**6, 10**6), (20, 30), (0, 0)):
+    for sent in ((10**6, 10**6, 10**6), (20, 30, 5), (0, 0, 0), (10**6, 10**6, 0)):
         models = X.ClassModels(pairs, *sent)
         found.append(sorted(map(tuple, X.score_texts(frame, models, ["doc_id"]).collect())))
-        assert len(found[-1]) == len(docs) and [i for i, _ in found[-1]] == sorted(i for i, _ in docs)
+        assert [i for i, _ in found[-1]] == sorted([*(i for i, _ in docs), 900])
     for other in found[1:]:
         assert [x for _, x in other] == pytest.approx([x for _, x in found[0]], abs=1e-9)
-
-
-def test_words_with_one_number_are_counted_apart(spark):
-    numbers, a, i = {}, None, 0
-    while a is None:
-        a, i = numbers.setdefault(X.cell(f"w{i}"), f"w{i}"), i + 1
-        a = None if a == f"w{i - 1}" else a
-    b = f"w{i - 1}"
-    found = X.count_pairs(spark.createDataFrame([(a, 1), (b, 0)], "text string, toxic int")).drop("pair").collect()
-    assert sorted(map(tuple, found)) == sorted([(f" {a}", 1, 0), (f" {b}", 0, 1)])
+    plain = plain_models([(t, dict(labels)[i]) for i, t in docs])
+    want = sorted((i, plain(t)) for i, t in [*docs, (900, "unseenword viletail calm")])
+    assert [x for _, x in found[0]] == pytest.approx([x for _, x in want], abs=1e-6)
+
+
+def words_in(text):
+    return [w for w in (c.lower().strip(X.SIGNS) for c in (text or "").split()) if w]
+
+
+def plain_models(rows):
+    """The class models with dictionaries: a function from a text to its mean difference."""
+    counts = Counter()
+    for text, toxic in rows:
+        words = words_in(text)
+        counts.update((pair, toxic) for pair in set(zip(["", *words], words)))
+    pairs = {p: (counts[p, 1], counts[p, 0]) for p, _ in counts}
+    totals, words, stems = {}, {}, {}
+    for (first, word), c in pairs.items():
+        totals[first] = [a + b for a, b in zip(totals.get(first, (0, 0)), c)]
+        words[word] = [a + b for a, b in zip(words.get(word, (0, 0, 0)), (c[0] > 0, c[1] > 0, 1))]
+    for word, c in words.items():
+        stems[word[: X.STEM]] = [a + b for a, b in zip(stems.get(word[: X.STEM], (0, 0, 0)), c)]
+
+    def order(table):
+        """(a count's share, what is left over) for both classes."""
+        columns = [[c[k] for c in table.values() if c[k] > 0] for k in (0, 1)]
+        sums = [sum(c) for c in columns]
+        small, large = sorted((0, 1), key=lambda k: sums[k])
+
+        def left(k, factor):
+            return sum(min(n, factor * math.sqrt(n)) for n in columns[k]) / sums[k]
+
+        factors = {small: X.DISCOUNT}
+        low, high = 0.0, X.DISCOUNT * (math.sqrt(max(columns[large])) + 1)
+        for _ in range(50):
+            middle = (low + high) / 2
+            low, high = (middle, high) if left(large, middle) < left(small, X.DISCOUNT) else (low, middle)
+        factors[large] = high
+        return (lambda k, n: max(n - factors[k] * math.sqrt(n), 0) / sums[k]), left(small, X.DISCOUNT)
+
+    (of_word, word_left), (of_stem, stem_left) = order(words), order(stems)
+    n = sum(c[2] for c in stems.values())
+    stem_p = {s: [of_stem(k, c[k]) + stem_left * (c[2] / n + 1 / X.STEMS) / 2 for k in (0, 1)] for s, c in stems.items()}
+    word_p = {}
+    for word, c in words.items():
+        stem = word[: X.STEM]
+        word_p[word] = [of_word(k, c[k]) + word_left * stem_p[stem][k] * min((c[2] + 1) / (stems[stem][2] + 1), 1) for k in (0, 1)]
+    shares, rests = {}, {}
+    for (first, word), c in pairs.items():
+        least = min(totals[first])
+        if least >= X.LEAST_CONTEXT and max(c) > X.DISCOUNT**2:
+            share = [max(c[k] - X.DISCOUNT * math.sqrt(c[k] * totals[first][k] / least), 0) / totals[first][k] for k in (0, 1)]
+            if max(share) > 0:
+                shares[first, word] = share
+                rests[first] = [r - s for r, s in zip(rests.get(first, (1, 1)), share)]
+
+    def beyond(t, o):
+        ratio = math.log(t / o)
+        return math.copysign(max(abs(ratio) - X.MARGIN, 0), ratio)
+
+    def score(text):
+        found, total = words_in(text), 0.0
+        for first, word in zip(["", *found], found):
+            rest = rests.get(first, (1, 1))
+            p = word_p.get(word) or stem_p.get(word[: X.STEM]) or (1, 1)
+            share = shares.get((first, word), (0, 0))
+            total += beyond(*(s + r * x for s, r, x in zip(share, rest, p)))
+        return total / len(found) if found else 0.0
+
+    return score
 
 
 def test_the_scale_is_a_logistic_fit(spark):
