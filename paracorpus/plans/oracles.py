@@ -241,6 +241,10 @@ SQL: dict[str, str] = {
       select stem, path, length(text)::int as chars from audio join texts using (stem)""",
     "pair_first_audio": f"""with {AUDIO}, {TEXTS}
       select stem, min(path) as path from texts join audio using (stem) group by stem""",
+    "corpus_tree_pairs": f"""with {NAMED}, hidden as (
+        select concat(case doc_id % 5 when 0 then '_' when 1 then '.' else '' end, stem) as stem, {strip('text')} as text
+        from named where lang <> 'es')
+      select stem, text, concat(stem, '.wav') as audio from hidden where text <> ''""",
     "pair_coverage": f"""with {AUDIO}, {TEXTS}
       select count(t.stem) as matched, count(*) as total, count(t.stem) * 100 / count(*)::double as share
       from audio a left join (select distinct stem from texts) t using (stem)""",

@@ -29,6 +29,7 @@ from paracorpus.operators import pairing as P
 from paracorpus.operators import vocabulary as vocab
 from paracorpus.plans import views as V
 from paracorpus.sources.audio import conform_audio
+from paracorpus.sources.corpus_tree import read_corpus_tree
 from paracorpus.sources.examples import load_examples, recordings_to_examples
 from paracorpus.sources.recordings import select_recordings
 
@@ -104,6 +105,14 @@ def pair_first_audio(spark, d):
     return P.pair_first_audio(V.text_files(spark, d).select("stem"), V.audio_files(spark, d))
 
 
+@query
+def corpus_tree_pairs(spark, d):
+    """The texts of a folder tree with content, each with its first audio file, whatever their names."""
+    texts, audio = read_corpus_tree(spark, V.document_tree(spark, d), "train")
+    pairs = P.pair_first_audio(P.non_empty(texts, "text"), audio)
+    return pairs.select("stem", "text", F.regexp_extract("path", "([^/]+)$", 1).alias("audio"))
+
+
 @query
 def pair_coverage(spark, d):
     return P.coverage(V.audio_files(spark, d), V.text_files(spark, d))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paracorpus.functions import text as T
 from paracorpus.operators.pairing import to_examples
+from paracorpus.session import checkpoint_dir
+from paracorpus.sources.folders import write_files
 from paracorpus.sources.participants import one_per_participant
 
 # What the simulated recogniser mishears (substitution, loss, insertion).
@@ -78,6 +82,23 @@ def named_documents(spark, folder) -> DataFrame:
     return table(spark, folder, "documents").withColumn("stem", name)
 
 
+def hidden(stem) -> Column:
+    """Two of five names begin as names that file listings often leave out."""
+    first = F.when(F.col("doc_id") % 5 == 0, "_").when(F.col("doc_id") % 5 == 1, ".").otherwise("")
+    return F.concat(first, stem)
+
+
+def document_tree(spark, folder) -> str:
+    """Every document as a text file of a corpus tree in the shared folder, all but the Spanish ones with an
+    audio file of no content. Written anew for each query."""
+    root = f"{checkpoint_dir(spark)}/tree-{uuid.uuid4().hex}"
+    docs = named_documents(spark, folder).withColumn("stem", hidden(F.col("stem"))).select("stem", "text", "lang")
+    texts = docs.select(F.concat(F.lit(f"{root}/train/TXT/"), "stem", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    audio = docs.where("lang <> 'es'").select(F.concat(F.lit(f"{root}/train/AUDIO/"), "stem", F.lit(".wav")).alias("path"), F.lit("").alias("content"))
+    write_files(texts.unionByName(audio))
+    return root
+
+
 def participants(spark, folder) -> DataFrame:
     """Speaker rows written down at each toxic document; the last one counts."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars")

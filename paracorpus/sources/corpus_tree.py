@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from paracorpus.operators.pairing import (
     to_examples,
     with_participants,
 )
+from paracorpus.sources.folders import list_folders, opened_by_tasks, read_files
 from paracorpus.sources.participants import read_participants
 
 # Names inside a corpus tree.
@@ -24,35 +23,30 @@ PARTICIPANT_FILE = "Participant_meta_data.csv"
 def list_files(spark: SparkSession, folder: str, extension: str | None = None) -> DataFrame:
     """Columns (stem, path) of the files of a folder, of whatever name and size; sub-folders are not entered.
 
-    The file system is asked for the names, as Spark's readers do to plan a scan: they would leave
-    out names that start with _ or . and files without content.
+    A task lists the folder. On a file system that only Spark opens, Spark's own listing is used, which leaves
+    out names that start with _ or . and has no other way in.
     """
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(folder)
-    entries = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(place)
-    ending, rows = f".{extension.lstrip('.')}" if extension else "", []
-    while entries.hasNext():
-        entry = entries.next()
-        path = entry.getPath().toString()
-        if entry.isFile() and path.endswith(ending):
-            rows.append((re.sub("^file:/+", "/", path),))
-    paths = spark.createDataFrame(rows, "path string")
-    return paths.select(T.stem("path").alias("stem"), "path")
+    return _listed(spark, folder, extension).select(T.stem("path").alias("stem"), "path")
 
 
-def read_texts(spark: SparkSession, folder: str, extension: str | None = None) -> DataFrame:
-    """Columns (stem, text): whole UTF-8 files, stripped; files without content have an empty text.
+def _listed(spark: SparkSession, folder: str, extension: str | None) -> DataFrame:
+    if opened_by_tasks(folder):
+        files = list_folders(spark, [folder])
+    else:
+        files = spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("size"))
+    return files.where(F.col("path").endswith(f".{extension.lstrip('.')}")) if extension else files
 
-    Files whose names start with _ or . are not read by Spark's text source; `list_files` has them.
-    """
-    options = {"pathGlobFilter": f"*.{extension.lstrip('.')}"} if extension else {}
-    files = spark.read.text(folder, wholetext=True, **options)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    full = files.select(T.stem(path).alias("stem"), T.strip("value").alias("text"), F.lit(True).alias("_full"))
-    # A file of 0 bytes is no row of the scan.
-    names = list_files(spark, folder, extension).select("stem").where(~F.substring("stem", 1, 1).isin("_", "."))
-    empty = names.join(full.select("stem").distinct(), "stem", "left_anti").select("stem", F.lit("").alias("text"))
-    return full.drop("_full").unionByName(empty)
+
+def read_texts(spark: SparkSession, folder: str, extension: str | None = None) -> DataFrame:
+    """Columns (stem, text): whole UTF-8 files of whatever name, stripped; files without content have an
+    empty text. Files are listed by one task and read by many."""
+    files = _listed(spark, folder, extension)
+    if opened_by_tasks(folder):
+        found = read_files(files)
+    else:
+        found = spark.read.format("binaryFile").load(folder).select("path", "content").join(files.select("path"), "path", "left_semi")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return found.select(T.stem("path").alias("stem"), T.strip(text).alias("text"))
 
 
 def read_corpus_tree(spark: SparkSession, root: str, split: str) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paracorpus.operators import pairing as P
 from paracorpus.sources import audio as A
-from paracorpus.sources import catalog, corpus_tree, examples, participants, recordings, units
+from paracorpus.sources import catalog, corpus_tree, examples, folders, participants, recordings, units
 
 
 @pytest.fixture(scope="module")
@@ -151,6 +151,28 @@ def test_no_file_is_lost_by_its_name_or_size(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1] for r in found} == {"a.wav", "_b.wav", ".c.wav", "empty.wav", "d e+f%.wav"}
     texts = {r.stem: r.text for r in corpus_tree.read_texts(spark, str(tmp_path)).collect()}
     assert texts["a"] == "x" and texts["empty"] == ""
+    assert texts["_b"] == texts[".c"] == "x" and len(texts) == 6
+
+
+def test_folders_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folders, "NAMES", 7)
+    monkeypatch.setattr(folders, "TASK_FILES", 10)
+    monkeypatch.setattr(folders, "CONTENT", 20)
+    rows = [(f"{tmp_path}/{i % 3}/{'_' * (i % 2)}{i}.txt", bytes([i]) * (i % 11)) for i in range(100)]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    assert folders.write_files(files) == folders.write_files(files) == 100
+    listed = folders.list_folders(spark, [f"file://{tmp_path}/{i}" for i in range(3)])
+    assert {(r.path, r.size) for r in listed.collect()} == {(p, len(c)) for p, c in rows}
+    read = folders.read_files(listed)
+    assert read.rdd.getNumPartitions() == 10
+    assert sorted((r.path, bytes(r.content)) for r in read.collect()) == sorted(rows)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.txt").write_bytes(b" a\xff \n")
+    assert corpus_tree.read_texts(spark, f"{tmp_path}/bad").first().text == "a\ufffd"
+    (tmp_path / "none").mkdir()
+    assert corpus_tree.read_texts(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="No such file"):
+        corpus_tree.list_files(spark, f"{tmp_path}/absent").count()
 
 
 def test_missing_items_and_coverage(spark):
