@@ -23,6 +23,7 @@ from paracorpus.operators.pair_statistics import (
     pair_statistics,
     prepared,
 )
+from paracorpus.session import pin
 
 CHRF_BETA = 2
 
@@ -221,7 +222,11 @@ def run_counts(predictions: DataFrame) -> DataFrame:
 
 def evaluate_predictions(predictions: DataFrame, mode: str = "normalized") -> DataFrame:
     """`evaluate` of the rows that went well, with the counts of processed, failed and skipped rows
-    beside the metrics, in one row. `predictions`: id, reference, hypothesis, error."""
+    beside the metrics, in one row. `predictions`: id, reference, hypothesis, error.
+
+    They are written once first: a model behind them sees each row once, and counts and metrics are
+    of the same predictions."""
+    predictions = pin(predictions.select("id", "reference", "hypothesis", "error"), "predictions")
     counts = run_counts(predictions).withColumn("_one", F.lit(1))
     metrics = evaluate(split_failed(predictions)[0], mode).withColumn("_one", F.lit(1))
     return metrics.join(F.broadcast(counts), "_one").drop("_one")  # one row each

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -217,6 +218,69 @@ def test_batch_predict(spark):
     assert {r.id for r in kept} == {9007199254740993, None} and [r.hypothesis for r in kept] == ["a!", "c!"]
 
 
+def noting(notes, killers=()):
+    """A model that writes down each value it sees, and dies of some."""
+
+    def make():
+        def predict(value):
+            with open(notes, "a") as file:
+                file.write(f"{value}\n")
+            if value in killers:
+                os._exit(9)
+            if value.startswith("bad"):
+                raise KeyError("no model for this")
+            return f" {value}! "
+
+        return predict
+
+    return make
+
+
+def test_metrics_and_counts_see_each_row_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}" if i % 5 else "bad", "text" if i % 7 else "") for i in range(20)], "id long, audio string, reference string")
+    predicted = prediction.predictions(prediction.batch_predict(df, noting(f"{tmp_path}/seen")))
+    row = E.evaluate_predictions(predicted).first()
+    assert (row.processed, row.failed, row.skipped, row.total_samples) == (14, 3, 3, 14)
+    assert len((tmp_path / "seen").read_text().split("\n")) - 1 == 20
+
+
+def test_slices_outlive_rows_that_kill_the_worker(spark, tmp_path):
+    values = [f"v{i}" for i in range(40)] + ["bad", "v3", "kill a", "kill b", "kill a"]
+    df = spark.createDataFrame([(i, v, "" if v == "v7" else "r") for i, v in enumerate(values)], "id long, audio string, reference string")
+    make = noting(f"{tmp_path}/seen", ("kill a", "kill b"))
+    found = prediction.predict_in_slices(df, make, f"{tmp_path}/run", reference="reference", slices=3)
+    rows = {r.id: r for r in found.collect()}
+    assert found.count() == len(rows) == len(values) - 1 and found.columns == ["id", "audio", "reference", "hypothesis", "error"]
+    for i, v in enumerate(values):
+        if v.startswith("v") and v != "v7":
+            assert rows[i].hypothesis == f"{v}!" and rows[i].error is None
+        elif v != "v7":
+            assert rows[i].hypothesis is None and rows[i].error
+    seen = (tmp_path / "seen").read_text()
+    again = prediction.predict_in_slices(df, make, f"{tmp_path}/run", reference="reference", slices=3)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
+    assert (tmp_path / "seen").read_text() == seen, "what is written is not done again"
+
+
+def test_slices_are_done_once_and_go_on_where_they_stopped(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(30)], "id long, audio string")
+    make = noting(f"{tmp_path}/seen")
+    found = prediction.predict_in_slices(df, make, f"{tmp_path}/run", slices=4)
+    assert found.count() == 30 and len((tmp_path / "seen").read_text().split()) == 30
+    half = sorted((tmp_path / "run" / "slices").glob("*-*"))[1]
+    lost = spark.read.parquet(str(half)).count()
+    (half / "_SUCCESS").unlink()
+    assert prediction.predict_in_slices(df, make, f"{tmp_path}/run", slices=4).count() == 30
+    assert len((tmp_path / "seen").read_text().split()) == 30 + lost
+    assert prediction.predict_in_slices(df.limit(0), make, f"{tmp_path}/none", slices=1).count() == 0
+
+    def broken():
+        raise OSError("no such model")
+
+    with pytest.raises(Exception, match="no such model"):
+        prediction.predict_in_slices(df, broken, f"{tmp_path}/broken")
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame(
         [("1", 'The "cat", sat\non', " the cat"), ("2", "é ünï", "e")], "id string, reference string, hypothesis string"
