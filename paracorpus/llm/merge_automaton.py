@@ -5,14 +5,14 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from paracorpus.llm.chunks import REMEMBERED, ChunkMemory, coded_chunks
 
@@ -113,9 +113,49 @@ class MergeAutomaton:
         return " ".join(self.labels[i] for i in ids if i in self.labels)
 
 
-def plain(text: str) -> str:
-    """Composed characters in lower case, one at a time: a final sigma is not to depend on its place."""
-    return text.lower() if text.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+@functools.lru_cache(maxsize=2)
+def plain(path: str) -> Callable[[str], str]:
+    """Composed characters in lower case, by the tables of the file's own normaliser: they may be of
+    another version than those here."""
+    normalizer = Tokenizer.from_file(path).normalizer
+    return lambda text: text.lower() if text.isascii() else normalizer.normalize_str(text)
+
+
+# Blocks of ideographs and syllables that are letters in every version of the tables.
+ALWAYS_LETTERS = [(0x3400, 0x4DB5), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x20000, 0x2A6D6)]
+
+
+def _ranges(points: list[int]) -> str:
+    """A regular expression's class of these ascending code points, without its brackets."""
+    out, start = [], None
+    for i, c in enumerate(points):
+        start = c if start is None else start
+        if i + 1 == len(points) or points[i + 1] != c + 1:
+            out.append(regex.escape(chr(start)) + (f"-{regex.escape(chr(c))}" if c > start else ""))
+            start = None
+    return "".join(out)
+
+
+@functools.lru_cache(maxsize=2)
+def library_classes(path: str) -> tuple[str, str]:
+    """Letters and numbers as the library's tables have them, which may be of another version than those here:
+    its splitter is asked about each code point that any table calls a letter or a number."""
+    splitter = Tokenizer.from_file(path).pre_tokenizer
+    letters = [c for lo, hi in ALWAYS_LETTERS for c in range(lo, hi + 1)]
+    sure, either = set(letters), regex.compile(r"[\p{L}\p{N}]")
+    asked = [c for c in range(0x110000) if c not in sure and not 0xD800 <= c < 0xE000 and either.match(chr(c))]
+    # A letter goes on with the one before it, a number stands alone, other signs go on with the one behind.
+    begins = {start: stop for _, (start, stop) in splitter.pre_tokenize_str("".join(f"a{chr(c)}! " for c in asked))}
+    letters += [c for i, c in enumerate(asked) if 4 * i + 1 not in begins]
+    numbers = [c for i, c in enumerate(asked) if begins.get(4 * i + 1) == 4 * i + 2]
+    return _ranges(sorted(letters)), _ranges(numbers)
+
+
+@functools.lru_cache(maxsize=2)
+def only_letters(path: str) -> Callable[[str], bool]:
+    """Whether a string, as it is after `plain`, is letters alone for the library."""
+    word = regex.compile(f"[{library_classes(path)[0]}]+").fullmatch
+    return lambda text: bool(word(text))
 
 
 class WordTokenizer:
@@ -132,15 +172,17 @@ class WordTokenizer:
         names = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self.apart = regex.compile(f"({names})") if names else None
         words = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.words = regex.compile(words.replace(r"\s", BLANK))
+        letters, numbers = library_classes(path)
+        self.words = regex.compile(words.replace(r"\s", BLANK).replace(r"\p{L}", letters).replace(r"\p{N}", numbers))
+        self.is_word, self.plain = only_letters(path), plain(path)
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.known: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
 
     def encode_chunk(self, chunk: str) -> list[int]:
         core, sign = (chunk[:-1], chunk[-1]) if chunk and chunk[-1] in ".,;:!?" else (chunk, "")
-        word = plain(core)
-        if word.isalpha():  # letters alone are one word, and so is the sign after them
+        word = self.plain(core)
+        if word and self.is_word(word):  # letters alone are one word, and so is the sign after them
             return self._word(word) + self._word(sign) if sign else self._word(word)
         if self.apart is None:
             return self._ordinary(chunk)
@@ -153,7 +195,7 @@ class WordTokenizer:
         return ids
 
     def _ordinary(self, text: str) -> list[int]:
-        return [i for word in self.words.findall(plain(text)) for i in self._word(word)]
+        return [i for word in self.words.findall(self.plain(text)) for i in self._word(word)]
 
     def _word(self, word: str) -> list[int]:
         found = self.known.get(word)

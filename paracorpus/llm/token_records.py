@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paracorpus.llm.chunks import ChunkMemory, coded_chunks
-from paracorpus.llm.merge_automaton import groups_by_length
+from paracorpus.llm.merge_automaton import groups_by_length, only_letters, plain
 
 #: Characters of text per file: the ids of a file are read into memory at once.
 SHARD_CHARS = 12_000_000
 #: Fixed value: what is added to a rotated checksum, so that checksums of checksums stay sound.
 MASK = 0xA282EAD8
 END = b"\n"
+#: Signs that stand alone behind letters.
+SIGNS = ".,;:!?"
 #: Bytes before a payload: its length and the checksum of the length.
 HEAD = 12
 
@@ -78,6 +80,7 @@ class ChunkEncoder:
         #: A special token between words ends them and shows where they end, so one call takes many.
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
         self.cores = ChunkMemory(self.library)
+        self.is_word, self.plain = only_letters(path), plain(path)
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -95,13 +98,19 @@ class ChunkEncoder:
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
         """Letters with one full stop, comma or the like are encoded as the letters and the sign,
-        which the tokenizer splits too; all other chunks as they are."""
+        which the tokenizer splits too; all other chunks as they are. What counts are the characters after
+        normalisation, which may end a letter with a mark that goes with the sign."""
         parts = []
         for c in chunks:
-            core, sign = (c[:-1], c[-1]) if c[-1:] in ".,;:!?" and c[:-1].isalpha() else (c, "")
-            parts.append((core.lower() if core.isascii() and core.isalpha() else core, sign))
+            core, sign = (c[:-1], c[-1]) if c[-1:] in SIGNS else (c, "")
+            if core.isascii() and core.isalpha():
+                parts.append((core.lower(), sign))
+            elif sign and self.is_word(self.plain(core)):
+                parts.append((core, sign))
+            else:
+                parts.append((c, ""))
         cores = self.cores.of([core for core, _ in parts])
-        signs = dict(zip(".,;:!?", self.cores.of(list(".,;:!?")))) | {"": b""}
+        signs = dict(zip(SIGNS, self.cores.of(list(SIGNS)))) | {"": b""}
         return [a + signs[sign] for a, (_, sign) in zip(cores, parts)]
 
 
