@@ -27,6 +27,8 @@ PARTS = 64
 ABSORBED = 50
 # Fixed values of the contract: signs that end a piece, and blanks between words.
 SIGNS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -35,7 +37,8 @@ class Words:
     the piece and the text; `text`: the text it stands in; `hashes`: of the names."""
 
     def __init__(self, texts: pa.Array) -> None:
-        data, offsets = text_bytes(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+        data, offsets = text_bytes(texts.cast(pa.large_string()).fill_null(""))
+        data = _LOWER[data]
         kinds = np.zeros(256, np.uint8)
         kinds[list(BLANKS)], kinds[list(SIGNS)] = 1, 2
         kind = kinds[data]
