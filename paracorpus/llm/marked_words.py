@@ -20,6 +20,8 @@ from paracorpus.llm.merge_automaton import groups_by_length
 
 # Fixed value: the character that stands for a space in pieces.
 MARK = "▁"
+#: Bytes of text whose distinct words are looked up at once; one longer text is a group of its own.
+GROUP_BYTES = 6_000_000
 #: Rows of the table that are sent to the tasks, and UTF-8 bytes of a word in it. Words beyond are
 #: segmented where they stand.
 MOST_WORDS, WORD_BYTES = 300_000, 48
@@ -104,7 +106,7 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text", most_words: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in groups_by_length(batch.column(0)):
+            for start, stop in groups_by_length(batch.column(0), GROUP_BYTES):
                 codes, _, words = marked_words(batch.column(0).slice(start, stop - start))
                 n = pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))
                 short = pc.less_equal(pc.binary_length(words), WORD_BYTES)
@@ -167,7 +169,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(sent, path)
         for batch in batches:
-            for start, stop in groups_by_length(batch.column(1)):
+            for start, stop in groups_by_length(batch.column(1), GROUP_BYTES):
                 codes, offsets, words = marked_words(batch.column(1).slice(start, stop - start))
                 ids, decoded = table.look_up(words)
                 flat = ids.take(pa.array(codes))
@@ -209,7 +211,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(sent, path)
         for batch in batches:
-            for start, stop in groups_by_length(batch.column(1)):
+            for start, stop in groups_by_length(batch.column(1), GROUP_BYTES):
                 codes, offsets, words = marked_words(batch.column(1).slice(start, stop - start))
                 ids, decoded = table.look_up(words)
                 sizes = np.append(0, np.cumsum(np.asarray(ids.value_lengths(), np.int64)[codes]))[offsets]

@@ -20,6 +20,8 @@ from paracorpus.llm.common import pin
 from paracorpus.llm.marked_words import MARK, coded_pieces, piece_tokenizer, strings_of, text_bytes, with_space
 from paracorpus.llm.merge_automaton import byte_symbols, groups_by_length
 
+#: Bytes of text whose distinct stretches are aligned at once; one longer text is a group of its own.
+GROUP_BYTES = 6_000_000
 #: Tokens of either side that are held as Python numbers at a time.
 WINDOW = 1 << 17
 #: Distinct stretches whose ids a worker remembers, and how many are encoded by one call.
@@ -277,6 +279,14 @@ class AlignedTexts:
         lengths = np.array(list(map(len, ids)), np.int64) // 4
         return np.frombuffer(b"".join(ids), np.uint32).astype(np.int64), np.append(0, np.cumsum(lengths))
 
+
+class StretchedTexts:
+    """Texts of a group as it is written: `offsets` and `codes` say which stretches a text has, `links`
+    where a stretch's links begin, `numbers` which pairs these are."""
+
+    def __init__(self, codes: np.ndarray, offsets: np.ndarray, links: np.ndarray, numbers: np.ndarray) -> None:
+        self.codes, self.offsets, self.links, self.numbers = codes, offsets, links, numbers
+
     def by_text(self, ends: np.ndarray) -> np.ndarray:
         """For each text the sum of what stretches have, given as running sums."""
         return np.diff(np.append(0, np.cumsum(np.diff(ends)[self.codes]))[self.offsets])
@@ -288,8 +298,46 @@ class AlignedTexts:
         text = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
         return np.repeat(text, each[self.codes]), pairs
 
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs, how many links of the texts hold each)."""
+        times = np.repeat(np.bincount(self.codes, minlength=len(self.links) - 1), np.diff(self.links))
+        pairs, place = np.unique(self.numbers, return_inverse=True)
+        return pairs, np.bincount(place, times, len(pairs)).astype(np.int64)
+
+
+GROUP_COLUMNS = {
+    "id": "array<long>", "n_a": "array<long>", "n_b": "array<long>", "n_groups": "array<long>", "n_links": "array<long>",
+    "groups_sha256": "array<string>", "codes": "array<int>", "offsets": "array<long>", "links": "array<long>", "numbers": "array<long>",
+}
+
 
-def count_pairs(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
+def aligned_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each group of texts (`GROUP_COLUMNS`): what is known of each text before pairs are counted, and its
+    links by stretch. About half as large as the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = token_pair(a_path, b_path)
+        names = GroupNames(pair)
+        for batch in batches:
+            for start, stop in groups_by_length(batch.column(1), GROUP_BYTES):
+                found = AlignedTexts(batch.column(1).slice(start, stop - start), pair)
+                texts = StretchedTexts(found.codes, found.offsets, found.links, found.numbers)
+                written = strings_of(names(found.a, found.b, found.found, found.groups), found.codes, found.offsets, "")
+                digests = [hashlib.sha256(t.as_buffer()[:-1]).hexdigest() if len(t.as_buffer()) else "" for t in written]
+                sums = [texts.by_text(x) for x in (found.at_a, found.at_b, found.groups, found.links)]
+                held = [batch.column(0).slice(start, stop - start), *map(pa.array, sums), pa.array(digests, pa.string())]
+                held += [pa.array(found.codes.astype(np.int32)), *map(pa.array, (found.offsets, found.links, found.numbers))]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in held], list(GROUP_COLUMNS))
+
+    chosen = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return chosen.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in GROUP_COLUMNS.items()))
+
+
+def _stretched(batch: pa.RecordBatch, row: int) -> StretchedTexts:
+    return StretchedTexts(*(np.asarray(batch[c][row].values, np.int64) for c in ("codes", "offsets", "links", "numbers")))
+
+
+def count_pairs(groups: DataFrame) -> DataFrame:
     """pair, b, n: how many links of all texts hold each pair of ids.
 
     Links are counted in the tasks, then by an aggregate that combines before it shuffles: the table
@@ -297,17 +345,11 @@ def count_pairs(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = token_pair(a_path, b_path)
         for batch in batches:
-            for start, stop in groups_by_length(batch.column(0)):
-                texts = AlignedTexts(batch.column(0).slice(start, stop - start), pair)
-                times = np.bincount(texts.codes, minlength=len(texts.links) - 1)
-                pairs, place = np.unique(texts.numbers, return_inverse=True)
-                n = np.zeros(len(pairs), np.int64)
-                np.add.at(n, place, np.repeat(times, np.diff(texts.links)))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
-
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pair long, n long")
+            for row in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _stretched(batch, row).counts())], ["pair", "n"])
+
+    counted = groups.select("codes", "offsets", "links", "numbers").mapInArrow(run, "pair long, n long")
     return counted.groupBy("pair").agg(F.sum("n").alias("n")).select("pair", (F.col("pair") % SHIFT).alias("b"), "n")
 
 
@@ -339,29 +381,26 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     the space itself. A text that is null, empty or has other bytes on a side has no tokens:
     zeros and ''. Repeated rows count as often as they occur, ids may be null or repeated.
 
-    The texts are read twice: for the counts of all pairs, and to sum them up. The `most_pairs` most frequent
+    The texts are read once. What they come to is written by groups of texts, counted from there, and summed
+    up with the counts. The `most_pairs` most frequent
     pairs (17 bytes each) are looked up in the tasks; a text's other pairs are written with their
     numbers of links, joined with the table of all pairs and summed by row, so no pair is left out.
     Each B id's highest count has one row per vocabulary entry.
     """
-    counted = pin(count_pairs(docs, a_path, b_path, text_col), "pair-counts")
+    groups = pin(aligned_groups(docs, a_path, b_path, id_col, text_col), "aligned-groups")
+    counted = pin(count_pairs(groups), "pair-counts")
     highest = F.broadcast(counted.groupBy("b").agg(F.max("n").alias("most")))
     valued = counted.join(highest, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("is_best"))
     frequent = is_frequent(counted, most_pairs)
     sent = _send(valued.where(frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, known = token_pair(a_path, b_path), sent.value
-        names = GroupNames(pair)
+        known = sent.value
         for batch in batches:
-            for start, stop in groups_by_length(batch.column(1)):
-                n = stop - start
-                texts = AlignedTexts(batch.column(1).slice(start, n), pair)
+            for row in range(batch.num_rows):
+                texts, n = _stretched(batch, row), len(batch["id"][row])
                 here, counts, best = known.find(texts.numbers)
-                sums, bests = (np.append(0, np.cumsum(x))[texts.links] for x in (counts, best.astype(np.int64)))
-                numbers = [pa.array(texts.by_text(x)) for x in (texts.at_a, texts.at_b, texts.groups, texts.links, bests, sums)]
-                written = strings_of(names(texts.a, texts.b, texts.found, texts.groups), texts.codes, texts.offsets, "")
-                digests = [hashlib.sha256(t.as_buffer()[:-1]).hexdigest() if len(t.as_buffer()) else "" for t in written]
+                sums = [texts.by_text(np.append(0, np.cumsum(x))[texts.links]) for x in (best.astype(np.int64), counts)]
                 owner, rare = texts.of_links(~here)
                 order = np.lexsort((rare, owner))
                 rare, owner = rare[order], owner[order]
@@ -370,13 +409,13 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
                 firsts = np.flatnonzero(new)
                 ends = pa.array(np.searchsorted(owner[firsts], np.arange(n + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (rare[firsts], np.diff(np.append(firsts, len(rare))))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), *numbers, pa.array(digests, pa.string()), *lists], columns)
+                narrow = [batch[c][row].values for c in ("id", "n_a", "n_b", "n_groups", "n_links")]
+                yield pa.RecordBatch.from_arrays([*narrow, *map(pa.array, sums), batch["groups_sha256"][row].values, *lists], columns)
 
     columns = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "pairs", "times"]
     schema = ", ".join(f"{c} long" for c in columns[:7]) + ", groups_sha256 string, pairs array<long>, times array<long>"
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string"))
     # Rows are numbered once they are written, as ids may repeat.
-    rows = pin(chosen.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "aligned")
+    rows = pin(groups.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "aligned")
     asked = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     more = asked.join(valued.where(~frequent), "pair").groupBy("row").agg(
         F.sum(F.col("times") * F.col("n")).alias("more_sum"), F.sum(F.when(F.col("is_best"), F.col("times")).otherwise(0)).alias("more_best")

@@ -58,7 +58,8 @@ def test_key_filter(spark):
 
 
 @pytest.mark.parametrize("most_words", [0, 40, 300_000])
-def test_marked_words(spark, rows, pieces, most_words):
+def test_marked_words(spark, rows, pieces, most_words, monkeypatch):
+    monkeypatch.setattr(marked_words, "GROUP_BYTES", 3000)
     want, digests = Counter(), Counter()
     for i, text in rows:
         ids = pieces.encode(text or "")
@@ -119,7 +120,8 @@ def test_diagonal_alignment():
 
 
 @pytest.mark.parametrize("most_pairs", [0, 30, 1_000_000])
-def test_token_alignment(spark, rows, pieces, most_pairs):
+def test_token_alignment(spark, rows, pieces, most_pairs, monkeypatch):
+    monkeypatch.setattr(token_alignment, "GROUP_BYTES", 3000)
     library = Tokenizer.from_file(BYTES)
     library.encode_special_tokens = True
     pair = token_alignment.token_pair(BYTES, PIECES)
@@ -162,8 +164,22 @@ def phrases(seed):
     return out + [(None, None, "x"), (500, "ab ab ab ab ab ab ab ab ab ab ab ab", "z"), (501, "once only here", "w"), (502, "one two three. " * 12, "three"), (503, "one two. " * 5, "three")]
 
 
+def test_words_of_a_part_of_a_column():
+    """Groups of texts are parts of a column; nulls and empty texts stand in all of them."""
+    column = pa.array(["Ab c", None, "", "é. x", "LAST one", None])
+    for lo in range(6):
+        for n in range(7 - lo):
+            found = phrase_mining.Words(column.slice(lo, n))
+            want = [(i, w) for i, t in enumerate(column.slice(lo, n).to_pylist()) for w in (t or "").lower().replace(".", " ").split()]
+            assert list(zip(found.text.tolist(), found.names.take(pa.array(found.code)).to_pylist())) == want
+            codes, offsets, words = marked_words.marked_words(column.slice(lo, n))
+            texts = ["".join(words.take(pa.array(codes[a:b])).to_pylist())[1:] for a, b in zip(offsets, offsets[1:])]
+            assert texts == [t or "" for t in column.slice(lo, n).to_pylist()]
+
+
 @pytest.mark.parametrize("shards", [1, 4])
-def test_collocations(spark, shards):
+def test_collocations(spark, shards, monkeypatch):
+    monkeypatch.setattr(phrase_mining, "GROUP_BYTES", 500)
     rows = phrases(shards)
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang"]))
