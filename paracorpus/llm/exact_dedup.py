@@ -92,8 +92,10 @@ def exact_dedup(
     )
 
 
-def keep_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that `exact_dedup` marks as kept. Only the ids of dropped rows are joined, so
-    rows without an id all stay."""
-    dropped = found.where("not kept").select(F.col(id_col).alias("_dropped"))
-    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+def keep_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that `exact_dedup` marks as kept. Rows are known by id and text, as ids may repeat
+    with other texts; rows that are alike in both stay or go together. Only ids and digests of dropped
+    rows are joined, and rows without an id all stay."""
+    dropped = found.where("not kept").select(F.col(id_col).alias("_dropped"), F.col("text_sha256").alias("_sha"))
+    same = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == dropped["_sha"]
+    return docs.join(dropped, (docs[id_col] == dropped["_dropped"]) & same, "left_anti")

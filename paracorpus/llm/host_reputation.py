@@ -102,7 +102,8 @@ def judge_urls(
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, labelled_pages, good_pages.
 
-    `outcomes` (id, good 0/1) has the labelled pages, one row each; a null outcome is no label. A page
+    `outcomes` (id, good 0/1) has the labelled pages; a null outcome is no label, and of several rows of a page
+    the worst counts. A page
     that no rule fits is allowed if the lower posterior bound of its host's good share is at least
     `least_good`. Counts are combined in every task before they are shuffled, so a host that holds
     most pages sends one row per task; the join back has one row per host, and Spark splits its
@@ -110,7 +111,7 @@ def judge_urls(
     Repeated ids are counted and returned as often as they occur. Other columns are ignored.
     """
     urls = pages.select(F.col(id_col).alias("_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    labelled = outcomes.select(F.col(id_col).alias("_id"), F.col("good").cast("long").alias("good"))
+    labelled = outcomes.where("good is not null").groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col("good").cast("long")).alias("good"))
     hosts = pin(
         urls.join(labelled, "_id", "left")
         .groupBy("host")

@@ -308,3 +308,23 @@ def jaccard_components(
     return rooted.withColumn("root", F.when(F.col("n") > 0, F.col("root"))).join(grouped, "root", "left").select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def keep_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS
+) -> DataFrame:
+    """The rows of `docs` that stay if of each linked group the one with the smallest id does.
+
+    Rows are known by a hash of id and text, as ids may repeat with other texts: of such rows each is in
+    the group of its own text. Of equal smallest ids one row stays, and rows alike in id and text stay or
+    go together. A null id loses against any other. Rows without words all stay.
+    """
+    row = F.xxhash64(F.col(id_col), F.coalesce(text_col, F.lit("")))
+    rows = docs.select(row.alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    groups = pin(jaccard_components(rows, "_row", "_text", percent, words).select("_row", F.col("component_id").alias("_group")).distinct(), "groups")
+    order = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")
+    named = rows.select("_row", "_id").join(groups, "_row")
+    stay = named.groupBy("_group").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_size"))
+    stay = stay.where("_size > 1").select("_group", F.col("_first._row").alias("_stays"))
+    dropped = groups.join(stay, "_group").where("_row <> _stays").select(F.col("_row").alias("_dropped"))
+    return docs.join(dropped, F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))) == dropped["_dropped"], "left_anti")

@@ -136,9 +136,9 @@ def measured_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str)
     )
 
 
-def copies_of(value: Column, most: float) -> Column:
+def copies_of(value: Column, most: float, rounds: str = "rounds", bound: str = "bound") -> Column:
     """How often a document is taken, from its hash and its source's rounds and bound."""
-    return F.least(F.col("rounds") + (value < F.col("bound")).cast("int"), F.lit(int(most)))
+    return F.least(F.col(rounds) + (value < F.col(bound)).cast("int"), F.lit(int(most)))
 
 
 def mix_sources(
@@ -190,7 +190,16 @@ def take_mix(
     """The rows of `docs`, each as often as `mix_sources` takes it. The texts stay where they are
     read: a row is judged by its own hash and its source's row of bounds."""
     bounds = source_bounds(measured_sizes(docs, id_col, text_col, source_col), weights, share, most)
-    bounds = bounds.select(F.col("source").alias("_source"), "rounds", "bound")
-    rows = docs.join(bounds, docs[source_col].eqNullSafe(F.col("_source")))
-    copies = F.array_repeat(F.lit(0), copies_of(stable_hash(docs[id_col]), most))
-    return rows.withColumn("_copy", F.explode(copies)).select(*(docs[c] for c in docs.columns))
+    source, rounds, bound, copy = (_unused(docs, x) for x in ("_source", "_rounds", "_bound", "_copy"))
+    bounds = bounds.select(F.col("source").alias(source), F.col("rounds").alias(rounds), F.col("bound").alias(bound))
+    rows = docs.join(bounds, docs[source_col].eqNullSafe(F.col(source)))
+    copies = F.array_repeat(F.lit(0), copies_of(stable_hash(docs[id_col]), most, rounds, bound))
+    return rows.withColumn(copy, F.explode(copies)).select(*(docs[c] for c in docs.columns))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, with as much behind it as makes it no column of `docs`."""
+    names = {c.lower() for c in docs.columns}
+    while name in names:
+        name += "_"
+    return name

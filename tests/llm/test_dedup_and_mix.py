@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import WORD, documents, table
 from paracorpus.llm.exact_dedup import exact_dedup, keep_rows
-from paracorpus.llm import source_mixing
+from paracorpus.llm import jaccard_join, source_mixing
 from paracorpus.llm.source_mixing import mix_sources, source_targets
 
 
@@ -86,3 +86,27 @@ def test_mix_is_near_the_targets_and_repeats(spark, monkeypatch, bits):
 
 def test_mix_of_nothing(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    rows = [(1, "a"), (2, "a"), (1, "b"), (None, "a"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_sha": F.lit("x"), "kept": F.lit("x")})
+    kept = keep_rows(docs, exact_dedup(docs))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, "a"), (1, "b"), (None, "a"), (4, "")], key=str)
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words), " ".join(f"v{i}" for i in range(30))
+    rows = [(3, near), (5, near + " more"), (5, other), (None, near + " yet"), (7, other + " x"), (8, ""), (8, None), (2, "alone here"), (7, other + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("x"), "_row": F.lit("x")})
+    kept = jaccard_join.keep_rows(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, near), (5, other), (8, ""), (8, None), (2, "alone here")], key=str)
+    assert jaccard_join.keep_rows(docs.where("false")).count() == 0
+
+
+def test_mix_beside_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 3}") for i in range(50)], "doc_id long, text string, source string")
+    named = docs.withColumns({c: F.lit("x") for c in ("rounds", "bound", "_copy", "hash", "size", "target")})
+    got = source_mixing.take_mix(named)
+    assert got.columns == named.columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in source_mixing.take_mix(docs).collect())

@@ -45,6 +45,20 @@ def test_automaton_equals_the_library(library):
         assert ours.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_ids_of_every_code_point_beside_signs(library):
+    """Both encoders give the library's ids where its tables, or what normalisation does, decide what a letter is."""
+    ours, records = word_tokenizer(PATH), R.chunk_encoder(PATH)
+    points = [c for c in range(0x3400) if not chr(c).isspace()] + [*range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x10000, 0x14000), *range(0x16000, 0x17000), *range(0x1C000, 0x20000)]
+    for pattern in ("a{}b", "{}.", "a{}?", "?{}a"):
+        chunks = [pattern.format(chr(c)) for c in points]
+        want = [e.ids for e in library.encode_batch(chunks, add_special_tokens=False)]
+        split = [c for c in zip(chunks, want) if len(c[0].split()) == 1]
+        assert [(c, ours.encode_chunk(c)) for c, _ in split] == split
+        assert [(c, np.frombuffer(x, "<u2").tolist()) for (c, _), x in zip(split, records([c for c, _ in split]))] == split
+    for text in ("ABC\u0130.", "\u0958!", "\ufb2a?", "\u0558.", "x\u208f;"):
+        assert ours.encode_chunk(text) == library.encode(text, add_special_tokens=False).ids == np.frombuffer(records([text])[0], "<u2").tolist()
+
+
 def test_encode_documents(spark, library):
     rows = documents() + list(enumerate(ODD, 5000))
     want = Counter()

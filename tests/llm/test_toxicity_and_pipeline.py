@@ -1,14 +1,19 @@
+import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from helpers import components, shingles
+from paracorpus.llm import source_mixing
 from paracorpus.llm import toxicity as X
 from paracorpus.llm.common import pin
-from paracorpus.llm.queries import FOLD, REGISTRY
+from paracorpus.llm.queries import FOLD, REGISTRY, tokenizer_path
+from tokenizers import Tokenizer
 
 
 def corpus(n=1500, seed=0):
@@ -171,6 +176,61 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_stages_equal_plain_python(spark, tmp_path):
+    """Every stage's rows, worked out with dictionaries, sets and the library: toxic texts, copies, near copies, nulls."""
+    rng = random.Random(4)
+    docs, labels = corpus(500, seed=8)
+    docs += [(1000 + i, docs[rng.randrange(500)][1]) for i in range(60)]
+    docs += [(2000 + i, docs[rng.randrange(500)][1] + " more") for i in range(40)] + [(3000, None), (3001, ""), (3002, "One"), (1000, "shared id")]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or "")) for i, t in docs]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    marks.withColumn("quality", F.lit(1)).write.parquet(f"file://{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def texts(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in labels}
+    plain = plain_models([(t, dict(labels)[i]) for i, t in docs if i in fold and fold[i] in X.COUNTED])
+    scale = X.fit_toxicity(frame, marks, FOLD)[1]
+    kept = [(i, t) for i, t in docs if 1 / (1 + math.exp(-(scale[0] * plain(t) + scale[1]))) < 0.5]
+    got = pin(stages["toxicity"](spark, frame, str(tmp_path)), "stage")
+    assert 20 < len(docs) - len(kept) < 100 and texts(got) == sorted(kept, key=str)
+
+    largest = {}
+    for i, t in kept:
+        largest[t or ""] = max(largest.get(t or "", -1), i)
+    kept = [(i, t) for i, t in kept if largest[t or ""] == i]
+    got = pin(stages["exact_dedup"](spark, got, str(tmp_path)), "stage")
+    assert texts(got) == sorted(kept, key=str)
+
+    sets = [shingles(t) for _, t in kept]
+    pairs = [(a, b) for a in range(len(kept)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0]
+    group = components(pairs, range(len(kept)))
+    least = {}
+    for k, (i, _) in enumerate(kept):
+        least[group[k]] = min(least.get(group[k], (i, k)), (i, k))
+    kept = [kept[k] for _, k in least.values()]
+    got = pin(stages["near_dedup"](spark, got, str(tmp_path)), "stage")
+    assert texts(got) == sorted(kept, key=str) and pairs
+
+    copies = {r.doc_id: r.copies for r in source_mixing.mix_sources(got).collect()}
+    kept = [x for x in kept for _ in range(copies[x[0]])]
+    got = pin(stages["mix"](spark, got, str(tmp_path)), "stage")
+    assert texts(got) == sorted(kept, key=str)
+
+    library = Tokenizer.from_file(tokenizer_path())
+    library.no_padding()
+    library.no_truncation()
+    want = []
+    for i, t in kept:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        said = library.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), said))))
+    assert sorted(map(tuple, stages["encode"](spark, got, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_stages_of_no_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("false")
     for name, stage in corpus_pipeline.STAGES:

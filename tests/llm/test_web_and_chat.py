@@ -156,3 +156,10 @@ def test_canonical_json(spark):
     texts = [('{ "b" : [1, {"d": 2, "c": null}], "a": "x" }', '{"a":"x","b":[1,{"c":null,"d":2}]}'), ("nonsense", None), (None, None)]
     for text, want in texts:
         assert spark.createDataFrame([(text,)], "t string").select(canonical_json(F.col("t"))).first()[0] == want
+
+
+def test_repeated_pages_count_each_row_once(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/x"), (1, "http://a.b/x"), (2, "http://a.b/y"), (3, "http://c.d/")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, 1), (1, 1), (3, 1), (3, 0), (2, None)], "page_id long, good int")
+    found = H.judge_urls(pages, outcomes, []).collect()
+    assert sorted((r.page_id, r.labelled_pages, r.good_pages) for r in found) == [(1, 2, 2), (1, 2, 2), (2, 2, 2), (3, 1, 0)]
