@@ -17,7 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class models do not call toxic. Models are fitted to the labelled ones among
-    `docs`; texts are shuffled only if there are too many toxic ones to send their keys to the tasks."""
+    `docs`; texts are shuffled only if there are too many toxic ones to send their keys to the tasks.
+    Null and empty texts score as texts without words; rows alike in id and text go together."""
     models, scale = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), FOLD)
     scored = toxicity.score_keys(docs, models, ["doc_id"])
     toxic = pin(scored.where(toxicity.is_toxic(F.col("difference"), scale)).select("_text"), "toxic")
@@ -26,24 +27,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts the document with the largest id. Null texts are empty ones; rows without an id stay, and
+    rows that repeat an id with another text are judged by that text."""
     return exact_dedup.keep_rows(docs, exact_dedup.exact_dedup(docs)).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group joined by near-duplicate links the document with the smallest id."""
-    groups = jaccard_join.jaccard_components(docs)
-    dropped = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group joined by near-duplicate links the document with the smallest id. Texts without words
+    are linked with nothing and stay; rows that repeat an id are judged by their own texts."""
+    return jaccard_join.keep_rows(docs).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice. Rows with equal ids are taken
+    together; texts without words follow the same rule."""
     return source_mixing.take_mix(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document that is left."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document that is left, null texts as empty ones."""
     return merge_automaton.encode_digests(docs, tokenizer_path())
 
 
