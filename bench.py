@@ -8,6 +8,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from paracorpus.plans.queries import REGISTRY  # noqa: E402
+from paracorpus.plans.views import INPUT_PARTITIONS  # noqa: E402
 from paracorpus.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -23,7 +24,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false"},
+        **{INPUT_PARTITIONS: 4 * int(cpus), "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paracorpus.operators.positions import with_position
+from paracorpus.session import pin
 
 # Fixed value: the label that a loss function ignores.
 PADDING = -100
@@ -22,9 +23,11 @@ def pad_labels(
     """Columns (batch, id, labels): rows in id order, `batch_size` per batch.
 
     Each batch is padded to its longest row; when every row of a batch starts with `bos`, the
-    first column goes. Ids are unique. Only the id, the length and the first label of a row are sorted and
-    numbered; the labels move once, to meet the shape of their batch.
+    first column goes. Ids are unique. The labels are written once, so that what derives them runs once. Only the
+    id, the length and the first label of a row are sorted and numbered; the labels move once, to
+    meet the shape of their batch.
     """
+    df = pin(df.select(id_col, labels), "labels")
     whole_batch = W.partitionBy("batch")
     starts_with_bos = F.coalesce(F.get(labels, F.lit(0)) == bos, F.lit(False))
     narrow = df.select(id_col, F.size(labels).alias("_size"), starts_with_bos.alias("_bos"))

@@ -239,6 +239,7 @@ SQL: dict[str, str] = {
     "normalize_text": f"select doc_id, {norm('text')} as normalized from documents",
     "pair_by_stem": f"""with {AUDIO}, {TEXTS}
       select stem, path, length(text)::int as chars from audio join texts using (stem)""",
+    "fill_cache": f"with {AUDIO} select path, md5(path) as digest, ends_with(path, '.wav') as early from audio",
     "pair_first_audio": f"""with {AUDIO}, {TEXTS}
       select stem, min(path) as path from texts join audio using (stem) group by stem""",
     "corpus_tree_pairs": f"""with {NAMED}, hidden as (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from paracorpus.operators import neighbours as N
 from paracorpus.operators import pairing as P
 from paracorpus.operators import vocabulary as vocab
 from paracorpus.plans import views as V
+from paracorpus.session import checkpoint_dir
+from paracorpus.sources import cache
 from paracorpus.sources.audio import conform_audio
 from paracorpus.sources.corpus_tree import read_corpus_tree
 from paracorpus.sources.examples import load_examples, recordings_to_examples
@@ -65,6 +68,19 @@ def missing_items(spark, d):
     return P.missing_items(V.audio_files(spark, d), V.cached_audio(spark, d), "path")
 
 
+@query
+def fill_cache(spark, d):
+    """A cache that holds the wav files is filled with what the manifest has besides, each item converted once."""
+    folder = f"{checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}"
+
+    def convert(early):
+        return lambda files: files.select("path", F.md5("path").alias("digest"), F.lit(early).alias("early"))
+
+    cache.fill_cache(V.cached_audio(spark, d), folder, convert(True))
+    everything = V.audio_files(spark, d).select("path")
+    return cache.fill_cache(everything.unionAll(everything), folder, convert(False))
+
+
 @query
 def conform_examples(spark, d):
     return recordings_to_examples(V.recordings(spark, d), cache="cache/audio")

@@ -21,18 +21,18 @@ MISHEARD = [
 UNIT_OF_EVENT = ["error", "click", "purchase", "view", "signup"]
 TOKENS_PER_PAIR = 16
 BATCH_SIZE, BOS = 16, 1
+# The setting by which a session spreads small inputs.
+INPUT_PARTITIONS = "paracorpus.input.partitions"
 
 
 def table(
     spark: SparkSession, folder: str, name: str, columns: list[str] | None = None, spread: bool = False
 ) -> DataFrame:
-    """One of the driver's tables. `spread` is for CPU-heavy work on a file that is too small to
-    be split among the cores; a table with enough splits is left as it is."""
+    """One of the driver's tables. `spread` is for CPU-heavy work: if the session names a number of partitions
+    (`INPUT_PARTITIONS`), as for files too small to be split, the rows are dealt to that many."""
     df = spark.read.parquet(f"{folder}/{name}.parquet").select(*(columns or ["*"]))
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores * 4)
-    return df
+    partitions = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(partitions)) if spread and partitions else df
 
 
 def misheard(text) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paracorpus.operators import pairing as P
 from paracorpus.sources import audio as A
-from paracorpus.sources import catalog, corpus_tree, examples, folders, participants, recordings, units
+from paracorpus.sources import cache, catalog, corpus_tree, examples, folders, participants, recordings, units
 
 
 @pytest.fixture(scope="module")
@@ -252,3 +252,35 @@ def test_examples_conform(spark):
     out = P.to_examples(df, {"id": "key", "audio": F.concat(F.lit("x/"), "path")}).first()
     assert out.id == "7" and out.audio == "x/p" and out.gender is None
     assert [r.path for r in P.non_empty(spark.createDataFrame([("a",), ("  ",), (None,)], "path string"), "path").collect()] == ["a"]
+
+
+def test_a_cache_is_filled_once(spark, tmp_path):
+    notes, folder = tmp_path / "seen", str(tmp_path / "cache")
+
+    def convert(broken=False):
+        def run(batches):
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    with open(notes, "a") as file:
+                        file.write(f"{path}\n")
+                    if broken and path == "p7":
+                        raise OSError("half way")
+                yield batch
+
+        return lambda df: df.select("path").mapInArrow(run, "path string").selectExpr("path", "upper(path) as made")
+
+    def manifest(n):
+        return spark.createDataFrame([(f"p{i}",) for i in range(n)] + [("p1",), (None,)], "path string").repartition(3)
+
+    def seen():
+        return len(notes.read_text().split())
+
+    with pytest.raises(Exception, match="half way"):
+        cache.fill_cache(manifest(20), folder, convert(broken=True))
+    assert cache.read_cache(spark, folder, "path string, made string").count() == 0
+    notes.write_text("")
+    filled = cache.fill_cache(manifest(20), folder, convert())
+    assert sorted(map(tuple, filled.collect())) == sorted((f"p{i}", f"P{i}") for i in range(20)) and seen() == 20
+    assert cache.fill_cache(manifest(20), folder, convert()).count() == 20 and seen() == 20
+    assert cache.fill_cache(manifest(25), folder, convert()).count() == 25 and seen() == 25
+    assert cache.fill_cache(manifest(0).where("path is null"), f"{folder}2", convert()).count() == 0
