@@ -284,3 +284,33 @@ def test_a_cache_is_filled_once(spark, tmp_path):
     assert cache.fill_cache(manifest(20), folder, convert()).count() == 20 and seen() == 20
     assert cache.fill_cache(manifest(25), folder, convert()).count() == 25 and seen() == 25
     assert cache.fill_cache(manifest(0).where("path is null"), f"{folder}2", convert()).count() == 0
+
+
+def write_wav(path, rate, channels, width, frames):
+    with wave.open(str(path), "wb") as sound:
+        sound.setnchannels(channels)
+        sound.setsampwidth(width)
+        sound.setframerate(rate)
+        sound.writeframes(frames)
+
+
+@pytest.mark.parametrize("piece", [700, 5000, 10**6])
+def test_long_recordings_are_conformed_in_pieces(spark, tmp_path, piece):
+    rnd = np.random.default_rng(1)
+    for i, (rate, channels, width, n) in enumerate([(8000, 2, 2, 9000), (44100, 1, 2, 20001), (16000, 1, 1, 3000), (16000, 2, 4, 1), (11025, 1, 3, 0), (22050, 1, 2, 5)]):
+        write_wav(tmp_path / f"r{i}.wav", rate, channels, width, rnd.integers(0, 256, n * channels * width, dtype=np.uint8).tobytes())
+    (tmp_path / "broken.wav").write_bytes(b"RIFF nothing")
+    (tmp_path / "empty.wav").write_bytes(b"")
+    whole = {r.id: r for r in A.read_audio(spark, str(tmp_path)).collect()}
+    files = folders.list_folders(spark, [str(tmp_path)])
+    rows = A.conform_in_pieces(files, piece_samples=piece).collect()
+    assert set(whole) | {"empty"} == {r.id for r in rows}
+    for name, want in whole.items():
+        parts = sorted((r for r in rows if r.id == name), key=lambda r: r["first"])
+        assert [r.piece for r in parts] == list(range(len(parts)))
+        if want.error:
+            assert len(parts) == 1 and parts[0].error and parts[0].samples is None
+            continue
+        assert [x for r in parts for x in r.samples] == want.samples
+        assert {(r.rate, r.n, r.channels_in, r.rate_in) for r in parts} == {(want.rate, want.n, want.channels_in, want.rate_in)}
+        assert len(parts) == max(1, -(-want.n // piece)) and all(len(r.samples) <= piece for r in parts)
