@@ -375,6 +375,14 @@ def knn_translate(spark, d):
     return _rounded(_translated(spark, d), "confidence", digits=9)
 
 
+@query
+def knn_indexed(spark, d):
+    """The translation of every query by an index that was written before."""
+    folder = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    N.write_index(V.unit_training(spark, d), folder)
+    return _rounded(N.translate_index(V.unit_queries(spark, d), folder), "confidence", digits=9)
+
+
 @query
 def reference_default(spark, d):
     queries = V.unit_queries(spark, d).select("id")
