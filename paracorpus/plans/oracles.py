@@ -416,6 +416,8 @@ SQL: dict[str, str] = {
     "knn_topk": f"""with {KNN} select query_id, rank::int as rank, train_id, text,
         round(similarity, 9) as similarity from ranked where rank <= 3""",
     "knn_translate": f""",
+    "knn_indexed": f""",
+    "knn_indexed": f""",
     "knn_indexed": f"""with {KNN} select query_id as id, num_units::int as num_units, text as translation,
         round(similarity, 9) as confidence from ranked where rank = 1""",
     "reference_default": f"""with {REFERENCES}
