@@ -20,7 +20,7 @@ from paracorpus.llm.shingles import mix
 #: fraction of the least count would make every phrase of a shard a candidate.
 SHARDS = 4
 #: Bytes of text that are counted at once in a task; one longer text is a group of its own.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 2_500_000
 #: Parts of a language that are ranked on their own before the best of each are ranked together.
 PARTS = 64
 #: How much a longer phrase must have of a shorter one's count, in percent, to stand for it.
@@ -54,7 +54,7 @@ class Words:
         self.code, self.names = np.asarray(coded.indices, np.int64), coded.dictionary.cast(pa.string())
         self.text = np.searchsorted(offsets, starts, "right") - 1
         self.piece = np.cumsum(kind == 2)[starts] + self.text
-        self.hashes = np.array([xxhash.xxh3_64_intdigest(x.as_buffer()) for x in self.names], np.uint64)
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in self.names.to_pylist()], np.uint64)
 
     def follows(self) -> np.ndarray:
         """Whether the next word stands in the same piece, for each but the last word. Pieces are numbered
@@ -80,14 +80,14 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 class Phrases:
-    """Distinct bigrams and trigrams of `Words` within `group` (one number per text), as word codes.
+    """Distinct bigrams and trigrams of `Words` within groups of texts (`of_text`: each text's), as word codes.
+    `language`: each group's language key, of which phrases' keys are made.
 
-    Trigrams are only looked at where `keep` (for distinct bigrams, by key) says yes for both bigrams.
+    Trigrams are only looked at where `keep` (for distinct bigrams) says yes for both bigrams.
     """
 
-    def __init__(self, words: Words, group: np.ndarray, word_ok: np.ndarray | None = None) -> None:
-        self.words, v = words, max(len(words.names), 1)
-        values, of_text = np.unique(group, return_inverse=True)
+    def __init__(self, words: Words, of_text: np.ndarray, language: np.ndarray, word_ok: np.ndarray | None = None) -> None:
+        self.words, self.language, v = words, language, max(len(words.names), 1)
         kind = of_text[words.text]
         both = words.follows()
         if word_ok is not None:
@@ -95,9 +95,9 @@ class Phrases:
         at = np.flatnonzero(both)
         made = (kind[at] * v + words.code[at]) * v + words.code[at + 1]
         pairs, place, self.counts = np.unique(made, return_inverse=True, return_counts=True)
-        self.group, self.first, self.second = values[pairs // (v * v)], pairs // v % v, pairs % v
+        self.group, self.first, self.second = pairs // (v * v), pairs // v % v, pairs % v
         self.at, self.place = at, place
-        self.keys = phrase_key(self.group, words.hashes[self.first], words.hashes[self.second])
+        self.keys = phrase_key(language[self.group], words.hashes[self.first], words.hashes[self.second])
 
     def triples(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(group, first, second, third, key, count) of the trigrams that begin and end with kept bigrams."""
@@ -108,7 +108,7 @@ class Phrases:
         made, counts = np.unique(bigram[at] * v + words.code[np.minimum(at + 2, len(words.code) - 1)], return_counts=True)
         pair, third = made // v, made % v
         group, first, second = self.group[pair], self.first[pair], self.second[pair]
-        return group, first, second, third, phrase_key(group, *(words.hashes[x] for x in (first, second, third))), counts
+        return group, first, second, third, phrase_key(self.language[group], *(words.hashes[x] for x in (first, second, third))), counts
 
 
 def _tasks(docs: DataFrame, work, schema: str) -> DataFrame:
@@ -130,54 +130,57 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """shard, lang, word, n: all words of `docs` (text, lang, shard, of_lang), combined in the tasks first."""
+def local_key(shard: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The key of a phrase in a shard, from its key in the language as a whole."""
+    return mix(key ^ mix(shard))
+
+
+def local_words(docs: DataFrame) -> DataFrame:
+    """shard, lang, key, n: all words of `docs` (text, lang, shard, of_lang) by 64-bit keys, combined in the tasks first."""
 
     def work(text, lang, shard, of_lang):
         words = Words(text)
-        _, first, of_text = np.unique(shard, return_index=True, return_inverse=True)
+        groups, first, of_text = np.unique(shard, return_index=True, return_inverse=True)
         v = max(len(words.names), 1)
         made, counts = np.unique(of_text[words.text] * v + words.code, return_counts=True)
-        row = pa.array(first[made // v])
-        yield [_longs(shard[np.asarray(row)]), lang.take(row), words.names.take(pa.array(made % v)), _longs(counts)]
+        row = first[made // v]
+        yield [_longs(groups[made // v]), lang.take(pa.array(row)), _longs(phrase_key(of_lang[row], words.hashes[made % v])), _longs(counts)]
 
-    counted = _tasks(docs, work, "shard long, lang string, word string, n long")
-    return counted.groupBy("shard", "lang", "word").agg(F.sum("n").alias("n"))
+    counted = _tasks(docs, work, "shard long, lang string, key long, n long")
+    return counted.groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
 
 
 def local_phrases(docs: DataFrame, words: KeyFilter, bigrams: KeyFilter | None) -> DataFrame:
-    """shard, key, of_all, n: phrases of a shard by 64-bit keys, complete for all that may have the local support.
+    """shard, key, n: phrases of a shard by 64-bit keys, complete for all that may have the local support.
 
     Without `bigrams` those of two words that are both in `words`, else those of three whose two bigrams
-    are both in `bigrams`: a phrase is at most as frequent as its parts. `of_all` is the key of the same
-    phrase in its language as a whole. Phrases whose keys clash are counted together, which can only
-    make more of them candidates.
+    are both in `bigrams`: a phrase is at most as frequent as its parts. Both hold `local_key`s. Phrases whose
+    keys clash are counted together, which can only make more of them candidates.
     """
     sent = docs.sparkSession.sparkContext.broadcast((words, bigrams))
 
     def work(text, lang, shard, of_lang):
         of_word, of_bigram = sent.value
         found = Words(text)
-        all_groups, whose = np.unique(shard, return_index=True)
-        language = dict(zip(all_groups.tolist(), of_lang[whose].tolist()))
+        groups, whose, of_text = np.unique(shard, return_index=True, return_inverse=True)
+        language = of_lang[whose]
         v = max(len(found.names), 1)
-        made, place = np.unique(np.searchsorted(all_groups, shard)[found.text] * v + found.code, return_inverse=True)
-        ok = of_word.has(phrase_key(all_groups[made // v], found.hashes[made % v]))[place]
-        phrases = Phrases(found, shard, ok)
+        made, place = np.unique(of_text[found.text] * v + found.code, return_inverse=True)
+        keys = phrase_key(language[made // v], found.hashes[made % v])
+        ok = of_word.has(local_key(groups[made // v], keys))[place]
+        phrases = Phrases(found, of_text, language, ok)
         if of_bigram is None:
-            group, parts, keys, counts = phrases.group, (phrases.first, phrases.second), phrases.keys, phrases.counts
+            group, keys, counts = phrases.group, phrases.keys, phrases.counts
         else:
-            group, *parts, keys, counts = phrases.triples(of_bigram.has(phrases.keys))
-        wide = np.array([language[g] for g in group.tolist()], np.uint64)
-        of_all = phrase_key(wide, *(found.hashes[x] for x in parts))
-        yield [_longs(group), _longs(keys), _longs(of_all), _longs(counts)]
+            group, *_, keys, counts = phrases.triples(of_bigram.has(local_key(groups[phrases.group], phrases.keys)))
+        yield [_longs(groups[group]), _longs(keys), _longs(counts)]
 
-    counted = _tasks(docs, work, "shard long, key long, of_all long, n long")
-    return counted.groupBy("shard", "key").agg(F.first("of_all").alias("of_all"), F.sum("n").alias("n"))
+    counted = _tasks(docs, work, "shard long, key long, n long")
+    return counted.groupBy("shard", "key").agg(F.sum("n").alias("n"))
 
 
 def count_candidates(docs: DataFrame, candidates: KeyFilter) -> DataFrame:
-    """lang, phrase, words, a: how often phrases occur in their language, for all that are candidates.
+    """lang, phrase, words, a: how often words and phrases occur in their language, for all that are candidates.
 
     Tasks leave out what is surely no candidate; the few others that the filter lets pass are counted
     like candidates. Counts are by the words themselves.
@@ -186,17 +189,20 @@ def count_candidates(docs: DataFrame, candidates: KeyFilter) -> DataFrame:
 
     def work(text, lang, shard, of_lang):
         known, found = sent.value, Words(text)
-        groups, first = np.unique(of_lang, return_index=True)
-        phrases = Phrases(found, of_lang)
-        keep = known.has(phrases.keys)
-        three = phrases.triples(keep)
-        for n, (group, *parts, keys, counts) in ((2, (phrases.group, phrases.first, phrases.second, phrases.keys, phrases.counts)), (3, three)):
+        language, first, of_text = np.unique(of_lang, return_index=True, return_inverse=True)
+        v = max(len(found.names), 1)
+        made, counts = np.unique(of_text[found.text] * v + found.code, return_counts=True)
+        phrases = Phrases(found, of_text, language)
+        levels = [
+            (made // v, made % v, phrase_key(language[made // v], found.hashes[made % v]), counts),
+            (phrases.group, phrases.first, phrases.second, phrases.keys, phrases.counts),
+            phrases.triples(known.has(phrases.keys)),
+        ]
+        for n, (group, *parts, keys, counts) in enumerate(levels, 1):
             chosen = np.flatnonzero(known.has(keys))
             names = [found.names.take(pa.array(p[chosen])) for p in parts]
-            yield [
-                lang.take(pa.array(first[np.searchsorted(groups, group[chosen])])),
-                pc.binary_join_element_wise(*names, " "), _longs(np.full(len(chosen), n)), _longs(counts[chosen]),
-            ]
+            phrase = pc.binary_join_element_wise(*names, " ") if n > 1 else names[0]
+            yield [lang.take(pa.array(first[group[chosen]])), phrase, _longs(np.full(len(chosen), n)), _longs(counts[chosen])]
 
     counted = _tasks(docs, work, "lang string, phrase string, words long, a long")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
@@ -210,9 +216,9 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 
 
 def frequent_phrases(docs: DataFrame, least: int = 10, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(words, phrases): shard, lang, word, n; and lang, phrase, words, a with a of at least `least`.
+    """(sizes, phrases): lang, n (its words); and lang, phrase, words (1 to 3), a, with a of at least `least`.
 
-    After Savasere, Omiecinski and Navathe: rows are dealt to shards by a hash of the row. A phrase with
+    After Savasere, Omiecinski and Navathe: rows are dealt to shards by a hash of the text. A phrase with
     `least` occurrences has, in some shard, at least `least` times the share that the shard has of
     the language's words; so what reaches that in any shard is every candidate there is. Each shard is mined
     completely, level by level: words, then bigrams of frequent words, then trigrams of frequent
@@ -227,28 +233,32 @@ def frequent_phrases(docs: DataFrame, least: int = 10, shards: int = SHARDS) ->
     docs = docs.select(text.alias("text"), lang.alias("lang"))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(shards)))
     docs = docs.select("text", "lang", F.xxhash64("shard", "lang").alias("shard"), F.xxhash64("lang").alias("of_lang"))
-    words = pin(count_words(docs), "shard-words")
-    sizes = words.groupBy("lang", "shard").agg(F.sum("n").alias("here"))
-    whole = sizes.groupBy("lang").agg(F.sum("here").alias("all"))
+    words = pin(local_words(docs), "shard-words")
+    here = pin(words.groupBy("lang", "shard").agg(F.sum("n").alias("here")), "shard-sizes")
+    sizes = here.groupBy("lang").agg(F.sum("here").alias("n"))
     # If two languages had the same key, the smaller support holds for both.
-    shares = sizes.join(whole, "lang").groupBy("shard").agg(F.min(F.col("here") / F.col("all")).alias("share"))
+    shares = here.join(sizes, "lang").groupBy("shard").agg(F.min(F.col("here") / F.col("n")).alias("share"))
     # A little less than the support, as shares are no exact numbers.
     support = broadcast_if_small(pin(shares.select("shard", (F.col("share") * least - 1e-6).alias("support")), "support"))
 
     def frequent(counted: DataFrame) -> DataFrame:
-        return counted.join(support, "shard").where("n >= support")
+        return pin(counted.join(support, "shard").where("n >= support").select("shard", "key"), "local")
 
-    def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = np.array([xxhash.xxh3_64_intdigest(x.as_buffer()) for x in batch.column(1).cast(pa.large_string())], np.uint64)
-            yield pa.RecordBatch.from_arrays([_longs(phrase_key(np.asarray(batch.column(0)).view(np.uint64), hashes))], ["key"])
+    def local_filter(keys: DataFrame) -> KeyFilter:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shard, key = (np.asarray(c).view(np.uint64) for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([_longs(local_key(shard, key))], ["key"])
+
+        return key_filter(keys.mapInArrow(run, "key long"))
 
-    of_word = key_filter(frequent(words).select("shard", "word").mapInArrow(word_keys, "key long"))
-    bigrams = pin(frequent(local_phrases(docs, of_word, None)).select("key", "of_all"), "local-bigrams")
-    trigrams = pin(frequent(local_phrases(docs, of_word, key_filter(bigrams.select("key")))).select("of_all"), "local-trigrams")
-    candidates = bigrams.select("of_all").union(trigrams).distinct()
+    one = frequent(words.select("shard", "key", "n"))
+    of_word = local_filter(one)
+    two = frequent(local_phrases(docs, of_word, None))
+    three = frequent(local_phrases(docs, of_word, local_filter(two)))
+    candidates = one.select("key").union(two.select("key")).union(three.select("key")).distinct()
     counted = count_candidates(docs, key_filter(pin(candidates, "candidates")))
-    return words, pin(counted.where(F.col("a") >= least), "phrases")
+    return sizes, pin(counted.where(F.col("a") >= least), "phrases")
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, shards: int = SHARDS) -> DataFrame:
@@ -261,23 +271,21 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, shards: int
     splits such partitions. A language's phrases are ranked in parts first, so at most `PARTS` times
     `top` rows of a language meet in one task.
     """
-    words, phrases = frequent_phrases(docs, least, shards)
-    totals = pin(words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "words")
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    two, three = phrases.where("words = 2").drop("words"), phrases.where("words = 3").drop("words")
+    sizes, phrases = frequent_phrases(docs, least, shards)
+    one, two, three = (phrases.where(F.col("words") == n).drop("words") for n in (1, 2, 3))
     first, last = F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1)
     start, end = F.substring_index("phrase", " ", 2), F.substring_index("phrase", " ", -2)
 
-    def with_counts(table: DataFrame, part: Column, counts: DataFrame, key: str, count: str, name: str) -> DataFrame:
-        found = counts.select("lang", F.col(key).alias("part"), F.col(count).alias(name))
+    def with_counts(table: DataFrame, part: Column, counts: DataFrame, name: str) -> DataFrame:
+        found = counts.select("lang", F.col("phrase").alias("part"), F.col("a").alias(name))
         return table.withColumn("part", part).join(found, ["lang", "part"]).drop("part")
 
     inside = three.select("lang", F.explode(F.array(start, end)).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = two.join(inside, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {ABSORBED} * a").drop("longer")
-    pairs = with_counts(with_counts(kept, first, totals, "word", "n", "l"), last, totals, "word", "n", "r")
+    pairs = with_counts(with_counts(kept, first, one, "l"), last, one, "r")
     pairs = pairs.select("lang", "phrase", "a", "l", "r", _score(F.col("a"), F.col("l"), F.col("r")).alias("score"))
-    triples = with_counts(with_counts(three, first, totals, "word", "n", "l1"), end, two, "phrase", "a", "r1")
-    triples = with_counts(with_counts(triples, start, two, "phrase", "a", "l2"), last, totals, "word", "n", "r2")
+    triples = with_counts(with_counts(three, first, one, "l1"), end, two, "r1")
+    triples = with_counts(with_counts(triples, start, two, "l2"), last, one, "r2")
     triples = triples.withColumn("s1", _score(F.col("a"), F.col("l1"), F.col("r1"))).withColumn("s2", _score(F.col("a"), F.col("l2"), F.col("r2")))
     early = F.col("s1") <= F.col("s2")
     triples = triples.select(

@@ -198,7 +198,7 @@ def test_every_frequent_phrase_is_a_candidate_whatever_the_shards(spark):
     for _, text, lang in rows:
         for piece in "".join("\n" if c in ".,;:!?\n" else c for c in (text or "").translate(str.maketrans("ABE", "abe"))).split("\n"):
             words = [w for w in piece.replace("\t", " ").split(" ") if w]
-            counts.update((lang or "und", " ".join(words[i : i + n])) for n in (2, 3) for i in range(len(words) - n + 1))
+            counts.update((lang or "und", " ".join(words[i : i + n])) for n in (1, 2, 3) for i in range(len(words) - n + 1))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     for shards in (2, 7):
         _, found = phrase_mining.frequent_phrases(docs, shards=shards)
