@@ -218,6 +218,27 @@ def test_batch_predict(spark):
     assert {r.id for r in kept} == {9007199254740993, None} and [r.hypothesis for r in kept] == ["a!", "c!"]
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "date", "timestamp", "decimal(20,2)", "string"])
+def test_deep_places_by_histograms(spark, monkeypatch, kind):
+    monkeypatch.setattr(positions, "FEW", 3)
+    monkeypatch.setattr(positions, "CELLS", 5)
+    rnd = random.Random(6)
+    values = [rnd.choice([0, 7, 7, 7, rnd.randrange(1000), rnd.randrange(10**9)]) for _ in range(300)] + [None] * 5
+    df = spark.createDataFrame([(v,) for v in values], "n long").repartition(3)
+    if kind == "date":
+        df = df.select(F.date_from_unix_date((F.col("n") % 40_000).cast("int")).alias("n"))
+    elif kind == "timestamp":
+        df = df.select(F.timestamp_seconds("n").alias("n"))
+    else:
+        df = df.select(F.col("n").cast(kind).alias("n"))
+    if kind == "double":
+        df = df.unionAll(spark.sql("select explode(array(double('NaN'), double('-inf'), double('inf'), 1e300, -1e-300, 0.5)) as n"))
+    want = [r.n for r in df.orderBy("n").collect()]
+    for i in (0, 3, 4, 6, 100, 170, 250, len(want) - 1, len(want), len(want) + 50):
+        got = [r.n for r in positions.nth_item(df, "n", i).collect()]
+        assert repr(got) == repr(want[i : i + 1])
+
+
 def noting(notes, killers=()):
     """A model that writes down each value it sees, and dies of some."""
 
