@@ -21,11 +21,13 @@ from paracorpus.llm.marked_words import MARK, coded_pieces, piece_tokenizer, str
 from paracorpus.llm.merge_automaton import byte_symbols, groups_by_length
 
 #: Bytes of text whose distinct stretches are aligned at once; one longer text is a group of its own.
-GROUP_BYTES = 6_000_000
+GROUP_BYTES = 2_000_000
 #: Tokens of either side that are held as Python numbers at a time.
 WINDOW = 1 << 17
 #: Distinct stretches whose ids a worker remembers, and how many are encoded by one call.
 REMEMBERED, AT_ONCE = 100_000, 5_000
+#: Ends that are compared first at a new shift.
+FIRST_STEP = 4
 #: Pairs of ids whose counts are sent to the tasks; others are joined.
 MOST_PAIRS = 1_000_000
 #: A pair's number is its A id times this, and its B id.
@@ -176,7 +178,7 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray, window: int = WINDOW) -> Align
         n, m = len(a), len(b)
         x = y = 0
         while x < n and y < m:
-            begun, step = x, 1
+            begun, step = x, FIRST_STEP
             while a[x : x + step] == b[y : y + step] and x < n:
                 x += step
                 y += step
