@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paracorpus.llm.chunks import ChunkMemory, coded_chunks
+from paracorpus.llm.common import broadcast_if_small
 from paracorpus.llm.merge_automaton import groups_by_length, only_letters, plain
+from paracorpus.sources.folders import open_file
 
 #: Characters of text per file: the ids of a file are read into memory at once.
 SHARD_CHARS = 12_000_000
@@ -102,7 +104,7 @@ class ChunkEncoder:
         normalisation, which may end a letter with a mark that goes with the sign."""
         parts = []
         for c in chunks:
-            core, sign = (c[:-1], c[-1]) if c[-1:] in SIGNS else (c, "")
+            core, sign = (c[:-1], c[-1]) if c and c[-1] in SIGNS else (c, "")
             if core.isascii() and core.isalpha():
                 parts.append((core.lower(), sign))
             elif sign and self.is_word(self.plain(core)):
@@ -223,14 +225,47 @@ def read_token_records(spark: SparkSession, path: str, width: int = 4) -> DataFr
     return _files(spark, path).mapInArrow(run, "file string, doc_id long, at long, n_tokens long, ids binary")
 
 
+def read_shuffled(spark: SparkSession, path: str, seed: int = 0, width: int = 4) -> DataFrame:
+    """doc_id, n_tokens, ids: every record, in an order that depends on `seed` alone, by way of the offset index.
+
+    Only index rows are shuffled: they are dealt to tasks by a hash, and each task fetches its records where the
+    index says they stand, through the file system that all executors share. Lengths and checksums are verified.
+    """
+    order = F.xxhash64(F.lit(seed), "file", "offset")
+    dealt = spark.read.parquet(f"{path}/index").select("file", "offset", "length", order.alias("order"))
+    dealt = dealt.repartitionByRange("order", "file", "offset").sortWithinPartitions("order", "file", "offset")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files, offsets, lengths = (batch.column(i).to_pylist() for i in range(3))
+            for lo in range(0, len(files), 200):
+                rows: list = [None] * len(files[lo : lo + 200])
+                opened = (None, None)
+                # A file is opened once for the records of it that are due; they keep their places.
+                for i in sorted(range(len(rows)), key=lambda i: (files[lo + i], offsets[lo + i])):
+                    name = f"{path}/records/{files[lo + i]}"
+                    if opened[0] != name:
+                        if opened[1]:
+                            opened[1].close()
+                        opened = (name, open_file(name))
+                    opened[1].seek(offsets[lo + i])
+                    (_, payload), *_ = frames(opened[1].read(HEAD + lengths[lo + i] + 5))
+                    doc_id, ids = deserialize(payload)
+                    rows[i] = (doc_id, len(ids) // 2, np.frombuffer(ids, "<u2").astype(f"<u{width}").tobytes())
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+    return dealt.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+
+
 def describe_token_records(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read from the files.
 
-    The starts of the files are one row per file, whatever the data size, and go to every task.
+    The starts of the files are one row per file, sent to the tasks while they are few.
     """
     return (
         read_token_records(spark, path)
         .select("file", "doc_id", "at", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-        .join(F.broadcast(file_starts(spark, path)), "file")
+        .join(broadcast_if_small(file_starts(spark, path)), "file")
         .select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
     )
