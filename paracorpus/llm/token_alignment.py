@@ -21,7 +21,7 @@ from paracorpus.llm.marked_words import MARK, coded_pieces, piece_tokenizer, str
 from paracorpus.llm.merge_automaton import byte_symbols, groups_by_length
 
 #: Bytes of text whose distinct stretches are aligned at once; one longer text is a group of its own.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 3_000_000
 #: Tokens of either side that are held as Python numbers at a time.
 WINDOW = 1 << 17
 #: Distinct stretches whose ids a worker remembers, and how many are encoded by one call.
@@ -309,8 +309,10 @@ class StretchedTexts:
 
 GROUP_COLUMNS = {
     "id": "array<long>", "n_a": "array<long>", "n_b": "array<long>", "n_groups": "array<long>", "n_links": "array<long>",
-    "groups_sha256": "array<string>", "codes": "array<int>", "offsets": "array<long>", "links": "array<long>", "numbers": "array<long>",
+    "groups_sha256": "array<string>", "codes": "binary", "offsets": "binary", "links": "binary", "numbers": "binary",
 }
+#: How the binary columns hold their numbers: as bytes Spark moves them whole, however many there are.
+KINDS = {"codes": "<i4", "offsets": "<i4", "links": "<i4", "numbers": "<i8"}
 
 
 def aligned_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,15 +330,16 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
                 digests = [hashlib.sha256(t.as_buffer()[:-1]).hexdigest() if len(t.as_buffer()) else "" for t in written]
                 sums = [texts.by_text(x) for x in (found.at_a, found.at_b, found.groups, found.links)]
                 held = [batch.column(0).slice(start, stop - start), *map(pa.array, sums), pa.array(digests, pa.string())]
-                held += [pa.array(found.codes.astype(np.int32)), *map(pa.array, (found.offsets, found.links, found.numbers))]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in held], list(GROUP_COLUMNS))
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in held]
+                packed = [pa.array([getattr(texts, c).astype(kind).tobytes()], pa.binary()) for c, kind in KINDS.items()]
+                yield pa.RecordBatch.from_arrays([*lists, *packed], list(GROUP_COLUMNS))
 
     chosen = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return chosen.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in GROUP_COLUMNS.items()))
 
 
 def _stretched(batch: pa.RecordBatch, row: int) -> StretchedTexts:
-    return StretchedTexts(*(np.asarray(batch[c][row].values, np.int64) for c in ("codes", "offsets", "links", "numbers")))
+    return StretchedTexts(*(np.frombuffer(batch[c][row].as_buffer(), kind).astype(np.int64) for c, kind in KINDS.items()))
 
 
 def count_pairs(groups: DataFrame) -> DataFrame:
