@@ -128,6 +128,9 @@ class TokenPair:
             if s.endswith(" ") or MARK in s:
                 yield s, self._alone(s)
 
+    def forget(self) -> None:
+        self.memory, self.old = {}, {}
+
     def ids(self, strings: pa.Array) -> tuple[list[bytes], list[bytes], np.ndarray]:
         """Of distinct stretches: both sides' ids as little-endian u32, and whether the bytes agree."""
         strings = strings.to_pylist()
@@ -333,7 +336,9 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in held]
                 packed = [pa.array([getattr(texts, c).astype(kind).tobytes()], pa.binary()) for c, kind in KINDS.items()]
                 yield pa.RecordBatch.from_arrays([*lists, *packed], list(GROUP_COLUMNS))
-        pa.default_memory_pool().release_unused()  # the worker stays, for other tasks
+        # The worker stays, for other tasks.
+        pair.forget()
+        pa.default_memory_pool().release_unused()
 
     chosen = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return chosen.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in GROUP_COLUMNS.items()))
