@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from paracorpus.functions import text as T
 from paracorpus.operators.positions import with_position
@@ -31,6 +33,16 @@ def fit_vocab(df: DataFrame, text: str = "text", min_count: int = 1) -> DataFram
     return numbered.select("word", "count", (F.col("word_id") + 1).cast("int").alias("word_id"))
 
 
+@F.arrow_udf(t.ArrayType(t.IntegerType()))
+def _put(labels: pa.Array, at: pa.Array, ids: pa.Array) -> pa.Array:
+    """Each row's labels with `ids` at the places `at`; one pass, whatever the length of a row."""
+    sizes, put = (np.asarray(x.value_lengths().fill_null(0), np.int64) for x in (labels, at))
+    offsets = np.append(0, np.cumsum(sizes))
+    values = np.array(labels.flatten(), np.int32)
+    values[np.repeat(offsets[:-1], put) + np.asarray(at.flatten(), np.int64)] = np.asarray(ids.flatten(), np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+
 def encode_labels(
     df: DataFrame,
     vocab: DataFrame,
@@ -61,17 +73,20 @@ def encode_labels(
     rest = entries.where(~in_head)
     if rest.isEmpty():
         return found.select(id_col, "labels")
-    # The first left-over word of a row, or a null for none, carries the labels of the row.
+    # The first left-over word of a row, or a null for none, carries the labels of the row; the others must not, as
+    # they would be copied for each word.
     at = F.filter(F.sequence(F.lit(0), F.size("words")), lambda i: F.get("labels", i) == UNKNOWN)
-    left_over = F.transform(at, lambda i: F.struct(i.alias("at"), F.get("words", i).alias("word")))
-    numbered = found.withColumn("row", F.monotonically_increasing_id())
-    tokens = numbered.select("row", id_col, "labels", F.posexplode_outer(left_over).alias("nth", "token")).select(
-        "row", id_col, F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("labels")).alias("labels"), "token.at", "token.word"
+    at = F.when(F.size(at) > 0, at).otherwise(F.array(F.lit(None).cast("int")))
+    left_over = F.transform(
+        at, lambda i, nth: F.struct(i.alias("at"), F.get("words", i).alias("word"), F.when(nth == 0, F.col("labels")).alias("labels"))
     )
+    numbered = found.withColumn("row", F.monotonically_increasing_id())
+    tokens = numbered.select("row", id_col, F.explode(left_over).alias("token")).select("row", id_col, "token.labels", "token.at", "token.word")
+    # collect_list keeps the one array there is; a maximum would copy it at each word.
     coded = tokens.join(rest, "word", "left")
     put = F.when(F.col("word_id").isNotNull(), F.struct("at", "word_id"))
     return (
         coded.groupBy("row")
-        .agg(F.first(id_col).alias(id_col), F.max("labels").alias("labels"), F.map_from_entries(F.collect_list(put)).alias("put"))
-        .select(id_col, F.transform("labels", lambda x, i: F.coalesce(F.element_at("put", i), x).cast("int")).alias("labels"))
+        .agg(F.first(id_col).alias(id_col), F.get(F.collect_list("labels"), F.lit(0)).alias("labels"), F.collect_list(put).alias("put"))
+        .select(id_col, _put("labels", "put.at", "put.word_id").alias("labels"))
     )
