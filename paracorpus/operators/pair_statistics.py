@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ ARROW_COLUMNS = [
 # Rows of one Arrow batch are counted in slices of about this many characters, which keeps
 # the hash tables in the cache. A longer single text makes a slice of its own.
 SLICE_CHARS = 128_000
+# So many characters of a batch become Python strings and words at once.
+PIECE_CHARS = 2_000_000
 ASCII_PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -121,19 +124,19 @@ def _chrf_rows(hyps, refs):
 
 
 def _edit_rows(hyps, refs, kinds):
-    by_word = [t.split() for t in hyps], [t.split() for t in refs]
-    return [
-        (kind, 0, sum(edit_distances(h, r)), sum(map(len, h)), sum(map(len, r)), 0.0)
-        for kind, h, r in (("word_edit", *by_word), ("char_edit", hyps, refs))
-        if kind in kinds
-    ]
+    rows = []
+    for kind in ("word_edit", "char_edit"):
+        if kind in kinds:
+            h, r = ([t.split() for t in hyps], [t.split() for t in refs]) if kind == "word_edit" else (hyps, refs)
+            rows.append((kind, 0, sum(edit_distances(h, r)), sum(map(len, h)), sum(map(len, r)), 0.0))
+    return rows
 
 
-def _slices(batch: pa.RecordBatch):
-    size = np.cumsum([len(h) + len(r) for h, r in zip(batch["hyp"].to_pylist(), batch["ref"].to_pylist())])
+def _slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS):
+    size = np.cumsum(pc.add(pc.utf8_length(batch["hyp"]), pc.utf8_length(batch["ref"])).to_numpy(zero_copy_only=False).astype(np.int64))
     if not len(size):
         return
-    part = size // SLICE_CHARS
+    part = size // chars
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(size)]
     for lo, hi in zip(edges, edges[1:]):
         if hi > lo:
@@ -146,7 +149,9 @@ def _rows(batch: pa.RecordBatch, parts) -> Iterator[tuple]:
     if "overlap" in parts:
         share = [s for s in batch["share"].to_pylist() if s is not None]
         yield ("overlap", 0, len(share), 0, 0, float(sum(share)))
-    yield from _edit_rows(batch["hyp"].to_pylist(), batch["ref"].to_pylist(), parts)
+    if "word_edit" in parts or "char_edit" in parts:
+        for piece in _slices(batch, PIECE_CHARS):
+            yield from _edit_rows(piece["hyp"].to_pylist(), piece["ref"].to_pylist(), parts)
     for piece in _slices(batch):
         if "ngrams" in parts:
             yield from _ngram_rows(

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -152,3 +154,18 @@ def test_length_stats(spark):
     row = E.length_stats(frame(spark, [("a b", "a b c d"), ("a", "a b")])).first()
     assert tuple(row) == (1.5, 3.0, 0.5)
     assert E.length_stats(frame(spark, []).limit(0)).first().length_ratio is None
+
+
+@pytest.mark.parametrize("parts", [("ngrams",), ("chars",), ("word_edit", "char_edit")])
+def test_memory_of_a_batch_is_that_of_a_piece(parts):
+    """All words of an Arrow batch were Python strings at once, whatever was asked."""
+    texts = [" ".join(f"{(i * j) % 997}" for j in range(400)) for i in range(2000)]
+    column = pa.array(texts)
+    batch = pa.RecordBatch.from_arrays([column] * 4, ["hyp", "ref", "hyp_tokens", "ref_tokens"])
+    del texts
+    tracemalloc.start()
+    rows = list(PS._rows(batch, parts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(r[2] for r in rows if r[0] == "rows") == 2000
+    assert peak < 60_000_000
