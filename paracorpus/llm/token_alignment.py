@@ -21,11 +21,11 @@ from paracorpus.llm.marked_words import MARK, coded_pieces, piece_tokenizer, str
 from paracorpus.llm.merge_automaton import byte_symbols, groups_by_length
 
 #: Bytes of text whose distinct stretches are aligned at once; one longer text is a group of its own.
-GROUP_BYTES = 3_000_000
+GROUP_BYTES = 1_000_000
 #: Tokens of either side that are held as Python numbers at a time.
 WINDOW = 1 << 17
 #: Distinct stretches whose ids a worker remembers, and how many are encoded by one call.
-REMEMBERED, AT_ONCE = 100_000, 5_000
+REMEMBERED, AT_ONCE = 50_000, 5_000
 #: Ends that are compared first at a new shift.
 FIRST_STEP = 4
 #: Pairs of ids whose counts are sent to the tasks; others are joined.
@@ -318,6 +318,20 @@ GROUP_COLUMNS = {
 KINDS = {"codes": "<i4", "offsets": "<i4", "links": "<i4", "numbers": "<i8"}
 
 
+def _group_row(ids: pa.Array, strings: pa.Array, pair: TokenPair, names: GroupNames) -> pa.RecordBatch:
+    """One group of texts as a row. What it takes to make it goes before the next group begins."""
+    found = AlignedTexts(strings, pair)
+    texts = StretchedTexts(found.codes, found.offsets, found.links, found.numbers)
+    written = strings_of(names(found.a, found.b, found.found, found.groups), found.codes, found.offsets, "")
+    digests = [hashlib.sha256(t.as_buffer()[:-1]).hexdigest() if len(t.as_buffer()) else "" for t in written]
+    del written
+    sums = [texts.by_text(x) for x in (found.at_a, found.at_b, found.groups, found.links)]
+    held = [ids, *map(pa.array, sums), pa.array(digests, pa.string())]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in held]
+    packed = [pa.array([getattr(texts, c).astype(kind).tobytes()], pa.binary()) for c, kind in KINDS.items()]
+    return pa.RecordBatch.from_arrays([*lists, *packed], list(GROUP_COLUMNS))
+
+
 def aligned_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each group of texts (`GROUP_COLUMNS`): what is known of each text before pairs are counted, and its
     links by stretch. About half as large as the texts."""
@@ -327,15 +341,8 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
         names = GroupNames(pair)
         for batch in batches:
             for start, stop in groups_by_length(batch.column(1), GROUP_BYTES):
-                found = AlignedTexts(batch.column(1).slice(start, stop - start), pair)
-                texts = StretchedTexts(found.codes, found.offsets, found.links, found.numbers)
-                written = strings_of(names(found.a, found.b, found.found, found.groups), found.codes, found.offsets, "")
-                digests = [hashlib.sha256(t.as_buffer()[:-1]).hexdigest() if len(t.as_buffer()) else "" for t in written]
-                sums = [texts.by_text(x) for x in (found.at_a, found.at_b, found.groups, found.links)]
-                held = [batch.column(0).slice(start, stop - start), *map(pa.array, sums), pa.array(digests, pa.string())]
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in held]
-                packed = [pa.array([getattr(texts, c).astype(kind).tobytes()], pa.binary()) for c, kind in KINDS.items()]
-                yield pa.RecordBatch.from_arrays([*lists, *packed], list(GROUP_COLUMNS))
+                yield _group_row(*(c.slice(start, stop - start) for c in batch.columns), pair, names)
+                pa.default_memory_pool().release_unused()
         # The worker stays, for other tasks.
         pair.forget()
         pa.default_memory_pool().release_unused()
