@@ -314,3 +314,16 @@ def test_long_recordings_are_conformed_in_pieces(spark, tmp_path, piece):
         assert [x for r in parts for x in r.samples] == want.samples
         assert {(r.rate, r.n, r.channels_in, r.rate_in) for r in parts} == {(want.rate, want.n, want.channels_in, want.rate_in)}
         assert len(parts) == max(1, -(-want.n // piece)) and all(len(r.samples) <= piece for r in parts)
+
+
+def test_a_folder_is_made_once_and_empty_files_are_not_renamed(tmp_path, monkeypatch):
+    made, asked, renamed = set(), [], []
+    makedirs, replace = os.makedirs, os.replace
+    monkeypatch.setattr(os, "makedirs", lambda path, **k: asked.append(path) or makedirs(path, **k))
+    monkeypatch.setattr(os, "replace", lambda a, b: renamed.append(b) or replace(a, b))
+    for i in range(20):
+        folders.write_file(f"{tmp_path}/a/{i}", b"x" * i * 100_000, made)
+    folders.write_file(f"{tmp_path}/a/3", b"", made)  # once more, now empty
+    assert asked == [f"{tmp_path}/a"] and len(renamed) == 19
+    assert [os.path.getsize(f"{tmp_path}/a/{i}") for i in range(20)] == [0 if i == 3 else i * 100_000 for i in range(20)]
+    assert len(os.listdir(tmp_path / "a")) == 20

@@ -84,3 +84,17 @@ def test_same_text_and_join_path(spark):
     df = spark.createDataFrame([(" Yes ", "yes"), ("a", "b")], "a string, b string")
     assert [r[0] for r in df.select(T.same_text("a", "b")).collect()] == [True, False]
     assert df.select(T.join_path(F.lit("d"), "b")).first()[0] == "d/yes"
+
+
+def test_strip_and_stem_are_those_of_the_expressions(spark):
+    """Every white space at either end or inside; names with folders, dots, line ends and nothing in them."""
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [f"{s}a{s}b{s}{s}" for s in spaces] + ["".join(spaces), "", None, "a", "​ a ﻿", "\x1b a\x00"]
+    paths = ["/x.y/a.b.txt", "a", "a.", ".a", "..", "x/.a", "x/a/", "", None, "a\n", "x/a.t\n", "x/\n", "a b/c d.e f", "/", "é/ü.wav"]
+    rows = spark.createDataFrame([(t, None) for t in texts] + [(None, p) for p in paths], "text string, path string")
+    blank, name = T.WHITESPACE, r"([^/]+?)(\.[^./]*)?$"
+    old = F.regexp_replace(F.regexp_replace("text", f"^{blank}+", ""), blank + r"+\z", "")
+    got = rows.select(T.strip("text").alias("s"), old.alias("t"), T.stem("path").alias("p"), F.regexp_extract("path", name, 1).alias("q")).collect()
+    assert [r.s for r in got] == [r.t for r in got] == [t if t is None else t.strip() for t in texts] + [None] * len(paths)
+    assert [r.p for r in got] == [r.q for r in got]
+    assert "regexp_replace" not in rows.select(T.strip("text"))._jdf.queryExecution().toString()
