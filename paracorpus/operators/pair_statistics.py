@@ -169,6 +169,9 @@ def _counter(parts):
                 [pa.array(values, kind) for values, (_, kind) in zip(columns, ARROW_COLUMNS)],
                 names=[name for name, _ in ARROW_COLUMNS],
             )
+            # The worker stays; what the batch took goes back.
+            del batch, columns
+            pa.default_memory_pool().release_unused()
 
     return count
 

@@ -169,3 +169,11 @@ def test_memory_of_a_batch_is_that_of_a_piece(parts):
     tracemalloc.stop()
     assert sum(r[2] for r in rows if r[0] == "rows") == 2000
     assert peak < 60_000_000
+
+
+def test_a_worker_gives_back_what_a_batch_took(monkeypatch):
+    given, pool = [], PS.pa.default_memory_pool()
+    monkeypatch.setattr(PS.pa, "default_memory_pool", lambda: given.append(pool.bytes_allocated()) or pool)
+    batch = lambda: PS.pa.RecordBatch.from_pydict({"hyp": ["a b", "c"], "ref": ["a b", "d"]})
+    assert [b.num_rows for b in PS._counter(("chars", "char_edit"))(batch() for _ in range(3))] == [10, 10, 10]
+    assert len(given) == 3
