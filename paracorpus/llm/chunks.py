@@ -10,9 +10,17 @@ import pyarrow.compute as pc
 
 #: Distinct chunks that a task remembers; those that are not met again make room first.
 REMEMBERED = 250_000
+#: Signs that stand alone behind letters.
+SIGNS = ".,;:!?"
 
 
 def coded_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """`chunk_codes` with the chunks as Python strings."""
+    codes, offsets, chunks = chunk_codes(texts)
+    return codes, offsets, chunks.to_pylist()
+
+
+def chunk_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(codes, offsets, chunks): text i is chunks[c] for c in codes[offsets[i]:offsets[i + 1]].
 
     Chunks are what stands between runs of ASCII blanks, which no word of a white-space tokenizer
@@ -21,7 +29,34 @@ def coded_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
     coded = lists.flatten().dictionary_encode()
     offsets = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))))
-    return np.asarray(coded.indices, np.int64), offsets, coded.dictionary.to_pylist()
+    return np.asarray(coded.indices, np.int64), offsets, coded.dictionary
+
+
+def split_signs(chunks: pa.Array, is_word: Callable[[str], bool]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(parts, part, sign): chunk i is parts[part[i]] and behind it SIGNS[sign[i]], or nothing if sign[i] is -1.
+
+    A sign is split from letters alone (`is_word`, which is asked about what is not ASCII). ASCII letters become lower case,
+    so that a part stands for all chunks that differ in case or sign; other chunks are parts as they are.
+    """
+    chunks = chunks.cast(pa.large_string())
+    sign = np.full(len(chunks), -1)
+    for i, x in enumerate(SIGNS):
+        sign[np.asarray(pc.ends_with(chunks, x))] = i
+    bare = pc.ascii_rtrim(chunks, SIGNS)
+    gone = np.asarray(pc.binary_length(chunks), np.int64) - np.asarray(pc.binary_length(bare), np.int64)
+    plain = np.asarray(pc.ascii_is_alpha(bare)) & (gone <= 1)
+    words = pc.ascii_lower(bare.filter(pa.array(plain))).dictionary_encode()
+    parts, part = words.dictionary.to_pylist(), np.empty(len(chunks), np.int64)
+    part[plain] = np.asarray(words.indices, np.int64)
+    others = np.flatnonzero(~plain)
+    part[others] = len(parts) + np.arange(len(others))
+    for i, chunk in zip(others.tolist(), chunks.take(pa.array(others)).to_pylist()):
+        if sign[i] >= 0 and is_word(chunk[:-1]):
+            parts.append(chunk[:-1])
+        else:
+            parts.append(chunk)
+            sign[i] = -1
+    return parts, part, sign
 
 
 class ChunkMemory(dict):

@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paracorpus.llm.chunks import REMEMBERED, ChunkMemory, coded_chunks
+from paracorpus.llm.chunks import REMEMBERED, SIGNS, ChunkMemory, chunk_codes, coded_chunks, split_signs
 
 NEVER, ALWAYS = -1, 1 << 40
 #: Texts that are encoded together, by their total length; one longer text is a group of its own.
 GROUP_CHARS = 8_000_000
+#: Arcs that the transition table holds; those that were not asked for longest make room.
+ARCS = 1 << 18
 # White space as the tokenizer file's patterns mean it.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -42,7 +44,8 @@ class MergeAutomaton:
     (parent state, cut arc, time) when first asked for, and kept in the transition table.
 
     Each prefix of a word is accepted along one path only. `encode` therefore keeps one state per
-    place of the word and follows table entries; no merge is searched or applied to a word.
+    place of the word and follows table entries, long tokens first, until the word's end is reached; no merge is searched
+    or applied to a word.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "</w>") -> None:
@@ -53,12 +56,14 @@ class MergeAutomaton:
         self.cut: dict[tuple[int, int], int] = {}
         for time, (left, right) in enumerate(merges):
             self._add_gadget(time, vocab[left], vocab[right], vocab[left + right])
-        self.arc = functools.lru_cache(maxsize=1 << 20)(self._arc)
+        self.arc = functools.lru_cache(maxsize=ARCS)(self._arc)
         # Tokens that the merges ever give; a merge may always come too late for one.
         self.ids = {s: i for s, i in vocab.items() if self._stands(i)}
-        bare = [s.removesuffix(end) for s in self.ids]
-        #: What some token begins with, so a walk ends where no token can follow.
-        self.beginnings = {s[:n] for s in bare for n in range(1, len(s) + 1)}
+        #: The tokens that end a word, without the mark of the end.
+        self.last = {s.removesuffix(end): i for s, i in self.ids.items() if s.endswith(end)}
+        #: What some token begins with, so a walk ends where no token can follow, and the token that it is, or -1.
+        self.inner = {s[:n]: -1 for s in (x.removesuffix(end) for x in self.ids) for n in range(1, len(s) + 1)}
+        self.inner |= {s: i for s, i in self.ids.items() if s in self.inner}
 
     def _add_gadget(self, time: int, left: int, right: int, merged: int) -> None:
         self.parts[merged] = (left, right)
@@ -80,27 +85,36 @@ class MergeAutomaton:
 
     def encode(self, symbols: str) -> list[int]:
         """Token ids of one word, given as symbols; the last symbol carries the mark of the end."""
-        n, ids, arc, beginnings = len(symbols), self.ids, self.arc, self.beginnings
+        n, inner, last, arc = len(symbols), self.inner, self.last, self.arc
         if not n:
             return []
-        at: list[int | None] = [None] * (n + 1)
-        before = [0] * (n + 1)
-        for start in range(n):
-            state = at[start]
-            if start and state is None:
-                continue
-            for stop in range(start + 1, n + 1):
-                piece = symbols[start:stop]
-                if piece not in beginnings:
+        if symbols in last:
+            return [last[symbols]]
+        # Places reached so far (token, where it begins) and arcs still to be followed, the longest next.
+        found: dict[int, tuple[int, int]] = {}
+        ahead: list[tuple[int, int, int, int]] = []
+        start, state = 0, -1
+        while True:
+            for stop in range(start + 1, n):
+                token = inner.get(symbols[start:stop])
+                if token is None:
                     break
-                if at[stop] is None:
-                    token = ids.get(piece + self.end if stop == n else piece)
-                    if token is not None and (not start or arc(state, token) == ALWAYS):
-                        at[stop], before[stop] = token, start
-        path = []
-        while n:
-            path.append(at[n])
-            n = before[n]
+                if token >= 0:
+                    ahead.append((stop, token, start, state))
+            else:
+                token = last.get(symbols[start:])
+                if token is not None and (not start or arc(state, token) == ALWAYS):
+                    break
+            while True:
+                stop, token, begun, state = ahead.pop()
+                if stop not in found and (not begun or arc(state, token) == ALWAYS):
+                    break
+            found[stop] = token, begun
+            start, state = stop, token
+        path = [token]
+        while start:
+            token, start = found[start]
+            path.append(token)
         return path[::-1]
 
     def _stands(self, token: int) -> bool:
@@ -209,6 +223,16 @@ class WordTokenizer:
             self.known[word] = found
         return found
 
+    def letters(self, text: str) -> bool:
+        """Whether a string is letters alone once it is plain."""
+        return self.is_word(self.plain(text))
+
+    def describe(self, part: str) -> tuple[int, str, str]:
+        """(number of ids, the ids, the labels of their arcs), both with spaces between them. ASCII letters come in lower case
+        and are symbols as they are."""
+        ids = self.automaton.encode(part) if part.isascii() and part.isalpha() else self.encode_chunk(part)
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
     def decode(self, ids: list[int]) -> str:
         return self.automaton.decode(ids)
 
@@ -256,24 +280,25 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: digests of each text's ids and of the decoded ids.
 
-    What `encode_documents` gives, reduced inside the tasks: each distinct chunk's ids and arc labels
+    What `encode_documents` gives, reduced inside the tasks: each distinct word's ids and arc labels
     are written out once and joined for every text that has it. Nulls, empty texts and repeated
     rows as there; an empty text has 0 tokens and the digests of the empty string.
     """
 
-    def describe(tokenizer: WordTokenizer, chunk: str) -> tuple[int, str, str]:
-        ids = tokenizer.encode_chunk(chunk)
-        return len(ids), " ".join(map(str, ids)), tokenizer.decode(ids)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
-        memory = ChunkMemory(lambda fresh: [describe(tokenizer, c) for c in fresh])
+        memory = ChunkMemory(lambda fresh: [tokenizer.describe(c) for c in fresh])
+        signs = [*map(tokenizer.describe, SIGNS), (0, "", "")]
+        more = np.array([n for n, _, _ in signs], np.int64)
+        id_ends, label_ends = ([f" {x[i]}" if x[i] else "" for x in signs] for i in (1, 2))
         for batch in batches:
             for start, stop in groups_by_length(batch.column(1)):
-                codes, offsets, chunks = coded_chunks(batch.column(1).slice(start, stop - start))
-                known = memory.of(chunks)
-                sizes = np.array([n for n, _, _ in known], np.int64)
-                names, labels = [x for _, x, _ in known], [x for _, _, x in known]
+                codes, offsets, chunks = chunk_codes(batch.column(1).slice(start, stop - start))
+                strings, part, sign = split_signs(chunks, tokenizer.letters)
+                known = memory.of(strings)
+                sizes = np.array([n for n, _, _ in known], np.int64)[part] + more[sign]
+                both = list(zip(part.tolist(), sign.tolist()))
+                names, labels = [known[p][1] + id_ends[s] for p, s in both], [known[p][2] + label_ends[s] for p, s in both]
                 counts, ids, decoded = [], [], []
                 for a, b in zip(offsets, offsets[1:]):
                     parts = codes[a:b]

@@ -2,10 +2,13 @@
 
 import weakref
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from tokenizers import Tokenizer
 
-from paracorpus.llm import merge_automaton, token_alignment
+from paracorpus.llm import merge_automaton, token_alignment, token_records
+from paracorpus.llm.chunks import SIGNS, split_signs
 
 WORDS, PIECES, BYTES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"))
 
@@ -43,3 +46,28 @@ def test_a_group_is_gone_before_the_next_begins(spark, monkeypatch):
     token_alignment.aligned_groups(docs, BYTES, PIECES)
     assert len(list(docs.run(batches()))) == 3
     assert before == [[], [], []]
+
+
+def test_words_that_differ_in_case_or_sign_are_one_part():
+    chunks = ["Word", "word,", "WORD.", "word..", "É.", "É", "a1.", ".", "", "<|endoftext|>", "it's", "é!", "x"]
+    tokenizer = merge_automaton.word_tokenizer(WORDS)
+    parts, part, sign = split_signs(pa.array(chunks), tokenizer.letters)
+    assert len(set(part[:3].tolist())) == 1 and parts[part[0]] == "word"
+    assert [SIGNS[s] if s >= 0 else "" for s in sign] == ["", ",", ".", "", ".", "", "", "", "", "", "", "!", ""]
+    library, records = Tokenizer.from_file(WORDS), token_records.chunk_encoder(WORDS)
+    want = [library.encode(c, add_special_tokens=False).ids for c in chunks]
+    assert [np.frombuffer(x, "<u2").tolist() for x in records(chunks)] == want
+    split = [tokenizer.describe(parts[p]) for p in part.tolist()]
+    signs = [tokenizer.describe(SIGNS[s]) if s >= 0 else (0, "", "") for s in sign.tolist()]
+    assert [" ".join(filter(None, (a[1], b[1]))) for a, b in zip(split, signs)] == [" ".join(map(str, x)) for x in want]
+
+
+def test_a_walk_follows_long_tokens_first(monkeypatch):
+    tokenizer = merge_automaton.WordTokenizer(WORDS)
+    automaton, asked = tokenizer.automaton, []
+    arc = automaton.arc
+    monkeypatch.setattr(automaton, "arc", lambda state, token: asked.append(token) or arc(state, token))
+    library = Tokenizer.from_file(WORDS)
+    for word in ("the", "unbelievablynormalisation", "xqzjvkwp", "aaaaaaaaaaaaaaaa"):
+        assert automaton.encode(word) == library.encode(word, add_special_tokens=False).ids
+    assert len(asked) <= 80  # 163 when every place of these words was gone on from
