@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paracorpus.llm.chunks import ChunkMemory, coded_chunks
+from paracorpus.llm.chunks import SIGNS, ChunkMemory, chunk_codes, split_signs
 from paracorpus.llm.common import broadcast_if_small
 from paracorpus.llm.merge_automaton import groups_by_length, only_letters, plain
 from paracorpus.sources.folders import open_file
@@ -24,8 +24,8 @@ SHARD_CHARS = 12_000_000
 #: Fixed value: what is added to a rotated checksum, so that checksums of checksums stay sound.
 MASK = 0xA282EAD8
 END = b"\n"
-#: Signs that stand alone behind letters.
-SIGNS = ".,;:!?"
+#: Words that the library encodes by one call.
+AT_ONCE = 500
 #: Bytes before a payload: its length and the checksum of the length.
 HEAD = 12
 
@@ -83,37 +83,48 @@ class ChunkEncoder:
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
         self.cores = ChunkMemory(self.library)
         self.is_word, self.plain = only_letters(path), plain(path)
+        #: Which ids end a word.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
 
-    def library(self, texts: list[str]) -> list[np.ndarray]:
+    def letters(self, text: str) -> bool:
+        """Whether normalisation leaves letters alone, which are one word."""
+        return text.isalpha() if text.isascii() else self.is_word(self.plain(text))
+
+    def library(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if self.mark is not None and "<" not in t and t]
+        words = [i for i, t in enumerate(texts) if self.letters(t)]
+        for lo in range(0, len(words), AT_ONCE):
+            group = words[lo : lo + AT_ONCE]
+            (found,) = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in group])], add_special_tokens=False)
+            ids = np.array(found.ids, np.uint16)
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(group) and stops[-1] == len(ids):
+                data = ids.tobytes()
+                for i, a, b in zip(group, [0, *stops], stops):
+                    out[i] = data[2 * a : 2 * b]
+        plain = [i for i, t in enumerate(texts) if out[i] is None and self.mark is not None and "<" not in t and t]
         for lo in range(0, len(plain), 5000):
             group = plain[lo : lo + 5000]
             ids = np.array(self.tokenizer.encode(self.mark.join(texts[i] for i in group), add_special_tokens=False).ids, np.uint16)
             ends = np.flatnonzero(ids == self.mark_id)
             for i, a, b in zip(group, np.concatenate(([0], ends + 1)), np.concatenate((ends, [len(ids)]))):
-                out[i] = ids[a:b]
+                out[i] = ids[a:b].tobytes()
         rest = [i for i, found in enumerate(out) if found is None]
         for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint16)
-        return [x.tobytes() for x in out]
+            out[i] = np.array(e.ids, np.uint16).tobytes()
+        return out
 
-    def __call__(self, chunks: list[str]) -> list[bytes]:
+    def __call__(self, chunks: pa.Array | list[str]) -> list[bytes]:
         """Letters with one full stop, comma or the like are encoded as the letters and the sign,
         which the tokenizer splits too; all other chunks as they are. What counts are the characters after
         normalisation, which may end a letter with a mark that goes with the sign."""
-        parts = []
-        for c in chunks:
-            core, sign = (c[:-1], c[-1]) if c and c[-1] in SIGNS else (c, "")
-            if core.isascii() and core.isalpha():
-                parts.append((core.lower(), sign))
-            elif sign and self.is_word(self.plain(core)):
-                parts.append((core, sign))
-            else:
-                parts.append((c, ""))
-        cores = self.cores.of([core for core, _ in parts])
-        signs = dict(zip(SIGNS, self.cores.of(list(SIGNS)))) | {"": b""}
-        return [a + signs[sign] for a, (_, sign) in zip(cores, parts)]
+        chunks = chunks if isinstance(chunks, pa.Array) else pa.array(chunks, pa.large_string())
+        parts, part, sign = split_signs(chunks, self.letters)
+        found = self.cores.of(parts)
+        signs = [*self.cores.of(list(SIGNS)), b""]
+        return [found[p] + signs[s] for p, s in zip(part.tolist(), sign.tolist())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -124,7 +135,7 @@ def chunk_encoder(path: str) -> ChunkEncoder:
 
 def encode_texts(texts: pa.Array, encoder: ChunkEncoder) -> list[bytes]:
     """The ids of each whole text as little-endian u16."""
-    codes, offsets, chunks = coded_chunks(texts)
+    codes, offsets, chunks = chunk_codes(texts)
     known = encoder(chunks)
     lengths = np.array([len(x) // 2 for x in known], np.int64)
     ids = np.frombuffer(b"".join(known), "<u2")

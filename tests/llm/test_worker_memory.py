@@ -62,6 +62,22 @@ def test_words_that_differ_in_case_or_sign_are_one_part():
     assert [" ".join(filter(None, (a[1], b[1]))) for a, b in zip(split, signs)] == [" ".join(map(str, x)) for x in want]
 
 
+def test_words_are_encoded_many_by_a_call_without_marks(monkeypatch):
+    encoder = token_records.ChunkEncoder(WORDS)
+    monkeypatch.setattr(encoder, "mark", None)  # all that is not letters would go one by one
+    asked = []
+
+    class Watched:
+        def __getattr__(self, name):
+            return lambda texts, **more: asked.append(texts) or getattr(library, name)(texts, **more)
+
+    library, encoder.tokenizer = encoder.tokenizer, Watched()
+    words = ["alpha", "Beta", "gämma", "ДЕЛЬТА"]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.library(words)] == want
+    assert asked[0] == ["alpha Beta gämma ДЕЛЬТА"] and not any(asked[1:])
+
+
 def test_a_walk_follows_long_tokens_first(monkeypatch):
     tokenizer = merge_automaton.WordTokenizer(WORDS)
     automaton, asked = tokenizer.automaton, []
