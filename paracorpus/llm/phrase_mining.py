@@ -20,41 +20,62 @@ from paracorpus.llm.shingles import mix
 #: fraction of the least count would make every phrase of a shard a candidate.
 SHARDS = 4
 #: Bytes of text that are counted at once in a task; one longer text is a group of its own.
-GROUP_BYTES = 1_200_000
+GROUP_BYTES = 2_000_000
 #: Parts of a language that are ranked on their own before the best of each are ranked together.
 PARTS = 64
 #: How much a longer phrase must have of a shorter one's count, in percent, to stand for it.
 ABSORBED = 50
 # Fixed values of the contract: signs that end a piece, and blanks between words.
 SIGNS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+_LOWER = bytes(b + 32 if ord("A") <= b <= ord("Z") else b for b in range(256))
+_KINDS = bytes(1 if b in BLANKS else 2 if b in SIGNS else 0 for b in range(256))
+#: Bytes of a word that are hashed eight at a time for all words at once; longer ones go one by one.
+LONG_WORD = 64
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def word_hashes(names: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each name, of its bytes and their number."""
+    data, offsets = text_bytes(names.cast(pa.large_string()))
+    sizes = np.diff(offsets)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    # Eight bytes from every place on.
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    hashes = mix(sizes.astype(np.uint64) + _LEFT)
+    for lane in range(0, min(LONG_WORD, int(sizes.max(initial=0))), 8):
+        at = np.flatnonzero(sizes > lane)
+        spare = np.maximum(8 - (sizes[at] - lane), 0).astype(np.uint64) * np.uint64(8)
+        part = eight[offsets[:-1][at] + lane] << spare
+        hashes[at] = mix(hashes[at] * _LEFT + part * _RIGHT)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes())
+    return hashes
+
+
 class Words:
     """The words of some texts. `code`: each word's place in `names`; `piece`: a number that changes with
     the piece and the text; `text`: the text it stands in; `hashes`: of the names."""
 
     def __init__(self, texts: pa.Array) -> None:
         data, offsets = text_bytes(texts.cast(pa.large_string()).fill_null(""))
-        data = _LOWER[data]
-        kinds = np.zeros(256, np.uint8)
-        kinds[list(BLANKS)], kinds[list(SIGNS)] = 1, 2
-        kind = kinds[data]
+        data = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
+        kind = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
         inside = kind == 0
-        begins = inside.copy()
+        # Words begin and end where blanks and signs do, and where texts do.
+        begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
-        begins[offsets[:-1][offsets[1:] > offsets[:-1]]] |= inside[offsets[:-1][offsets[1:] > offsets[:-1]]]
+        ends[:-1] &= ~inside[1:]
+        some = offsets[1:] > offsets[:-1]
+        first, last = offsets[:-1][some], offsets[1:][some] - 1
+        begins[first], ends[last] = inside[first], inside[last]
         starts = np.flatnonzero(begins)
         # Words end to end, without what stands between them.
-        ends = np.append(0, np.cumsum(inside))
-        held = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(ends[starts], ends[-1])), pa.py_buffer(data[inside]))
-        coded = held.dictionary_encode()
+        held = np.append(0, np.cumsum(np.flatnonzero(ends) + 1 - starts))
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(held), pa.py_buffer(data[inside])).dictionary_encode()
         self.code, self.names = np.asarray(coded.indices, np.int64), coded.dictionary.cast(pa.string())
-        self.text = np.searchsorted(offsets, starts, "right") - 1
-        self.piece = np.cumsum(kind == 2)[starts] + self.text
-        self.hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in self.names.to_pylist()], np.uint64)
+        self.text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets)))
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), starts) + self.text
+        self.hashes = word_hashes(coded.dictionary)
 
     def follows(self) -> np.ndarray:
         """Whether the next word stands in the same piece, for each but the last word. Pieces are numbered

@@ -203,3 +203,14 @@ def test_every_frequent_phrase_is_a_candidate_whatever_the_shards(spark):
     for shards in (2, 7):
         _, found = phrase_mining.frequent_phrases(docs, shards=shards)
         assert {(r.lang, r.phrase): r.a for r in found.collect()} == {k: n for k, n in counts.items() if n >= 10}
+
+
+def test_word_hashes_take_all_words_at_once(monkeypatch):
+    monkeypatch.setattr(phrase_mining.xxhash, "xxh3_64_intdigest", None)  # no word up to LONG_WORD bytes goes one by one
+    names = ["a", "b", "aa", "a\0", "abcdefgh", "abcdefghi", "abcdefgh\0", "é", "x" * 64, "x" * 63, ""]
+    hashes = phrase_mining.word_hashes(pa.array(names))
+    assert len(set(hashes.tolist())) == len(names)
+    assert (phrase_mining.word_hashes(pa.array(names[::-1]))[::-1] == hashes).all()
+    monkeypatch.undo()
+    both = phrase_mining.word_hashes(pa.array(["y" * 65, "y" * 66, "y" * 65]))
+    assert both[0] == both[2] != both[1]
