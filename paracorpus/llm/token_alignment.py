@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,7 @@ FIRST_STEP = 4
 MOST_PAIRS = 1_000_000
 #: A pair's number is its A id times this, and its B id.
 SHIFT = 1 << 24
+CODEC = "zstd"
 # UTF-8 of the white space beyond ASCII, which the byte-level pattern knows.
 WIDE_BLANKS = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -105,7 +107,7 @@ class TokenPair:
         data, sides = whole.encode(), []
         stops = np.cumsum([len(s.encode()) for s in strings])  # of one string at least
         for ids, table, sizes in (
-            (self.a.encode(whole, add_special_tokens=False).ids, self.a_bytes, self.a_sizes),
+            (self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.a_bytes, self.a_sizes),
             (self.b.encode(whole[1:]), self.b_bytes, self.b_sizes),
         ):
             if b"".join([table[i] for i in ids]) != data:
@@ -314,10 +316,22 @@ GROUP_COLUMNS = {
     "id": "array<long>", "n_a": "array<long>", "n_b": "array<long>", "n_groups": "array<long>", "n_links": "array<long>",
     "groups_sha256": "array<string>", "codes": "binary", "offsets": "binary", "links": "binary", "numbers": "binary",
 }
-#: How the binary columns hold their numbers: as bytes Spark moves them whole, however many there are.
+#: How the binary columns hold their numbers: as compressed bytes, which Spark moves whole, however many there are. All rows of
+#: a file may stand in one batch, in the memory of the JVM.
 KINDS = {"codes": "<i4", "offsets": "<i4", "links": "<i4", "numbers": "<i8"}
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """The number of bytes as i64, and the bytes compressed."""
+    data = numbers.tobytes()
+    return struct.pack("<q", len(data)) + pa.compress(data, CODEC, asbytes=True)
+
+
+def _unpacked(held: pa.Buffer, kind: str) -> np.ndarray:
+    (size,) = struct.unpack("<q", held.slice(0, 8))
+    return np.frombuffer(pa.decompress(held.slice(8), size, CODEC), kind)
+
+
 def _group_row(ids: pa.Array, strings: pa.Array, pair: TokenPair, names: GroupNames) -> pa.RecordBatch:
     """One group of texts as a row. What it takes to make it goes before the next group begins."""
     found = AlignedTexts(strings, pair)
@@ -328,13 +342,13 @@ def _group_row(ids: pa.Array, strings: pa.Array, pair: TokenPair, names: GroupNa
     sums = [texts.by_text(x) for x in (found.at_a, found.at_b, found.groups, found.links)]
     held = [ids, *map(pa.array, sums), pa.array(digests, pa.string())]
     lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in held]
-    packed = [pa.array([getattr(texts, c).astype(kind).tobytes()], pa.binary()) for c, kind in KINDS.items()]
+    packed = [pa.array([_packed(getattr(texts, c).astype(kind))], pa.binary()) for c, kind in KINDS.items()]
     return pa.RecordBatch.from_arrays([*lists, *packed], list(GROUP_COLUMNS))
 
 
 def aligned_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each group of texts (`GROUP_COLUMNS`): what is known of each text before pairs are counted, and its
-    links by stretch. About half as large as the texts."""
+    links by stretch, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = token_pair(a_path, b_path)
@@ -352,7 +366,7 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
 
 
 def _stretched(batch: pa.RecordBatch, row: int) -> StretchedTexts:
-    return StretchedTexts(*(np.frombuffer(batch[c][row].as_buffer(), kind).astype(np.int64) for c, kind in KINDS.items()))
+    return StretchedTexts(*(_unpacked(batch[c][row].as_buffer(), kind).astype(np.int64) for c, kind in KINDS.items()))
 
 
 def count_pairs(groups: DataFrame) -> DataFrame:

@@ -87,3 +87,13 @@ def test_a_walk_follows_long_tokens_first(monkeypatch):
     for word in ("the", "unbelievablynormalisation", "xqzjvkwp", "aaaaaaaaaaaaaaaa"):
         assert automaton.encode(word) == library.encode(word, add_special_tokens=False).ids
     assert len(asked) <= 80  # 163 when every place of these words was gone on from
+
+
+def test_groups_of_aligned_texts_are_written_compressed():
+    text = "the same few words again and again, " * 2000
+    docs = Taken()
+    token_alignment.aligned_groups(docs, BYTES, PIECES)
+    (row,) = docs.run(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["id", "text"])]))
+    back = token_alignment._stretched(row, 0)
+    assert len(back.codes) == 14_000 and back.offsets.tolist() == [0, 14_000]
+    assert row.column("codes").nbytes < 4 * 14_000 / 10  # four bytes a stretch before
