@@ -20,7 +20,7 @@ from paracorpus.llm.shingles import mix
 #: fraction of the least count would make every phrase of a shard a candidate.
 SHARDS = 4
 #: Bytes of text that are counted at once in a task; one longer text is a group of its own.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 800_000
 #: Parts of a language that are ranked on their own before the best of each are ranked together.
 PARTS = 64
 #: How much a longer phrase must have of a shorter one's count, in percent, to stand for it.
