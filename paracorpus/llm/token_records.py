@@ -82,7 +82,9 @@ class ChunkEncoder:
         #: A special token between words ends them and shows where they end, so one call takes many.
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
         self.cores = ChunkMemory(self.library)
-        self.is_word, self.plain = only_letters(path), plain(path)
+        is_word, normal = only_letters(path), plain(path)
+        # A word is asked about when its sign is split from it, and again when it is encoded.
+        self.wide_letters = functools.lru_cache(maxsize=1 << 16)(lambda text: is_word(normal(text)))
         #: Which ids end a word.
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
@@ -90,7 +92,7 @@ class ChunkEncoder:
 
     def letters(self, text: str) -> bool:
         """Whether normalisation leaves letters alone, which are one word."""
-        return text.isalpha() if text.isascii() else self.is_word(self.plain(text))
+        return text.isalpha() if text.isascii() else self.wide_letters(text)
 
     def library(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
