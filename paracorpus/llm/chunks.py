@@ -32,31 +32,29 @@ def chunk_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.asarray(coded.indices, np.int64), offsets, coded.dictionary
 
 
-def split_signs(chunks: pa.Array, is_word: Callable[[str], bool]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def signs_apart(chunks: pa.Array, are_words: Callable[[list[str]], Sequence[bool]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(parts, part, sign): chunk i is parts[part[i]] and behind it SIGNS[sign[i]], or nothing if sign[i] is -1.
 
-    A sign is split from letters alone (`is_word`, which is asked about what is not ASCII). ASCII letters become lower case,
+    A sign is split from letters alone (`are_words`, which is asked about what is not ASCII). ASCII letters become lower case,
     so that a part stands for all chunks that differ in case or sign; other chunks are parts as they are.
     """
     chunks = chunks.cast(pa.large_string())
-    sign = np.full(len(chunks), -1)
-    for i, x in enumerate(SIGNS):
-        sign[np.asarray(pc.ends_with(chunks, x))] = i
     bare = pc.ascii_rtrim(chunks, SIGNS)
     gone = np.asarray(pc.binary_length(chunks), np.int64) - np.asarray(pc.binary_length(bare), np.int64)
     plain = np.asarray(pc.ascii_is_alpha(bare)) & (gone <= 1)
-    words = pc.ascii_lower(bare.filter(pa.array(plain))).dictionary_encode()
-    parts, part = words.dictionary.to_pylist(), np.empty(len(chunks), np.int64)
-    part[plain] = np.asarray(words.indices, np.int64)
-    others = np.flatnonzero(~plain)
-    part[others] = len(parts) + np.arange(len(others))
-    for i, chunk in zip(others.tolist(), chunks.take(pa.array(others)).to_pylist()):
-        if sign[i] >= 0 and is_word(chunk[:-1]):
-            parts.append(chunk[:-1])
-        else:
-            parts.append(chunk)
-            sign[i] = -1
-    return parts, part, sign
+    apart = plain & (gone == 1)
+    wide = np.flatnonzero(~plain & (gone == 1) & ~np.asarray(pc.string_is_ascii(bare)))
+    apart[wide] = are_words(bare.take(pa.array(wide)).to_pylist())
+    parts = pc.if_else(pa.array(plain), pc.ascii_lower(bare), pc.if_else(pa.array(apart), bare, chunks)).dictionary_encode()
+    sign = np.full(len(chunks), -1)
+    sign[apart] = np.asarray(pc.index_in(pc.utf8_slice_codeunits(chunks.filter(pa.array(apart)), -1), value_set=pa.array(list(SIGNS), pa.large_string())))
+    return parts.dictionary, np.asarray(parts.indices, np.int64), sign
+
+
+def split_signs(chunks: pa.Array, is_word: Callable[[str], bool]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """`signs_apart` with the parts as Python strings, asking about one string at a time."""
+    parts, part, sign = signs_apart(chunks, lambda texts: [is_word(t) for t in texts])
+    return parts.to_pylist(), part, sign
 
 
 class ChunkMemory(dict):
@@ -80,3 +78,40 @@ class ChunkMemory(dict):
         fresh = list(new.difference(self.old))
         self.update(zip(fresh, self.encode(fresh)))
         return list(map(self.__getitem__, chunks))
+
+
+class IdMemory:
+    """Distinct parts and their ids, as columns: a part costs some thirty bytes and no object.
+
+    `encode` gives (starts, sizes, ids) of an array of parts. When more than `most` are held, only those of the last call stay.
+    """
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 4 * REMEMBERED) -> None:
+        self.encode, self.most = encode, most
+        self.names = pa.array([], pa.large_string())
+        self.starts = self.sizes = np.array([], np.int64)
+        self.ids = np.array([], np.uint16)
+
+    def of(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes, ids): the ids of distinct part i are ids[starts[i] : starts[i] + sizes[i]]."""
+        at = np.array(pc.index_in(parts, value_set=self.names).fill_null(-1), np.int64)
+        fresh = at < 0
+        if fresh.any():
+            names = parts.filter(pa.array(fresh))
+            starts, sizes, ids = self.encode(names)
+            at[fresh] = len(self.names) + np.arange(len(names))
+            self.names = pa.concat_arrays([self.names, names])
+            self.starts, self.sizes = np.append(self.starts, len(self.ids) + starts), np.append(self.sizes, sizes)
+            self.ids = np.append(self.ids, ids)
+        found = self.starts[at], self.sizes[at], self.ids
+        if len(self.names) > self.most:
+            self.names, self.sizes = parts, found[1]
+            self.ids = self.ids[ranges(*found[:2])]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        return found
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers starts[i] ... starts[i] + sizes[i] - 1, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)

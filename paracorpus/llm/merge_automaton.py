@@ -127,11 +127,18 @@ class MergeAutomaton:
         return " ".join(self.labels[i] for i in ids if i in self.labels)
 
 
+@functools.lru_cache(maxsize=2)
+def file_parts(path: str) -> tuple:
+    """The file's normaliser and splitter, without its vocabulary."""
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer.normalizer, tokenizer.pre_tokenizer
+
+
 @functools.lru_cache(maxsize=2)
 def plain(path: str) -> Callable[[str], str]:
     """Composed characters in lower case, by the tables of the file's own normaliser: they may be of
     another version than those here."""
-    normalizer = Tokenizer.from_file(path).normalizer
+    normalizer, _ = file_parts(path)
     return lambda text: text.lower() if text.isascii() else normalizer.normalize_str(text)
 
 
@@ -154,10 +161,10 @@ def _ranges(points: list[int]) -> str:
 def library_classes(path: str) -> tuple[str, str]:
     """Letters and numbers as the library's tables have them, which may be of another version than those here:
     its splitter is asked about each code point that any table calls a letter or a number."""
-    splitter = Tokenizer.from_file(path).pre_tokenizer
+    _, splitter = file_parts(path)
     letters = [c for lo, hi in ALWAYS_LETTERS for c in range(lo, hi + 1)]
-    sure, either = set(letters), regex.compile(r"[\p{L}\p{N}]")
-    asked = [c for c in range(0x110000) if c not in sure and not 0xD800 <= c < 0xE000 and either.match(chr(c))]
+    sure, points = set(letters), "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    asked = [c for c in map(ord, regex.findall(r"[\p{L}\p{N}]", points)) if c not in sure]
     # A letter goes on with the one before it, a number stands alone, other signs go on with the one behind.
     begins = {start: stop for _, (start, stop) in splitter.pre_tokenize_str("".join(f"a{chr(c)}! " for c in asked))}
     letters += [c for i, c in enumerate(asked) if 4 * i + 1 not in begins]
@@ -172,6 +179,22 @@ def only_letters(path: str) -> Callable[[str], bool]:
     return lambda text: bool(word(text))
 
 
+@functools.lru_cache(maxsize=2)
+def all_letters(path: str) -> Callable[[list[str]], list[bool]]:
+    """`only_letters` of the plain forms of strings, which are made by few calls: no sign joins a bar or goes over one."""
+    is_word, one, (normalizer, _) = only_letters(path), plain(path), file_parts(path)
+
+    def ask(texts: list[str]) -> list[bool]:
+        out: list[bool] = []
+        for lo in range(0, len(texts), 500):
+            some = texts[lo : lo + 500]
+            normal = normalizer.normalize_str("|".join(some)).split("|")
+            out += map(is_word, normal if len(normal) == len(some) else map(one, some))
+        return out
+
+    return ask
+
+
 class WordTokenizer:
     """A tokenizer file with word ends: special tokens, normal form, lower case, words, automaton."""
 

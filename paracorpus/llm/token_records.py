@@ -9,14 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paracorpus.llm.chunks import SIGNS, ChunkMemory, chunk_codes, split_signs
+from paracorpus.llm.chunks import SIGNS, IdMemory, chunk_codes, ranges, signs_apart
 from paracorpus.llm.common import broadcast_if_small
-from paracorpus.llm.merge_automaton import groups_by_length, only_letters, plain
+from paracorpus.llm.merge_automaton import all_letters, groups_by_length
 from paracorpus.sources.folders import open_file
 
 #: Characters of text per file: the ids of a file are read into memory at once.
@@ -81,52 +82,74 @@ class ChunkEncoder:
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         #: A special token between words ends them and shows where they end, so one call takes many.
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
-        self.cores = ChunkMemory(self.library)
-        is_word, normal = only_letters(path), plain(path)
-        # A word is asked about when its sign is split from it, and again when it is encoded.
-        self.wide_letters = functools.lru_cache(maxsize=1 << 16)(lambda text: is_word(normal(text)))
+        self.cores = IdMemory(self._encode)
+        self.wide_letters = all_letters(path)
         #: Which ids end a word.
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
 
-    def letters(self, text: str) -> bool:
-        """Whether normalisation leaves letters alone, which are one word."""
-        return text.isalpha() if text.isascii() else self.wide_letters(text)
+        self.signs = self._encode(pa.array([*SIGNS, ""], pa.large_string()))
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        words = [i for i, t in enumerate(texts) if self.letters(t)]
+    def _words(self, texts: pa.Array) -> np.ndarray:
+        """Which texts normalisation leaves letters alone, which are one word."""
+        words = np.array(pc.ascii_is_alpha(texts))
+        wide = np.flatnonzero(~np.asarray(pc.string_is_ascii(texts)))
+        words[wide] = self.wide_letters(texts.take(pa.array(wide)).to_pylist())
+        return words
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes, ids): the ids of text i are ids[starts[i] : starts[i] + sizes[i]]."""
+        sizes, order, ids, strings = np.full(len(texts), -1), [], [], texts.to_pylist()
+
+        def add(group: list[int] | np.ndarray, found: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+            sizes[group] = stops - starts
+            order.extend(group)
+            ids.append(found if len(starts) == 1 or (starts[1:] == stops[:-1]).all() else found[ranges(starts, stops - starts)])
+
+        def ask(text: str) -> np.ndarray:
+            (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            return np.array(found.ids, np.uint16)
+
+        words = np.flatnonzero(self._words(texts)).tolist()
         for lo in range(0, len(words), AT_ONCE):
             group = words[lo : lo + AT_ONCE]
-            (found,) = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in group])], add_special_tokens=False)
-            ids = np.array(found.ids, np.uint16)
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(group) and stops[-1] == len(ids):
-                data = ids.tobytes()
-                for i, a, b in zip(group, [0, *stops], stops):
-                    out[i] = data[2 * a : 2 * b]
-        plain = [i for i, t in enumerate(texts) if out[i] is None and self.mark is not None and "<" not in t and t]
-        for lo in range(0, len(plain), 5000):
-            group = plain[lo : lo + 5000]
-            ids = np.array(self.tokenizer.encode(self.mark.join(texts[i] for i in group), add_special_tokens=False).ids, np.uint16)
-            ends = np.flatnonzero(ids == self.mark_id)
-            for i, a, b in zip(group, np.concatenate(([0], ends + 1)), np.concatenate((ends, [len(ids)]))):
-                out[i] = ids[a:b].tobytes()
-        rest = [i for i, found in enumerate(out) if found is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint16).tobytes()
-        return out
-
-    def __call__(self, chunks: pa.Array | list[str]) -> list[bytes]:
-        """Letters with one full stop, comma or the like are encoded as the letters and the sign,
+            found = ask(" ".join([strings[i] for i in group]))
+            stops = np.flatnonzero(self.ends[found]) + 1
+            if len(stops) == len(group) and stops[-1] == len(found):
+                add(group, found, np.append(0, stops[:-1]), stops)
+        plain = [i for i in np.flatnonzero(sizes < 0).tolist() if self.mark is not None and "<" not in strings[i] and strings[i]]
+        for lo in range(0, len(plain), AT_ONCE):
+            group = plain[lo : lo + AT_ONCE]
+            found = ask(self.mark.join([strings[i] for i in group]))
+            marks = np.flatnonzero(found == self.mark_id)
+            add(group, found, np.append(0, marks + 1), np.append(marks, len(found)))
+        for i in np.flatnonzero(sizes < 0).tolist():
+            found = ask(strings[i])
+            add([i], found, np.array([0]), np.array([len(found)]))
+        starts = np.empty(len(texts), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return starts, sizes, np.concatenate(ids or [np.array([], np.uint16)])
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        starts, sizes, ids = self._encode(pa.array(texts, pa.large_string()))
+        return [ids[a : a + n].tobytes() for a, n in zip(starts, sizes)]
+
+    def flat(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids): how many ids each chunk has, and the ids of all chunks in turn.
+
+        Letters with one full stop, comma or the like are encoded as the letters and the sign,
         which the tokenizer splits too; all other chunks as they are. What counts are the characters after
         normalisation, which may end a letter with a mark that goes with the sign."""
-        chunks = chunks if isinstance(chunks, pa.Array) else pa.array(chunks, pa.large_string())
-        parts, part, sign = split_signs(chunks, self.letters)
-        found = self.cores.of(parts)
-        signs = [*self.cores.of(list(SIGNS)), b""]
-        return [found[p] + signs[s] for p, s in zip(part.tolist(), sign.tolist())]
+        parts, part, sign = signs_apart(chunks, self.wide_letters)
+        (starts, sizes, ids), (sign_starts, sign_sizes, sign_ids) = self.cores.of(parts), self.signs
+        both = np.stack([sizes[part], sign_sizes[sign]], 1)
+        places = np.stack([starts[part], len(ids) + sign_starts[sign]], 1)
+        return both.sum(1), np.append(ids, sign_ids)[ranges(places.ravel(), both.ravel())]
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        sizes, ids = self.flat(pa.array(chunks, pa.large_string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -138,14 +161,10 @@ def chunk_encoder(path: str) -> ChunkEncoder:
 def encode_texts(texts: pa.Array, encoder: ChunkEncoder) -> list[bytes]:
     """The ids of each whole text as little-endian u16."""
     codes, offsets, chunks = chunk_codes(texts)
-    known = encoder(chunks)
-    lengths = np.array([len(x) // 2 for x in known], np.int64)
-    ids = np.frombuffer(b"".join(known), "<u2")
-    starts = np.cumsum(lengths) - lengths
-    each = lengths[codes]
-    ends = np.cumsum(each)
-    flat = ids[np.repeat(starts[codes] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
-    at = np.concatenate(([0], ends))[offsets]
+    sizes, ids = encoder.flat(chunks)
+    each = sizes[codes]
+    flat = ids[ranges((np.cumsum(sizes) - sizes)[codes], each)]
+    at = np.append(0, np.cumsum(each))[offsets]
     return [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
 
 
