@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paracorpus.session import checkpoint_dir, pin
 
-__all__ = ["broadcast_if_small", "checkpoint_dir", "crc_fold", "pin", "table"]
+__all__ = ["broadcast_if_small", "checkpoint_dir", "crc_fold", "giving_back", "pin", "table"]
 
 #: Rows of a narrow side (a few numbers each) that may be sent to every executor.
 SMALL_ROWS = 1_000_000
@@ -28,3 +32,17 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 def crc_fold(id_col: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id's decimal text, modulo `folds`; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` of a task, after which what it took goes back to the system: the worker stays, for tasks of other stages
+    beside a JVM that has grown meanwhile."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return task

@@ -9,18 +9,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paracorpus.llm.chunks import REMEMBERED, SIGNS, ChunkMemory, chunk_codes, coded_chunks, split_signs
+from paracorpus.llm.chunks import REMEMBERED, SIGNS, ChunkMemory, chunk_codes, coded_chunks, signs_apart
+from paracorpus.llm.common import giving_back
 
 NEVER, ALWAYS = -1, 1 << 40
 #: Texts that are encoded together, by their total length; one longer text is a group of its own.
 GROUP_CHARS = 8_000_000
 #: Arcs that the transition table holds; those that were not asked for longest make room.
 ARCS = 1 << 18
+#: Words inside longer chunks that a tokenizer remembers, twice as they make room by turns.
+INNER_WORDS = 25_000
 # White space as the tokenizer file's patterns mean it.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -211,7 +215,7 @@ class WordTokenizer:
         words = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         letters, numbers = library_classes(path)
         self.words = regex.compile(words.replace(r"\s", BLANK).replace(r"\p{L}", letters).replace(r"\p{N}", numbers))
-        self.is_word, self.plain = only_letters(path), plain(path)
+        self.is_word, self.plain, self.all_letters = only_letters(path), plain(path), all_letters(path)
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.known: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
@@ -237,7 +241,7 @@ class WordTokenizer:
     def _word(self, word: str) -> list[int]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > REMEMBERED:
+            if len(self.known) > INNER_WORDS:
                 self.known, self.old = {}, self.known
             found = self.old.get(word)
             if found is None:
@@ -260,6 +264,31 @@ class WordTokenizer:
         return self.automaton.decode(ids)
 
 
+class Descriptions:
+    """What `describe` says of distinct parts, as columns: no object for each. When more than `most` are held, only those
+    of the last call stay."""
+
+    def __init__(self, describe: Callable[[str], tuple[int, str, str]], most: int = 2 * REMEMBERED) -> None:
+        self.describe, self.most = describe, most
+        self.held = self._columns([])
+
+    def _columns(self, parts: list[str]) -> pa.Table:
+        sizes, ids, labels = zip(*map(self.describe, parts)) if parts else ((), (), ())
+        text = pa.large_string()
+        return pa.table({"part": pa.array(parts, text), "size": pa.array(sizes, pa.int64()), "ids": pa.array(ids, text), "labels": pa.array(labels, text)})
+
+    def of(self, parts: pa.Array) -> pa.Table:
+        """part, size, ids, labels of distinct parts, in their order."""
+        at = np.array(pc.index_in(parts, value_set=self.held["part"]).fill_null(-1), np.int64)
+        fresh = np.flatnonzero(at < 0)
+        at[fresh] = len(self.held) + np.arange(len(fresh))
+        self.held = pa.concat_tables([self.held, self._columns(parts.take(pa.array(fresh)).to_pylist())]).combine_chunks()
+        found = self.held.take(pa.array(at))
+        if len(self.held) > self.most:
+            self.held = found
+        return found
+
+
 @functools.lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One per worker and file; the file must be at this path on every executor."""
@@ -297,7 +326,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 )
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string"))
-    return chosen.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(giving_back(run), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,18 +339,20 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
-        memory = ChunkMemory(lambda fresh: [tokenizer.describe(c) for c in fresh])
+        memory = Descriptions(tokenizer.describe)
         signs = [*map(tokenizer.describe, SIGNS), (0, "", "")]
         more = np.array([n for n, _, _ in signs], np.int64)
-        id_ends, label_ends = ([f" {x[i]}" if x[i] else "" for x in signs] for i in (1, 2))
+        none = pa.scalar("", pa.large_string())
+        ends = [pa.array([f" {x[i]}" if x[i] else "" for x in signs], pa.large_string()) for i in (1, 2)]
         for batch in batches:
             for start, stop in groups_by_length(batch.column(1)):
                 codes, offsets, chunks = chunk_codes(batch.column(1).slice(start, stop - start))
-                strings, part, sign = split_signs(chunks, tokenizer.letters)
-                known = memory.of(strings)
-                sizes = np.array([n for n, _, _ in known], np.int64)[part] + more[sign]
-                both = list(zip(part.tolist(), sign.tolist()))
-                names, labels = [known[p][1] + id_ends[s] for p, s in both], [known[p][2] + label_ends[s] for p, s in both]
+                parts, part, sign = signs_apart(chunks, tokenizer.all_letters)
+                known = memory.of(parts).take(pa.array(part))
+                sizes, sign = known["size"].to_numpy() + more[sign], pa.array(sign % len(signs))
+                names, labels = (
+                    pc.binary_join_element_wise(known[c].combine_chunks(), end.take(sign), none).to_pylist() for c, end in zip(("ids", "labels"), ends)
+                )
                 counts, ids, decoded = [], [], []
                 for a, b in zip(offsets, offsets[1:]):
                     parts = codes[a:b]
@@ -337,4 +368,4 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string"))
     out = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return chosen.mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(giving_back(run), out).withColumnRenamed("id", id_col)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paracorpus.llm.bounded import is_frequent
 from paracorpus.llm.chunks import coded_chunks
-from paracorpus.llm.common import broadcast_if_small, pin
+from paracorpus.llm.common import broadcast_if_small, giving_back, pin
 from paracorpus.llm.merge_automaton import groups_by_length
 
 #: Stems that there may be, for what is shared evenly among them.
@@ -86,7 +86,7 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
                 key = joined(pa.array(names), pairs // n, pairs % n)
                 yield pa.RecordBatch.from_arrays([key, pa.array(hits), pa.array(every - hits)], ["key", *KINDS])
 
-    counted = labelled.select("text", F.col("toxic") == 1).mapInArrow(run, "key string, toxic long, ordinary long")
+    counted = labelled.select("text", F.col("toxic") == 1).mapInArrow(giving_back(run), "key string, toxic long, ordinary long")
     return counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -292,7 +292,7 @@ def score_keys(docs: DataFrame, models: ClassModels, columns: list[str]) -> Data
                     blank = pc.binary_join_element_wise("  ", stems.take(pa.array(keys)), "")
                     yield asked(blank, group, ids[owner[rest]], counts[rest], after=after[first[rest]])
 
-    rows = docs.select("text", text_key(columns)).mapInArrow(run, LOOKED_UP)
+    rows = docs.select("text", text_key(columns)).mapInArrow(giving_back(run), LOOKED_UP)
     if not (all_words and all_pairs and all_stems):
         rows = rows.join(models.values, "key", "left").where("base is not null or value is not null")
     else:

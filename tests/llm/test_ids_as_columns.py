@@ -5,7 +5,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from paracorpus.llm import token_records
+from paracorpus.llm import common, merge_automaton, token_records
 from paracorpus.llm.chunks import IdMemory, signs_apart
 from paracorpus.llm.merge_automaton import all_letters, only_letters, plain
 
@@ -54,3 +54,33 @@ def test_ids_are_the_librarys_whatever_way_they_are_asked_for():
     for _ in range(2):
         found = token_records.encode_texts(pa.array(texts), encoder)
         assert [np.frombuffer(x, "<u2").tolist() for x in found] == want
+
+
+def test_descriptions_are_columns_and_make_room():
+    asked = []
+    memory = merge_automaton.Descriptions(lambda p: asked.append(p) or (len(p), p.upper(), f"<{p}>"), most=4)
+    for parts in (["ab", "c"], ["c", "", "def"], [], ["g", "c", "hi"], ["ab", "hi", "c"], ["c"]):
+        found = memory.of(pa.array(parts, pa.large_string()))
+        assert found.to_pydict() == {"part": parts, "size": [*map(len, parts)], "ids": [p.upper() for p in parts], "labels": [f"<{p}>" for p in parts]}
+    assert asked == ["ab", "c", "", "def", "g", "hi", "ab"]
+
+
+def test_a_tokenizer_remembers_few_inner_words(monkeypatch):
+    monkeypatch.setattr(merge_automaton, "INNER_WORDS", 10)
+    tokenizer, library = merge_automaton.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    words = [f"{a}é{b}" for a in "abcdefgh" for b in "stuvwxyz"] * 2
+    assert [tokenizer.encode_chunk(w) for w in words] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert len(tokenizer.known) + len(tokenizer.old) <= 22
+
+
+def test_a_task_gives_back_what_it_took(monkeypatch):
+    done = []
+
+    class Pool:
+        def release_unused(self):
+            done.append("given back")
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    out = common.giving_back(lambda batches: (2 * x for x in batches))(iter([1, 2]))
+    assert [next(out), next(out), *done] == [2, 4]
+    assert list(out) == [] and done == ["given back"]
