@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paracorpus.llm.common import broadcast_if_small, pin
+from paracorpus.llm.common import broadcast_if_small, giving_back, pin
 from paracorpus.llm.components import connected_components
 from paracorpus.llm.shingles import WORDS, mix, shingle_hashes
 
@@ -111,7 +111,7 @@ def deal(docs: DataFrame, percent: int, words: int) -> DataFrame:
                     ], names)
                     places, keys, rows, held = [], [], [], 0
 
-    return docs.mapInArrow(run, "place long, key long, doc_id long, n long")
+    return docs.mapInArrow(giving_back(run), "place long, key long, doc_id long, n long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -136,7 +136,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     # Rows without an id cannot be looked up by it; their keys come from their texts.
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("key"), "text")
     texts = named.unionByName(nameless)
-    return texts.mapInArrow(run, "key long, n long, items array<long>").dropDuplicates(["key"])
+    return texts.mapInArrow(giving_back(run), "key long, n long, items array<long>").dropDuplicates(["key"])
 
 
 def redeal(rest: DataFrame, sets: DataFrame, round_: int, percent: int) -> DataFrame:

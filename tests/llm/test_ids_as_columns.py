@@ -5,7 +5,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from paracorpus.llm import common, merge_automaton, token_records
+from paracorpus.llm import common, jaccard_join, merge_automaton, token_records, toxicity
 from paracorpus.llm.chunks import IdMemory, signs_apart
 from paracorpus.llm.merge_automaton import all_letters, only_letters, plain
 
@@ -84,3 +84,16 @@ def test_a_task_gives_back_what_it_took(monkeypatch):
     out = common.giving_back(lambda batches: (2 * x for x in batches))(iter([1, 2]))
     assert [next(out), next(out), *done] == [2, 4]
     assert list(out) == [] and done == ["given back"]
+
+
+def test_tasks_of_the_pipeline_give_back(spark):
+    given = []
+
+    class Taken:
+        def __getattr__(self, name):
+            return lambda *args, **more: (given.append(args[0].__qualname__) if name == "mapInArrow" else None) or self
+
+    merge_automaton.encode_digests(Taken(), WORDS)
+    toxicity.count_pairs(Taken())
+    jaccard_join.deal(Taken(), 80, 5)
+    assert given == ["giving_back.<locals>.task"] * 3
