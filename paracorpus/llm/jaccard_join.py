@@ -13,10 +13,12 @@ nearly all pivots, where the triangle inequality says nothing. So the space is f
 * Sets within the radius of the pivot are linked to it and so to each other. A set outside needs
   comparison only with sets whose distance to the pivot differs by at most the radius: that is the
   window. Regions where nothing is left outside, or all of one component, are done.
-* A rest that fits a task is joined there, by an index of its shingles; a larger rest is dealt into
-  neighbourhoods again, inside its region and with another hash, and the next pivots are taken from
-  the sets left outside. Each round settles at least the pivots, so the recursion ends, and no
-  pair is dropped.
+* A rest that fits a task is joined there: sets with too few shingles that any other set has are left out, then
+  all others are counted. A larger rest is cut into blocks of which any two fit a task, and each two are joined
+  in one, as a passage that many sets share would bring them together again in any new neighbourhood. One of more
+  than `MOST_BLOCKS` blocks is dealt into neighbourhoods again, inside its region and with another hash, and
+  the next pivots are taken from the sets left outside. Each round settles at least the pivots, so the
+  recursion ends, and no pair is dropped.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,8 +39,12 @@ from paracorpus.llm.shingles import WORDS, mix, shingle_hashes
 PERCENT = 80
 #: Parts per shingle of the smallest set of a size class (sizes from 2^c to 2^(c + 1) - 1).
 PARTS = 0.6
-#: Shingles of a region's rest that one task joins, 8 bytes each; a larger rest goes to the next round.
+#: Shingles of a region's rest that one task joins, 8 bytes each; a larger rest is cut into blocks.
 REST_ITEMS = 2_000_000
+#: Blocks of a rest, each of which is copied once for each other; a larger rest goes to the next round.
+MOST_BLOCKS = 32
+#: Sets that are asked about at once. Shingles that one of so many sets has, and this many at least, stand in bit vectors.
+TILE, SHARE, OFTEN = 32, 32, 16
 SLACK = 1e-9
 
 
@@ -200,12 +206,11 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
         links = found if links is None else pin(links.union(found), "links")
         roots = connected_components(links)
         rest = _rest(regions, measured, roots, sets, radius)
-        few = rest.where(F.col("items") <= REST_ITEMS)
-        found = pin(join_rests(few, sets, percent), "linked")
+        found = pin(join_rests(rest.where(_blocks() <= MOST_BLOCKS), sets, percent), "linked")
         if not found.isEmpty():
             links = pin(links.union(found), "links")
             roots = connected_components(links)
-        many = rest.where(F.col("items") > REST_ITEMS).select(F.col("pivot").alias("region"), "key", "outside", "component")
+        many = rest.where(_blocks() > MOST_BLOCKS).select(F.col("pivot").alias("region"), "key", "outside", "component")
         if many.isEmpty():
             return documents, roots.withColumnRenamed("node", "key")
         round_ += 1
@@ -251,43 +256,94 @@ def _rest(regions: DataFrame, measured: DataFrame, roots: DataFrame, sets: DataF
     return rest.join(sized, "pivot")
 
 
+def _blocks() -> Column:
+    """Blocks of a rest, by its items: one if it fits a task, else as many that any two fit."""
+    items = F.col("items")
+    return F.when(items <= REST_ITEMS, 1).otherwise(F.ceil(2 * items / F.lit(max(REST_ITEMS, 0.5))))
+
+
+def _paired(rest: DataFrame) -> DataFrame:
+    """`rest` with the group that a task joins: the whole region, or each two of its blocks. Any two sets meet in a group."""
+    cut = rest.withColumn("blocks", _blocks()).withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda x: x != F.col("own"))
+    group = lambda x: F.least("own", x) * MOST_BLOCKS + F.greatest("own", x)
+    groups = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, group))
+    return cut.withColumn("group", F.explode(groups)).drop("items", "blocks", "own")
+
+
+class _Common:
+    """How many shingles some sets of a group have in common with each set. Shingles of many sets are counted by bit
+    vectors over the sets, the others by lists of their sets."""
+
+    def __init__(self, items: np.ndarray, n: np.ndarray) -> None:
+        self.sets, owner = len(n), np.repeat(np.arange(len(n)), n)
+        _, shingle, times = np.unique(items, return_inverse=True, return_counts=True)
+        often = np.flatnonzero(times >= max(OFTEN, self.sets // SHARE))
+        place = np.full(len(times), -1)
+        place[often] = np.arange(len(often))
+        held = place[shingle]
+        self.bits = np.zeros((-(-len(often) // 64), self.sets), np.uint64)
+        many = held >= 0
+        np.bitwise_or.at(self.bits, (held[many] // 64, owner[many]), np.uint64(1) << (held[many] % 64).astype(np.uint64))
+        few = ~many & (times[shingle] > 1)
+        self.own, owner = shingle[few], owner[few]
+        self.ends = np.append(0, np.cumsum(np.bincount(owner, minlength=self.sets)))
+        self.times = np.bincount(self.own, minlength=len(times))
+        self.starts = np.cumsum(self.times) - self.times
+        self.owner = owner[np.argsort(self.own, kind="stable")]
+
+    def counts(self, asked: np.ndarray) -> np.ndarray:
+        """A row for each of the sets `asked`, a column for each other set; a set's own lacks what it alone has."""
+        found = np.zeros((len(asked), self.sets), np.int64)
+        for word in self.bits:
+            found += np.bitwise_count(word[asked][:, None] & word)
+        for row, i in zip(found, asked.tolist()):
+            own = self.own[self.ends[i] : self.ends[i + 1]]
+            many = self.times[own]
+            stop = np.cumsum(many)
+            hits = np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.starts[own] - stop + many, many)
+            row += np.bincount(self.owner[hits], minlength=self.sets)
+        return found
+
+
+def _able(items: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of a group have as many shingles that another set has too as a link with the smallest one takes."""
+    _, shingle, times = np.unique(items, return_inverse=True, return_counts=True)
+    met = np.add.reduceat(np.append(times[shingle] > 1, False), np.cumsum(n) - n, dtype=np.int64)
+    return (100 + percent) * met >= percent * (n + n.min())
+
+
 def join_rests(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links that join the components of each region's rest, one for each two that meet.
 
-    A region is one task's group, of at most `REST_ITEMS` shingles. An index of the shingles gives
-    the sets that each set outside meets; those within the window and of another component are
-    compared by their counts. A link merges two components at once, so a region of n sets gives
-    fewer than n links.
+    A task's group is a region or two of its blocks, of about `REST_ITEMS` shingles. Sets within the window and of
+    another component than a set outside are compared with it by their counts. A link merges two components
+    at once, so a group of n sets gives fewer than n links.
     """
     radius = 1 - percent / 100
 
     def join(region: pa.Table) -> pa.Table:
         lists = region["items"].combine_chunks()
         items, n = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths(), np.int64)
-        ends = np.cumsum(n)
         keys, components = np.asarray(region["key"]), np.asarray(region["component"]).copy()
         distance, outside = np.asarray(region["distance"]), np.asarray(region["outside"])
-        order = np.argsort(items, kind="stable")
-        held, owner = items[order], np.repeat(np.arange(len(n)), n)[order]
-        a, b = [], []
-        for i in np.flatnonzero(outside):
-            own = items[ends[i] - n[i] : ends[i]]
-            first = np.searchsorted(held, own, "left")
-            many = np.searchsorted(held, own, "right") - first
-            stop = np.cumsum(many)
-            hits = np.arange(stop[-1]) + np.repeat(first - stop + many, many)
-            common = np.bincount(owner[hits], minlength=len(n))
-            near = (components != components[i]) & (np.abs(distance - distance[i]) <= radius + SLACK)
-            linked = np.flatnonzero(near & (100 * common >= percent * (n[i] + n - common)))
-            joined, some = np.unique(components[linked], return_index=True)
-            a.append(np.full(len(joined), keys[i]))
-            b.append(keys[linked[some]])
-            components[np.isin(components, joined)] = components[i]
-        none = np.array([], np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    full = rest.drop("items").join(sets.select("key", "items"), "key")
-    return full.groupBy("pivot").applyInArrow(join, "a long, b long").distinct()
+        able = _able(items, n, percent)
+        a, b = [np.array([], np.int64)], [np.array([], np.int64)]
+        if (able & outside).any():
+            items, n, keys, components, distance, outside = items[np.repeat(able, n)], n[able], keys[able], components[able], distance[able], outside[able]
+            common, asking = _Common(items, n), np.flatnonzero(outside)
+            for lo in range(0, len(asking), TILE):
+                for i, shared in zip(asking[lo : lo + TILE], common.counts(asking[lo : lo + TILE])):
+                    near = (components != components[i]) & (np.abs(distance - distance[i]) <= radius + SLACK)
+                    linked = np.flatnonzero(near & (100 * shared >= percent * (n[i] + n - shared)))
+                    joined, some = np.unique(components[linked], return_index=True)
+                    a.append(np.full(len(joined), keys[i]))
+                    b.append(keys[linked[some]])
+                    components[np.isin(components, joined)] = components[i]
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    full = _paired(rest).join(sets.select("key", "items"), "key")
+    return full.groupBy("pivot", "group").applyInArrow(join, "a long, b long").distinct()
 
 
 def jaccard_components(
@@ -326,5 +382,5 @@ def keep_rows(
     named = rows.select("_row", "_id").join(groups, "_row")
     stay = named.groupBy("_group").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_size"))
     stay = stay.where("_size > 1").select("_group", F.col("_first._row").alias("_stays"))
-    dropped = groups.join(stay, "_group").where("_row <> _stays").select(F.col("_row").alias("_dropped"))
-    return docs.join(dropped, F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))) == dropped["_dropped"], "left_anti")
+    dropped = pin(groups.join(stay, "_group").where("_row <> _stays").select(F.col("_row").alias("_dropped")), "dropped")
+    return docs.join(broadcast_if_small(dropped), F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit(""))) == dropped["_dropped"], "left_anti")

@@ -182,6 +182,33 @@ def test_jaccard_of_a_drifting_family(spark, monkeypatch, rest):
     assert Counter(map(tuple, J.jaccard_components(table(spark, rows)).collect())) == plain_components(rows)
 
 
+def test_large_rest_is_cut_into_blocks(spark, monkeypatch):
+    """Variants of a text are alike in most of it and hardly ever linked: no new neighbourhood would part them."""
+    monkeypatch.setattr(J, "REST_ITEMS", 1500)
+
+    def again(*_):
+        raise AssertionError("a rest of a few blocks was dealt again")
+
+    monkeypatch.setattr(J, "redeal", again)
+    rng = random.Random(3)
+    text = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(70):
+        varied = list(text)
+        for place in rng.sample(range(120), rng.choice([1, 4, 6, 8])):
+            varied[place] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(varied)))
+    assert Counter(map(tuple, J.jaccard_components(table(spark, rows)).collect())) == plain_components(rows)
+
+
+def test_common_shingles_of_a_group():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 90))) for _ in range(80)] + [np.arange(1000, 1100)]
+    counts = J._Common(np.concatenate(sets), np.array([len(x) for x in sets])).counts(np.arange(len(sets)))
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    assert (counts == want)[~np.eye(len(sets), dtype=bool)].all()
+
+
 def test_jaccard_of_rows_without_an_id(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(None, text + " x"), (None, text + " y"), (7, text), (None, "other words than these are here now")]
