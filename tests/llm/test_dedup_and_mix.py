@@ -104,6 +104,19 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     assert jaccard_join.keep_rows(docs.where("false")).count() == 0
 
 
+def test_texts_stay_where_they_are_if_few_near_copies_go(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(3, " ".join(words)), (5, " ".join(words) + " more"), (7, "alone here")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard_join.keep_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == [3, 7]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_mix_beside_columns_of_its_own_names(spark):
     docs = spark.createDataFrame([(i, "a b c", f"s{i % 3}") for i in range(50)], "doc_id long, text string, source string")
     named = docs.withColumns({c: F.lit("x") for c in ("rounds", "bound", "_copy", "hash", "size", "target")})
